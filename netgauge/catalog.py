@@ -1,0 +1,11 @@
+"""All registered queries of the measurement engine."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
