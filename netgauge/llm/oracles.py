@@ -24,11 +24,11 @@ select conv_id, speaker, block, n_turns,
 from r""",
     "op9_minhash": """
 with recursive d as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), x -> x <> '') as w
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') as w
   from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-         else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' '))) end as s
+         else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) end as s
   from d),
 keyed as (select min(doc_id) over (partition by s) as rep, doc_id, s from (select doc_id, list_sort(s) as s from sets)),
 reps as (select doc_id, s, len(s) as n from keyed where doc_id = rep and len(s) > 0),
@@ -37,8 +37,8 @@ pairs as (
   select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb
   from x a join x b on a.h = b.h and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by 1, 2),
 edges as (select a, b from pairs where 100 * c >= 75 * (na + nb - c)),
-both as (select a, b from edges union all select b, a from edges),
-reach as (select doc_id as node, doc_id as seen from reps where doc_id in (select a from both) union select r.node, e.b from reach r join both e on r.seen = e.a),
+sym as (select a, b from edges union all select b, a from edges),
+reach as (select doc_id as node, doc_id as seen from reps where doc_id in (select a from sym) union select r.node, e.b from reach r join sym e on r.seen = e.a),
 comp as (select node, min(seen) as component from reach group by 1)
 select k.doc_id, cast(len(k.s) as bigint) as n_shingles,
        case when len(k.s) = 0 then k.doc_id else coalesce(c.component, k.rep) end as component_id,
@@ -50,9 +50,9 @@ ORACLES["op7_warc"] = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 g as (select *, max(page_id) over (partition by html) as first_id,
         list_aggregate(list_transform(string_split(regexp_replace(sha1(html), '(.)', '\\1 ', 'g'), ' ')[1:40],
-          h -> list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], 1 + strpos('0123456789abcdef', h) - 1)), 'string_agg', '') as bits from p)
+          lambda h: list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'], 1 + strpos('0123456789abcdef', h) - 1)), 'string_agg', '') as bits from p)
 select page_id, cast(strlen(html) as bigint) as payload_bytes,
-       list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + 16 * cast(substr(bits, 5 * i + 1, 1) as integer) + 8 * cast(substr(bits, 5 * i + 2, 1) as integer) + 4 * cast(substr(bits, 5 * i + 3, 1) as integer)
            + 2 * cast(substr(bits, 5 * i + 4, 1) as integer) + cast(substr(bits, 5 * i + 5, 1) as integer), 1)), 'string_agg', '') as payload_digest,
        case when page_id = first_id then 'response' else 'revisit' end as record_type,
