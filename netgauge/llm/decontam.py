@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     enough = hits.groupBy("doc_id", "key", "item_id").agg(covered("ip").alias("cov")).join(size, "item_id").where(F.least("cov", "n_words") >= COVERAGE * F.col("n_words")).select("doc_id", "key", "item_id", "n_words")
     # Second pass over the documents found: words and slot values again, window by window.
     some = enough.select("doc_id", "key").distinct()
-    full = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text")).join(some, ["doc_id", "key"], "left_semi")
+    full = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text")).join(some.hint("merge"), ["doc_id", "key"], "left_semi")
     full = full.withColumn("w", words(F.col("text"))).withColumn("ds", slots(F.col("text"))).drop("text").distinct()
     item_full = items.withColumn("is", slots(F.col("item_text"))).select("item_id", "iw", "is")
     at = hits.join(enough, ["doc_id", "key", "item_id"]).join(full, ["doc_id", "key"]).join(item_full, "item_id")
