@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from netgauge.llm.common import ragged, text_batches
 
 #: Words that the lexicon holds, and the longest word in bytes: these bound its size on the driver and in a broadcast.
-LEXICON_WORDS, LEXICON_BYTES = 100_000, 48
+LEXICON_WORDS, LEXICON_BYTES = 60_000, 48
 #: Words whose merges a worker keeps between batches.
 CACHE_WORDS = 100_000
 #: No such merge.
@@ -202,7 +202,7 @@ class Special(str):
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
-    """Sorted insertion into a minimal acyclic automaton; the result is one buffer of int64 tables.
+    """Sorted insertion into a minimal acyclic automaton; the result is one buffer of int32 tables.
 
     Layout: [n_arcs, n_words, n_ids, root] + arc keys (state * 256 + byte,
     ascending) + arc targets + arc addends + final flags by state + offsets of
@@ -259,7 +259,7 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     offsets = np.cumsum([0, *map(len, ids)])
     flags = [int(final[s]) for s in sorted(below)]
     tables = [[len(keys), len(ids), int(offsets[-1]), len(flags)], keys, targets, addends, flags, offsets, [i for x in ids for i in x]]
-    return np.concatenate([np.asarray(t, np.int64) for t in tables]).tobytes()
+    return np.concatenate([np.asarray(t, np.int32) for t in tables]).tobytes()
 
 
 class Lexicon:
@@ -282,7 +282,7 @@ class Lexicon:
             with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
                 f.write(data)
             os.replace(f.name, path)
-        return cls(np.memmap(path, np.int64, "r"))
+        return cls(np.memmap(path, np.int32, "r"))
 
     def ordinals(self, words: list[bytes]) -> np.ndarray:
         """The ordinal of each word, -1 for those the lexicon lacks."""
@@ -296,7 +296,7 @@ class Lexicon:
         live = np.flatnonzero((lengths > 0) & (lengths <= LEXICON_BYTES))
         state, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for step in range(int(lengths[live].max(initial=0))):
-            key = state[live] * 256 + data[starts[live] + step]
+            key = (state[live] * 256 + data[starts[live] + step]).astype(np.int32)
             arc = np.searchsorted(self.keys, key)
             arc[arc == len(self.keys)] = 0
             hit = self.keys[arc] == key

@@ -50,8 +50,8 @@ def statistics(text: Column) -> dict[str, Column]:
         "capitals": per(F.regexp_count(t, F.lit(r"\p{Lu}")), letters),
         "digits": per(F.regexp_count(t, F.lit(r"\p{N}")), n),
         "symbols": per(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:'\"?!()-]")), n),
-        "stops": per(F.regexp_count(t, F.lit(r"[.?!]")), F.size(words)),
-        "exclamations": per(F.regexp_count(t, F.lit("!")), F.size(words)),
+        "stops": per(n - F.length(F.translate(t, ".?!", "")), F.size(words)),
+        "exclamations": per(n - F.length(F.translate(t, "!", "")), F.size(words)),
         "distinct_words": per(F.size(F.array_distinct(words)), F.size(words)),
         "distinct_lines": per(F.size(F.array_distinct(lines)), F.size(lines)),
     }
