@@ -27,20 +27,27 @@ BROADCAST_WINDOWS = 1_000_000
 
 # The placeholders (private-use characters, which no word holds) and the units.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
-PLACEHOLDERS = "[\ue000-\ue002]"
 UNITS = "km cm mm m kg g mg lb lbs oz l ml s ms min h hr hours minutes seconds days weeks months years miles feet inches meters metres dollars euros cents percent degrees"
 
-NAME_PATTERN = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
-NUMBER_PATTERN = r"\p{N}+(?:[.,:/]\p{N}+)*"
-UNIT_WORDS = "(?:" + "|".join(UNITS.split()) + r"|%|€|\$|°)"
-SLOT_PATTERN = rf"{NAME_PATTERN}|{NUMBER_PATTERN}|(?<=\p{{N}}) ?{UNIT_WORDS}(?![\p{{L}}\p{{N}}])"
+# The first character decides quickly; what stands before it is looked at afterwards.
+NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+"
+NUMBER_PATTERN = r"\d+(?:[.,:/]\d+)*"
+UNIT_WORDS = "(?:" + "|".join(UNITS.split()) + r"|%|€|\$|°)(?![\p{L}\p{N}])"
+SLOT_PATTERN = rf"{NAME_PATTERN}|{NUMBER_PATTERN}|(?<=\d) ?{UNIT_WORDS}"
+
+
+def plain(text: Column) -> Column:
+    """Text (null: empty) in which no placeholder stands."""
+    t = F.coalesce(text, F.lit(""))
+    for p in (NUMBER, NAME, UNIT):
+        t = F.replace(t, F.lit(p), F.lit(" "))
+    return t
 
 
 def template(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), PLACEHOLDERS, " ")
-    t = F.regexp_replace(t, NAME_PATTERN, f" {NAME} ")
+    t = F.regexp_replace(plain(text), NAME_PATTERN, f" {NAME} ")
     t = F.regexp_replace(t, NUMBER_PATTERN, f" {NUMBER} ")
-    t = F.regexp_replace(t, rf"(?<={NUMBER} ) ?{UNIT_WORDS}(?![\p{{L}}\p{{N}}])", f" {UNIT} ")
+    t = F.regexp_replace(t, rf"{NUMBER} {{1,2}}{UNIT_WORDS}", f"{NUMBER} {UNIT} ")
     return F.lower(t)
 
 
@@ -50,7 +57,7 @@ def words(text: Column) -> Column:
 
 def slots(text: Column) -> Column:
     """The values behind the placeholders, in order."""
-    return F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), PLACEHOLDERS, " "), F.lit(SLOT_PATTERN), F.lit(0)), lambda s: F.lower(F.trim(s)))
+    return F.transform(F.regexp_extract_all(plain(text), F.lit(SLOT_PATTERN), F.lit(0)), lambda s: F.lower(F.trim(s)))
 
 
 def window_hashes(w: str) -> Column:
