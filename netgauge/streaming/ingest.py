@@ -1,0 +1,50 @@
+"""Structured Streaming: scoring on arrival, continuous counters, stateful change detection."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from netgauge.functions import scoring
+from netgauge.operators.detector import LOWER, UPPER, WEIGHT
+
+
+def scored(bodies: DataFrame) -> DataFrame:
+    """Stream or table of (measurement_uid, body) -> scored rows; unparsable bodies, unknown countries and networks are dropped."""
+    v = F.col("v")
+    d = bodies.withColumn("v", F.try_parse_json("body")).where("v is not null")
+    cc, asn, test = (F.try_variant_get(v, f"$.{n}", "string") for n in ("probe_cc", "probe_asn", "test_name"))
+    d = d.where((F.upper(cc) != "ZZ") & (F.upper(asn) != "AS0") & F.try_variant_get(v, "$.report_id", "string").isNotNull())
+    d = d.select("measurement_uid", F.upper(cc).alias("probe_cc"), asn.alias("probe_asn"), test.alias("test_name"), F.try_variant_get(v, "$.input", "string").alias("input"), F.try_to_timestamp(F.try_variant_get(v, "$.measurement_start_time", "string")).alias("measurement_start_time"), scoring.score(v, test).alias("scores"))
+    return d.withColumns(scoring.flags(F.col("scores")))
+
+
+def weekly_counters(fact: DataFrame) -> DataFrame:
+    """Counts by Sunday week, country, network and input; rows more than 8 days late are dropped."""
+    return fact.withWatermark("measurement_start_time", "8 days").groupBy(F.window("measurement_start_time", "7 days", "7 days", "3 days").alias("w"), "probe_cc", "probe_asn", "input").agg(F.count("*").alias("msmt_cnt"))
+
+
+def blocking_changes(values: DataFrame, keys: list[str]) -> DataFrame:
+    """values(keys, ts, uid, x) -> change events; mean and state of each key live in the state store."""
+    types = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mean, blocked = state.get if state.exists else (None, False)
+        out = []
+        for ts, _, x in pd.concat(list(batches)).sort_values(["ts", "uid"])[["ts", "uid", "x"]].itertuples(index=False):
+            if pd.isna(x):
+                continue
+            mean = float(x) if mean is None else (1 - WEIGHT) * mean + WEIGHT * float(x)
+            now = True if mean > UPPER else False if mean < LOWER else blocked
+            if now != blocked:
+                out.append((*key, ts, mean, now))
+            blocked = now
+        if mean is not None:
+            state.update((mean, bool(blocked)))
+        yield pd.DataFrame(out, columns=[*keys, "ts", "mean", "blocked"])
+
+    return values.groupBy(*keys).applyInPandasWithState(step, f"{types}, ts timestamp, mean double, blocked boolean", "mean double, blocked boolean", "append", GroupStateTimeout.NoTimeout)
