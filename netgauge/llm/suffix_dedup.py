@@ -165,6 +165,9 @@ def column_wise(contexts: DataFrame) -> DataFrame:
     spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def solve(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        new = np.ones(len(anchor), bool)  # a context that repeated rows brought twice counts once
+        new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+        anchor, context, left, data = anchor[new], context[new], left[new], [d for d, n in zip(data, new, strict=True) if n]
         _, group = np.unique(anchor, return_inverse=True)
         found = repeated_starts(context_cells(data, left), group)
         hit = np.flatnonzero(found.any(1))
@@ -224,7 +227,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     lefts = [min(LEFT, w["pos"]) for w in some_]
                     yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in some_], pa.int64()), pa.array([w["context"] for w in some_], pa.int64()), pa.array(lefts, pa.int32()), pa.array([data[w["pos"] - left : w["pos"] + LENGTH] for w, left in zip(some_, lefts, strict=True)], pa.binary()), pa.array([w["size"] for w in some_], pa.int64())], ["anchor", "context", "left", "bytes", "size"])
 
-    strings = written(texts.select("text", "wanted").mapInArrow(cut, "anchor long, context long, left int, bytes binary, size long").dropDuplicates(["anchor", "context"]))
+    strings = written(texts.select("text", "wanted").mapInArrow(cut, "anchor long, context long, left int, bytes binary, size long"))
     partly = column_wise(strings.where(F.col("size") <= GROUP)).unionByName(counted(strings.where(F.col("size") > GROUP)))
     whole = F.array(F.struct(F.lit(-LEFT).alias("a"), F.lit(LENGTH).alias("b")))
     spans = contexts.where("often").select("anchor", "context", whole.alias("spans")).unionByName(partly.join(contexts.where("often"), ["anchor", "context"], "left_anti"))
