@@ -213,14 +213,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("left_text"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("right_text"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """sets(doc, sig) of distinct sets -> node, component over confirmed links."""
     pairs = written(candidates(sets))
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
     best = written(pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
     comp = written(connected_components(confirmed(best, texts)))
     of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
