@@ -515,9 +515,15 @@ def a30_simhash(s: SparkSession, d: str) -> DataFrame:
     return votes.select("page_id", value.alias("simhash"))
 
 
+def complete() -> None:
+    from netgauge import catalog_services  # noqa: F401  registers its queries here
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    complete()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    complete()
     return dict(SQL)

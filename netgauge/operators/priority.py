@@ -31,10 +31,12 @@ def weighted(priorities: DataFrame, counts: DataFrame) -> DataFrame:
     return priorities.join(counts, "url", "left").withColumn("msmt_cnt", cnt).withColumn("weight", F.col("priority") / F.greatest(cnt, F.lit(0.1)))
 
 
-def test_list(weights: DataFrame, categories: list[str] | None, limit: int) -> DataFrame:
-    """The first URLs by weight; ZZ reads XX in the answer."""
+def test_list(weights: DataFrame, categories: list[str] | None, limit: int | None) -> DataFrame:
+    """The first URLs by weight (without a limit all, in no order); ZZ reads XX in the answer."""
     w = weights.where("priority > 0")
     if categories:
         w = w.where(F.col("category_code").isin(*categories))
     cc = F.when(F.upper("cc") == "ZZ", "XX").otherwise(F.upper("cc"))
-    return w.orderBy(F.desc("weight"), "url", "category_code", "cc").limit(limit).select("category_code", "url", cc.alias("country_code"), "weight")
+    if limit is not None:
+        w = w.orderBy(F.desc("weight"), "url", "category_code", "cc").limit(limit)
+    return w.select("category_code", "url", cc.alias("country_code"), "weight")

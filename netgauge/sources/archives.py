@@ -67,3 +67,46 @@ def gated(df: DataFrame, least: int, most: int) -> DataFrame:
 def export_months(fact: DataFrame, path: str, time: str = "measurement_start_time") -> None:
     """CSV by month; months without rows leave no file."""
     fact.withColumn("yyyymm", F.date_format(time, "yyyyMM")).write.partitionBy("yyyymm").option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
+
+
+def bodies(spark: SparkSession, path: str, locators: DataFrame) -> DataFrame:
+    """locators(measurement_uid, s3path, linenum) -> the lines they point to. A bundle is bounded in lines, so it is split in one task."""
+    text = spark.read.option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).text(path, wholetext=True)
+    where = F.regexp_extract(F.col("_metadata.file_path"), r"(day=[^/]+/cc=[^/]+/test=[^/]+/bundle=[^/]+)/[^/]+$", 1)
+    lines = text.select(where.alias("s3path"), F.posexplode(F.split("value", "\n")).alias("linenum", "body"))
+    return locators.join(lines, ["s3path", "linenum"]).select("measurement_uid", "body")
+
+
+def bundle_names(measurements: DataFrame, lines_per_file: int = 10_000) -> DataFrame:
+    """Same rows, same bundles: each uid once, in order, cut into bundles named by the hash of their uids -> day, cc, test, bundle, n, name."""
+    m = measurements.dropDuplicates(["measurement_uid"])
+    at = F.row_number().over(Window.partitionBy("day", "cc", "test").orderBy("measurement_uid")) - 1
+    b = m.withColumn("bundle", F.floor(at / lines_per_file)).groupBy("day", "cc", "test", "bundle").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("measurement_uid")).alias("uids"))
+    return b.select("day", "cc", "test", "bundle", "n", F.sha2(F.array_join("uids", "\n"), 256).alias("name"))
+
+
+def export_chunks(table: DataFrame, path: str, rows: int = 100_000_000) -> None:
+    """CSV files of at most so many rows each; the columns are the table's own."""
+    table.write.option("maxRecordsPerFile", rows).option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
+
+
+def export_result(result: DataFrame, path: str) -> None:
+    """CSV with the columns in alphabetical order."""
+    result.select(*sorted(result.columns)).write.option("header", True).mode("overwrite").csv(path)
+
+
+def newer_rows(fact: DataFrame, key: str, watermark: object, until: object) -> DataFrame:
+    """Rows that a table hasn't got yet: after the watermark and before `until`; missing inputs and domains become ''."""
+    return fact.where((F.col(key) > watermark) & (F.col(key) < until)).withColumns({c: F.coalesce(c, F.lit("")) for c in ("input", "domain") if c in fact.columns})
+
+
+def sync(fact: DataFrame, key: str, watermark: object, until: object, path: str) -> object:
+    """Appends what is new and gives the next watermark, which moves only after the write."""
+    newer_rows(fact, key, watermark, until).write.mode("append").parquet(path)
+    last = newer_rows(fact, key, watermark, until).agg(F.max(key)).first()[0]
+    return watermark if last is None else last
+
+
+def replayed_posts(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """Failed posts as a stream, so many a batch; a file goes once its batch is done."""
+    return spark.readStream.option("maxFilesPerTrigger", files).option("cleanSource", "delete").option("wholetext", True).text(path).select("value")

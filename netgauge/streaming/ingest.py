@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,3 +50,19 @@ def blocking_changes(values: DataFrame, keys: list[str]) -> DataFrame:
         yield pd.DataFrame(out, columns=[*keys, "ts", "mean", "blocked"])
 
     return values.groupBy(*keys).applyInPandasWithState(step, f"{types}, ts timestamp, mean double, blocked boolean", "mean double, blocked boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+class Refreshed:
+    """A small reference table that is read again once it is older than `seconds`; if that fails the old copy stays."""
+
+    def __init__(self, load: Callable[[], DataFrame], seconds: float = 3600, clock: Callable[[], float] = time.time):
+        self.load, self.seconds, self.clock = load, seconds, clock
+        self.table, self.at = load(), clock()
+
+    def __call__(self) -> DataFrame:
+        if self.clock() - self.at >= self.seconds:
+            try:
+                self.table, self.at = self.load(), self.clock()
+            except Exception as e:  # whatever the source raises, scoring goes on
+                logging.getLogger(__name__).warning("refresh failed: %s", e)
+        return self.table
