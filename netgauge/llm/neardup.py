@@ -6,8 +6,12 @@ signatures (one range-partitioned sort for all trees), and neighbours in that
 order that share a prefix of at least MIN_DEPTH values are candidates. The depth
 adapts to the region: a prefix shared by at most NEAR sets makes all of them
 candidates of one another; in a denser region only longer prefixes do, and
-where even the longest is shared by more, each set meets its neighbours in the
-order. Candidates are confirmed on their full sets.
+where even the longest is shared by more, each set meets the next in the order
+and the region's centre: of its sets that which stands in most such regions over
+all trees. (Copies of one original that were edited apart share its prefixes
+more often than one another's, so the original is the centre wherever it stands,
+and a region costs one comparison a member.) Candidates are confirmed on their
+full sets.
 
 Confirming goes in two rounds: first each set's best candidate of smaller id (a
 forest), then all candidates that the first round's links have not already put
@@ -35,6 +39,8 @@ from netgauge.llm.common import connected_components, text_batches, written
 
 SHINGLE, SIMILARITY = 5, 75
 TREES, MIN_DEPTH, MAX_DEPTH, NEAR = 24, 3, 5, 8
+#: Marks the rows of regions whose longest prefix is shared by more than NEAR others.
+DENSE = 2
 
 _rng = np.random.default_rng(20240131)
 FACTOR = _rng.integers(1, 1 << 32, TREES * MAX_DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -129,8 +135,11 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(np.append(at, len(new))), np.diff(np.append(at, len(new))))
 
 
-def neighbours(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of which the later row isn't among the first `old`: by prefixes that few share, and next in order."""
+def neighbours(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of which the later row isn't among the first `old`: by prefixes that few share, and next in order.
+
+    Then the rows whose longest prefix is shared by more.
+    """
     deeper = k2.view(np.uint64) >> HALF
     few3, few4, few5 = (runs(*k) <= NEAR + 1 for k in ((k1,), (k1, deeper), (k1, k2)))
     left, right = [], []
@@ -145,9 +154,9 @@ def neighbours(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, old: int) -> tup
         left.append(doc[at])
         right.append(doc[at + j])
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(a, b), np.maximum(a, b), np.flatnonzero(~few5)
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -155,11 +164,12 @@ def candidates(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["k1", "k2", "doc"]
-    names = ["a", "b", "pid", "side", "k1"]
+    names = ["a", "b", "pid", "side", "k1", "k2"]
 
-    def batch_of(a: np.ndarray, b: np.ndarray, pid: int | None = None, side: int | None = None, k1: np.ndarray | None = None) -> pa.RecordBatch:
+    def batch_of(a: np.ndarray, b: np.ndarray, pid: int | None = None, side: int | None = None, k1: np.ndarray | None = None, k2: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([pid] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array([None] * n if k1 is None else k1, pa.int64())], names)
+        keys = [pa.array([None] * n if k is None else k, pa.int64()) for k in (k1, k2)]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([pid] * n, pa.int32()), pa.array([side] * n, pa.int32()), *keys], names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, head = TaskContext.get().partitionId(), 0
@@ -174,17 +184,25 @@ def candidates(sets: DataFrame) -> DataFrame:
                 head += len(few[0])
             old = len(tail[0])
             rows = [np.concatenate(x) for x in zip(tail, rows, strict=True)]
-            yield batch_of(*neighbours(*rows, old))
+            a, b, dense = neighbours(*rows, old)
+            yield batch_of(a, b)
+            k1, k2, doc = (r[dense] for r in rows)
+            yield batch_of(doc, doc, None, DENSE, k1, k2)
             tail = [r[-NEAR:] for r in rows]
         if len(tail[0]):
             yield batch_of(tail[2], tail[2], pid, 1, tail[0])
 
     keys = tree_keys(sets).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = written(keys.mapInArrow(walk, "a long, b long, pid int, side int, k1 long"))
+    found = written(keys.mapInArrow(walk, "a long, b long, pid int, side int, k1 long, k2 long"))
     last = found.where("side = 1").select((F.col("pid") + 1).alias("pid"), "k1", "a")
     first = found.where("side = 0").select("pid", "k1", F.col("b").alias("b"))
     across = last.join(first, ["pid", "k1"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.where("side is null").select("a", "b").unionByName(across).groupBy("a", "b").agg(F.count("*").alias("trees"))
+    # A set has a row for each tree at most; some rows come twice, where a region goes on in the next batch.
+    dense = found.where(f"side = {DENSE}").groupBy(F.col("a").alias("doc")).agg(F.collect_set(F.struct("k1", "k2")).alias("places"))
+    dense = dense.select("doc", F.size("places").alias("n"), F.explode("places").alias("place"))
+    centre = dense.groupBy("place").agg(F.max(F.struct("n", (-F.col("doc")).alias("doc"))).alias("m")).select("place", (-F.col("m.doc")).alias("centre"))
+    around = dense.join(centre, "place").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
+    return found.where("side is null").select("a", "b").unionByName(across).unionByName(around).groupBy("a", "b").agg(F.count("*").alias("trees"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -248,3 +248,18 @@ def test_suffix_dedup(request, which, monkeypatch):
         want.append((i, len(b), keep.count(0), runs, hashlib.sha256(bytes(x for x, k in zip(b, keep) if k)).hexdigest()))
     got = sorted(tuple(r) for r in suffix_dedup.deduplicated(df).collect())
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("hub", [0, 9_999])
+def test_near_dedup_finds_copies_edited_apart(spark, hub):
+    """Each of many copies reaches the similarity with their original alone, whatever its id."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [(hub, " ".join(words))]
+    for copy in range(150):
+        edited = list(words)
+        for k in rng.sample(range(6, 194), 5):
+            edited[k] = f"x{copy}y{k}"
+        texts.append((1_000 + copy, " ".join(edited)))
+    got = neardup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {min(hub, 1_000)}
