@@ -3,8 +3,9 @@
 A k-mer of characters is an anchor if the smallest of its inner s-mers (by
 hash) is its first or its last: a choice that looks at nothing outside the
 k-mer, so equal passages get equal anchors wherever they stand. A fingerprint
-is the SKETCH anchors of smallest hash with their positions. Two fingerprints
-are compared by the anchors that both have at a consistent shift.
+is the SKETCH anchors of smallest hash, and of a longer text all anchors whose
+hash is below PART, with their positions: it grows with the text. Two
+fingerprints are compared by the anchors that both have at a consistent shift.
 
 Defined cases: null and empty text have the empty fingerprint; texts without an
 anchor (shorter than k) have one anchor, the hash of the whole; two empty
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from netgauge.llm.common import text_batches, written
 
-K, S, SKETCH = 16, 8, 48
+K, S, SKETCH = 16, 8, 64
+#: Anchors with a 32-bit hash below this (a sixteenth of all) are in every fingerprint.
+PART = 1 << 28
 #: Shifts of shared anchors within so many characters of the commonest are one alignment.
 SLACK = 32
 
@@ -66,34 +69,40 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(24-bit hashes, positions), by position, of the anchors of smallest hash; of equal anchors the first counts."""
+    """(32-bit hashes, positions), by position, of the SKETCH anchors of smallest hash and all below PART; of equal anchors the first counts."""
     at, h = anchors(text)
-    h = (h >> np.uint64(40)).astype(np.int64)
+    h = (h >> SHIFT).astype(np.int64)
     if len(h) > 8 * SKETCH:  # only these can be among the smallest: the bound is the hash of rank 4 * SKETCH
         for rank in (4 * SKETCH, len(h) - 1):
-            bound = np.partition(h, rank)[rank]
+            bound = max(np.partition(h, rank)[rank], PART - 1)
             keep = h <= bound
             if rank == len(h) - 1 or len(np.unique(h[keep])) >= SKETCH:
                 at, h = at[keep], h[keep]
                 break
     h, first = np.unique(h, return_index=True)
-    h, at = h[:SKETCH], at[first][:SKETCH]
+    size = max(SKETCH, int(np.searchsorted(h, PART)))
+    h, at = h[:size], at[first][:size]
     order = np.argsort(at, kind="stable")
     return h[order], at[order]
 
 
 def as_string(fp: tuple[np.ndarray, np.ndarray]) -> str:
-    return " ".join(f"{h:06x}@{p}" for h, p in zip(fp[0].tolist(), fp[1].tolist(), strict=True))
+    return " ".join(f"{h:08x}@{p}" for h, p in zip(fp[0].tolist(), fp[1].tolist(), strict=True))
+
+
+def known(h: np.ndarray) -> int:
+    """The hash up to which a fingerprint has every anchor of its text."""
+    return max(int(h.max()), PART - 1) if len(h) >= SKETCH else 1 << 32
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Share of anchors in common (Dice, estimated on the smallest of the union) that also agree on one shift."""
+    """Share of anchors in common (Dice, estimated on the hashes that both fingerprints cover) that also agree on one shift."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = np.union1d(a[0], b[0])
-    size = min(len(union), max(SKETCH, min(len(a[0]), len(b[0]))) if max(len(a[0]), len(b[0])) >= SKETCH else len(union))
-    low = a[0][i] <= union[size - 1]
+    bound = min(known(a[0]), known(b[0]))
+    low = a[0][i] <= bound
+    size = int((a[0] <= bound).sum() + (b[0] <= bound).sum() - low.sum())
     i, j = i[low], j[low]
     if not len(i):
         return 0.0
@@ -103,6 +112,33 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return round(2 * jaccard / (1 + jaccard), 6)
 
 
+def packed(fp: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Hashes and steps between positions, each as four planes of bytes: the steps' upper planes are zeros, which compress away."""
+    steps = np.diff(fp[1], prepend=0)
+    return b"".join(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (fp[0], steps))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(2, 4, -1)
+    h, steps = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in planes)
+    return h, np.cumsum(steps)
+
+
+def against(fp: tuple[np.ndarray, np.ndarray], ep: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, bytes]:
+    """What tells ep from fp: a bit for each anchor of fp that ep has too, and ep's others."""
+    pair = lambda x: x[0] << 32 | x[1]
+    stays, more = np.isin(pair(fp), pair(ep)), ~np.isin(pair(ep), pair(fp))
+    return np.packbits(stays).tobytes(), packed((ep[0][more], ep[1][more]))
+
+
+def restored(fp: tuple[np.ndarray, np.ndarray], stays: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kept = np.unpackbits(np.frombuffer(stays, np.uint8), count=len(fp[0])).astype(bool)
+    other = unpacked(more)
+    h, at = np.concatenate([fp[0][kept], other[0]]), np.concatenate([fp[1][kept], other[1]])
+    order = np.argsort(at, kind="stable")
+    return h[order], at[order]
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points gives way to as many of the next text's first (or all)."""
     n = len(text) // 4
@@ -114,23 +150,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The rows are range-partitioned and sorted by doc_id once; every task walks
     its rows with the next one in hand. The last row of each task meets the
-    first of the next in a second small pass over two rows a partition.
+    first of the next in a second small pass over two rows a partition. Between
+    the passes the results are kept packed, an edited fingerprint by what tells
+    it from its text's own.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    short = f"doc_id {id_type}, n_chars long, sha binary, fp binary, stays binary, more binary, near_edited double, near_next double"
 
     def result(doc_id: object, text: str, fp: tuple, following: str, next_fp: tuple) -> tuple:
         e = edited(text, following)
         ep = fp if e == text else sketch(e)
-        return doc_id, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), as_string(fp), as_string(ep), likeness(fp, ep), likeness(fp, next_fp)
+        return doc_id, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest(), packed(fp), *against(fp, ep), likeness(fp, ep), likeness(fp, next_fp)
 
     def batch_of(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([dict(zip(types.names, r, strict=True)) for r in rows], schema=types)
 
     id_arrow = pa.int32() if id_type == "int" else pa.string() if id_type == "string" else pa.int64()
     done = pa.schema(list(zip(names, [id_arrow, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)))
-    edge = pa.schema([*done, ("pid", pa.int32()), ("side", pa.int32()), ("text", pa.string())])
+    small = pa.schema([("doc_id", id_arrow), ("n_chars", pa.int64()), *((c, pa.binary()) for c in ("sha", "fp", "stays", "more")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    edge = pa.schema([*small, ("pid", pa.int32()), ("side", pa.int32()), ("text", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -140,27 +180,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts, strict=True):
                 fp = sketch(text)
                 if last is None:
-                    rows.append((doc_id, *[None] * 6, pid, 0, text))
+                    rows.append((doc_id, *[None] * 7, pid, 0, text))
                 else:
                     rows.append((*result(*last, text, fp), None, None, None))
                 last = (doc_id, text, fp)
             yield batch_of(rows, edge)
         if last is not None:
-            yield batch_of([(last[0], *[None] * 6, pid, 1, last[1])], edge)
+            yield batch_of([(last[0], *[None] * 7, pid, 1, last[1])], edge)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches):
             following = [t or "" for t in part.column(part.schema.get_field_index("following")).to_pylist()]
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-            yield batch_of([result(i, t, sketch(t), f, sketch(f)) for i, t, f in zip(ids, texts, following, strict=True)], done)
+            yield batch_of([result(i, t, sketch(t), f, sketch(f)) for i, t, f in zip(ids, texts, following, strict=True)], small)
+
+    def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, n, sha, fp, stays, more, near_edited, near_next in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = unpacked(fp)
+                rows.append((doc_id, n, sha.hex(), as_string(own), as_string(restored(own, stays, more)), near_edited, near_next))
+            yield batch_of(rows, done)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = written(ordered.mapInArrow(walk, f"{out}, pid int, side int, text string"))
+    rows = written(ordered.mapInArrow(walk, f"{short}, pid int, side int, text string"))
     # Which partition follows which: one narrow row a partition; the texts then meet by that number.
     ends = rows.where("side = 0").select("pid")
     order = ends.withColumn("following", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())))
     first = rows.where("side = 0").select(F.col("pid").alias("following"), F.col("text").alias("following_text"))
     last = rows.where("side = 1").select("pid", "doc_id", "text")
     edges = last.join(order, "pid").join(first, "following").select("doc_id", "text", F.col("following_text").alias("following"))
-    return rows.where("side is null").select(*names).unionByName(edges.mapInArrow(join, out))
+    return rows.where("side is null").select(*small.names).unionByName(edges.mapInArrow(join, short)).mapInArrow(write_out, out)
