@@ -27,7 +27,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
+    return line_dedup.digest(table(spark, sf_dir, "documents"), grow=True)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,18 @@ def test_line_dedup(request, which):
     assert got == {i: [k for k, line in enumerate(t.split("\n")) if line and not line.isspace() and first[find(line)] != (i, k)] for i, t in texts.items()}
 
 
+def test_line_dedup_grows_with_the_line(spark):
+    """A changed number in a long line and one edit in a short one are near copies; edits(a, b) bounds every link."""
+    rng = random.Random(5)
+    base = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(k)) for k in (25, 40, 90)]
+    lines = [*base, *(x.replace(x.split()[7][:5], "20241", 1) for x in base), "Chapter nine: on", "Chapter nine, on", "ab", "ac"]
+    got = line_dedup.digest(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), grow=True).collect()
+    assert {r["doc_id"] for r in got if r["n_removed"]} == {3, 4, 5, 7}
+    for a, b in ((a, b) for a in lines for b in lines if len(a) >= len(b)):
+        for t in (1, 3, 9, 40):
+            assert line_dedup.distance_within(a, b, t) == (edits(a, b) <= t)
+
+
 def test_decontamination(spark, none):
     item = "A train leaves Rome at 9 and goes 60 km in 2 hours, how far does Anna ride in 5 hours today"
     bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "")], "item_id long, text string")
