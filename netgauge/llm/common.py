@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,24 +17,42 @@ from pyspark.sql import functions as F
 BATCH_CHARS = 2_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. A local one is made only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which all executors share. Only a driver that runs its own tasks may make one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/netgauge-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/netgauge-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written once to the shared folder and read from there."""
-    path = scratch_dir(df.sparkSession)
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in this application's shared one."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that this application wrote in between; for when its results have been written."""
+    delete(spark, scratch_root(spark))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: the rows are written once to the shared folder and read from there."""
+    return stored(df, scratch_dir(df.sparkSession))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,14 +90,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: each node points to the
     smallest of its neighbours until nothing changes, about log(n) rounds. Every
     round is an aggregate and a splittable join, so a hub's links are never
-    gathered in one place, and is written to the shared folder. Self links and
-    repeated links are allowed; an empty input gives an empty result.
+    gathered in one place, and is written to the shared folder; the round before
+    is removed then. Self links and repeated links are allowed; an empty input
+    gives an empty result.
     """
+    spark = edges.sparkSession
+
     def sign(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return row[0], row[1]
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    path = scratch_dir(spark)
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     before = sign(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -87,7 +110,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low2, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low2.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small)
+        old, path = path, scratch_dir(spark)
+        e = stored(small, path)
+        delete(spark, old)
         after = sign(e)
         if after == before:
             break
