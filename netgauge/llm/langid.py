@@ -15,32 +15,34 @@ share of 2 ** (-bits per byte * SHARPNESS) over the languages: a posterior that
 doesn't saturate on long texts.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; ties go
-to the language first in alphabetical order; with no labelled text every text
-is `und`; whole texts are scored whatever their length; repeated rows give
+to the language first in alphabetical order; a language without any labelled
+text that has a letter isn't learnt, and with none at all every text is `und`;
+several rows of one doc_id and text count once in training; whole texts are scored whatever their length; repeated rows give
 repeated results; further columns are ignored; an empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgauge.llm.common import text_batches
 
 #: Longest context in bytes.
 ORDER = 3
-#: Training bound: at most so many rows a language, in order of crc32(doc_id), and so many characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 4_000
+#: Training bound: so many distinct texts a language, those of smallest crc32(doc_id); each is learnt whole.
+SAMPLE_ROWS = 400
 SHARPNESS = 8.0
 UND = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -52,15 +54,22 @@ def grams(data: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+#: counts[lang][n]: the sorted grams of n + 1 bytes (a context of n bytes and the byte after it), and how often each occurs.
+Counts = dict[str, list[tuple[np.ndarray, np.ndarray]]]
+
+
+def counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The counts of one language's texts; contexts don't cross texts."""
+    data = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
+    return [np.unique(np.concatenate([grams(d, n + 1) for d in data] or [np.zeros(0, np.uint32)]), return_counts=True) for n in range(ORDER + 1)]
+
+
 class Model:
     """Frozen code lengths of all languages. Bounded by the training sample, not by the corpus."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
-        counts = []
-        for lang in self.langs:
-            texts = [np.frombuffer(t.encode(), np.uint8) for t in samples[lang]]
-            counts.append([np.unique(np.concatenate([grams(t, n + 1) for t in texts] or [np.zeros(0, np.uint32)]), return_counts=True) for n in range(ORDER + 1)])
+    def __init__(self, by_lang: Counts):
+        self.langs = sorted(by_lang)
+        counts = [by_lang[lang] for lang in self.langs]
         # levels[n]: keys of contexts of n bytes + the byte, in any language; lengths by language; the same of escapes from contexts of n bytes
         self.keys, self.bits, self.contexts, self.escapes = [], [], [], []
         for n in range(ORDER + 1):
@@ -156,21 +165,49 @@ def held_out(doc_id: object = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, o, h: of each language the SAMPLE_ROWS texts with a letter of smallest (o, h), o a hash of doc_id, h of the text.
+
+    Every task keeps at most that many a language, so repeated rows and a language
+    of a third of all rows weigh on no task.
+    """
+    o = F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string")))
+    labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", o.alias("o"), F.xxhash64("text").alias("h"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, list[tuple[int, int]]] = {}
+        for b in batches:
+            langs = np.asarray(b.column(0).to_pylist(), object)
+            for lang in set(langs.tolist()):
+                at = pa.array(langs == lang)
+                new = zip(b.column(1).filter(at).to_pylist(), b.column(2).filter(at).to_pylist(), strict=True)
+                kept[lang] = heapq.nsmallest(SAMPLE_ROWS, {*kept.get(lang, ()), *new})
+        rows = [(lang, *x) for lang, xs in kept.items() for x in xs]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "o", "h"])
+
+    few = labelled.mapInArrow(least, "lang string, o long, h long").distinct()
+    return few.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))).where(f"rn <= {SAMPLE_ROWS}").drop("rn")
+
+
 def train(docs: DataFrame) -> Model:
-    """Fits on a bounded sample: SAMPLE_ROWS rows a language, those of smallest crc32(doc_id) that aren't held out."""
-    labelled = docs.where(~held_out() & F.col("lang").isNotNull()).withColumn("o", F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string"))))
-    langs = [r["lang"] for r in labelled.select("lang").distinct().collect()]
-    # Narrow scans find each language's cut-off; one scan of the texts then fetches the rows below it.
-    cuts = {lang: labelled.where(F.col("lang") == lang).select("o").orderBy("o").limit(SAMPLE_ROWS).agg(F.max("o")).first()[0] for lang in langs}
-    chosen = F.lit(False)
-    for lang, cut in cuts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("o") <= cut))
-    rows = labelled.where(chosen).select("lang", "o", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "o", "text").limit(2 * SAMPLE_ROWS * max(1, len(langs))).collect()
-    samples: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in rows:
-        if len(samples[r["lang"]]) < SAMPLE_ROWS and r["text"]:
-            samples[r["lang"]].append(r["text"])
-    return Model({k: v for k, v in samples.items() if v})
+    """Fits on the sample. Grams are counted in the tasks; only the sample's distinct grams reach the driver."""
+    o = F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string")))
+    texts = docs.where(~held_out() & F.col("lang").isNotNull()).select("lang", o.alias("o"), F.xxhash64("text").alias("h"), "text")
+    texts = texts.join(F.broadcast(sample(docs)), ["lang", "o", "h"], "left_semi").dropDuplicates(["lang", "o", "h"]).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ts in text_batches(batches):
+            langs = part.column(part.schema.get_field_index("lang")).to_pylist()
+            for lang in sorted(set(langs)):
+                for n, (keys, seen) in enumerate(counted([t for t, x in zip(ts, langs, strict=True) if x == lang])):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([n] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(seen, pa.int64())], ["lang", "n", "gram", "seen"])
+
+    grams_ = texts.mapInArrow(count, "lang string, n int, gram long, seen long").groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
+    by_lang: Counts = {}
+    for (lang, n), g in grams_.toPandas().sort_values("gram").groupby(["lang", "n"]):
+        by_lang.setdefault(lang, [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * (ORDER + 1))[n] = (g["gram"].to_numpy(np.uint32), g["seen"].to_numpy(np.int64))
+    return Model(by_lang)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
