@@ -7,10 +7,11 @@ and the rest are compiled into one Spark column expression: scoring runs
 without Python. Fitting is distributed (Spark ML) over all labelled rows.
 
 Defined cases: null and empty texts have zero statistics and get a score like
-any other; with no labelled rows, or labels of one class only, the score is
-that class's share (0.5 without rows) for every text; null labels are left out;
-repeated rows are scored alike; further columns are ignored; an empty table
-gives an empty result.
+any other; with no labelled rows, labels of one class only, or statistics that
+tell no two labelled texts apart, the score is the share of label 1 (0.5
+without rows) for every text; null labels are left out; of several labels of a
+doc_id the highest counts; repeated rows are scored alike; further columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,11 +112,14 @@ def fit(labelled: DataFrame) -> RuleEnsemble:
     names = [c for c in labelled.columns if c != "label"]
     data = labelled.select(array_to_vector(F.array(*names)).alias("features"), F.col("label").cast("double"), *names)
     n, good = data.agg(F.count("*"), F.sum("label")).first()
+    p = min(max((good or 0) / n if n else 0.5, 1e-6), 1 - 1e-6)
+    constant = RuleEnsemble(math.log(p / (1 - p)), [])
     if not n or good in (0, n):
-        p = min(max((good or 0) / n if n else 0.5, 1e-6), 1 - 1e-6)
-        return RuleEnsemble(math.log(p / (1 - p)), [])
+        return constant
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.7, maxBins=64).fit(data)
     rules = sorted({simplified(r) for t in forest.trees for r in rules_of(t.toDebugString, names)})
+    if not rules:
+        return constant
     # label 0 is the rare one: both classes weigh alike in the loss would move the cut, so rows keep weight 1
     by_rule = data.select("label", array_to_vector(F.array(*[condition(r).cast("double") for r in rules])).alias("features"))
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=60).fit(by_rule)
