@@ -27,13 +27,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgauge.llm.common import ragged, text_batches
+from netgauge.llm.common import ragged, text_batches, written
 
 #: Words that the lexicon holds, and the longest word in bytes: these bound its size on the driver and in a broadcast.
-LEXICON_WORDS, LEXICON_BYTES = 60_000, 48
+LEXICON_WORDS, LEXICON_BYTES = 100_000, 48
 #: Words whose merges a worker keeps between batches.
 CACHE_WORDS = 100_000
 #: No such merge.
@@ -316,10 +316,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all("text", F.lit(JVM_WORDS), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def frequent_words(docs: DataFrame) -> DataFrame:
+    """(word, n): the most frequent words of all texts, LEXICON_WORDS at most; words that occur once are none of them.
+
+    The words above a cut-off are chosen where they are: the counts' classes (64
+    to each doubling, so at most a few thousand rows) tell which cut-off at most
+    LEXICON_WORDS words reach.
+    """
+    counts = written(count_words(docs).where((F.octet_length("word") <= LEXICON_BYTES) & (F.col("n") > 1)))
+    grade = F.floor(F.log2("n") * 64)
+    reach = F.sum("words").over(Window.orderBy(F.desc("grade")))
+    cut = counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("words")).withColumn("reach", reach).where(F.col("reach") <= LEXICON_WORDS).agg(F.min("grade")).first()[0]
+    return counts.where(grade >= (1 << 40 if cut is None else cut))
+
+
 def build_lexicon(docs: DataFrame, tok: Tokenizer) -> bytes:
-    """The LEXICON_WORDS most frequent words of all texts, compiled with their ids. At most that many rows reach the driver."""
-    top = count_words(docs).where(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
-    words = [r["word"].encode() for r in top]
+    """The frequent words compiled with their ids. Only they reach the driver, whatever the number of texts and tasks."""
+    words = [r["word"].encode() for r in frequent_words(docs).select("word").collect()]
     return compile_lexicon(dict(zip(words, tok.merge_many(words), strict=True)))
 
 
