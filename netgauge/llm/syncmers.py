@@ -10,7 +10,8 @@ fingerprints are compared by the anchors that both have at a consistent shift.
 Defined cases: null and empty text have the empty fingerprint; texts without an
 anchor (shorter than k) have one anchor, the hash of the whole; two empty
 fingerprints are alike (1.0); equal texts have equal fingerprints; rows of
-equal doc_id follow one another in the order of their texts; further columns
+equal doc_id follow one another in the order of their texts' xxhash64; a null
+doc_id comes first and may be of any orderable type; further columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netgauge.llm.common import text_batches, written
 
@@ -167,7 +169,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def batch_of(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([dict(zip(types.names, r, strict=True)) for r in rows], schema=types)
 
-    id_arrow = pa.int32() if id_type == "int" else pa.string() if id_type == "string" else pa.int64()
+    id_arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     done = pa.schema(list(zip(names, [id_arrow, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)))
     small = pa.schema([("doc_id", id_arrow), ("n_chars", pa.int64()), *((c, pa.binary()) for c in ("sha", "fp", "stays", "more")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     edge = pa.schema([*small, ("pid", pa.int32()), ("side", pa.int32()), ("text", pa.string())])
@@ -203,12 +205,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield batch_of(rows, done)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
     rows = written(ordered.mapInArrow(walk, f"{short}, pid int, side int, text string"))
     # Which partition follows which: one narrow row a partition; the texts then meet by that number.
     ends = rows.where("side = 0").select("pid")
-    order = ends.withColumn("following", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())))
+    after = ends.withColumn("following", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())))
     first = rows.where("side = 0").select(F.col("pid").alias("following"), F.col("text").alias("following_text"))
     last = rows.where("side = 1").select("pid", "doc_id", "text")
-    edges = last.join(order, "pid").join(first, "following").select("doc_id", "text", F.col("following_text").alias("following"))
+    edges = last.join(after, "pid").join(first, "following").select("doc_id", "text", F.col("following_text").alias("following"))
     return rows.where("side is null").select(*small.names).unionByName(edges.mapInArrow(join, short)).mapInArrow(write_out, out)
