@@ -91,19 +91,31 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
 
 
 class RangeReader:
-    """Bytes of a file from an offset on, read forwards in pieces."""
-
-    def __init__(self, file: pa.NativeFile, start: int):
-        self.file, self.base, self.data = file, start, b""
-        file.seek(start)
-
-    def more(self) -> bool:
-        piece = self.file.read(READ_BYTES)
-        self.data += piece
-        return bool(piece)
-
-    def drop(self, upto: int) -> None:
-        self.data, self.base = self.data[upto - self.base :], upto
+    """Bytes of a file by position, one piece of READ_BYTES in memory at a time."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.base, self.data = file, 0, b""
+
+    def piece(self, pos: int) -> memoryview:
+        """Bytes from a position on; empty at the end of the file."""
+        if not self.base <= pos < self.base + len(self.data):
+            self.file.seek(pos)
+            self.base, self.data = pos, self.file.read(READ_BYTES)
+        return memoryview(self.data)[pos - self.base :]
+
+    def find(self, what: bytes, pos: int, end: int) -> int:
+        """The first place in [pos, end) at which `what` starts, or -1."""
+        while pos < end:
+            have = len(self.piece(pos))
+            i = self.data.find(what, pos - self.base)
+            if i >= 0:
+                return self.base + i if self.base + i < end else -1
+            if have < len(what):
+                return -1
+            pos = self.base + len(self.data) - len(what) + 1  # it may go on in the next piece
+            self.file.seek(pos)
+            self.base, self.data = pos, self.file.read(READ_BYTES)
+        return -1
 
 
 def member(reader: RangeReader, at: int) -> tuple[bytes, int] | None:
@@ -112,9 +124,10 @@ def member(reader: RangeReader, at: int) -> tuple[bytes, int] | None:
     out, pos, valid = [], at, False
     size = 0
     while True:
-        if pos >= reader.base + len(reader.data) and not reader.more():
+        piece = reader.piece(pos)
+        if not len(piece):
             return None
-        piece = reader.data[pos - reader.base :] if valid else reader.data[pos - reader.base : pos - reader.base + 512]
+        piece = piece if valid else piece[:512]
         try:
             out.append(unpack.decompress(piece))
         except zlib.error:
@@ -146,25 +159,14 @@ def parse(data: bytes, with_payload: bool) -> dict:
 def records_of(fs: pafs.FileSystem, path: str, start: int, end: int, with_payload: bool) -> Iterator[dict]:
     """The records that start in [start, end) of an archive."""
     with fs.open_input_file(path) as file:
-        reader, at = RangeReader(file, start), start
-        while at < end:
-            i = reader.data.find(MAGIC, at - reader.base)
-            if i < 0:
-                at = max(at, reader.base + len(reader.data) - 2)
-                if at >= end or not reader.more():
-                    return
-                continue
-            at = reader.base + i
-            if at >= end:
-                return
+        reader, at = RangeReader(file), start
+        while (at := reader.find(MAGIC, at, end)) >= 0:
             found = member(reader, at)
             if found is None:
                 at += 1
                 continue
             yield parse(found[0], with_payload)
             at = found[1]
-            if at - reader.base > READ_BYTES:
-                reader.drop(at)
 
 
 def read_archives(spark: SparkSession, folder: str, archives: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
