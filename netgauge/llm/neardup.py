@@ -1,27 +1,34 @@
 """MinHash near-dedup with an LSH forest.
 
-A document's set is that of its distinct 5-word shingles. Every set gets TREES
-short signatures. For each tree the distinct sets are put in the order of their
-signatures (one range-partitioned sort for all trees), and neighbours in that
-order that share a prefix of at least MIN_DEPTH values are candidates. The depth
-adapts to the region: a prefix shared by at most NEAR sets makes all of them
-candidates of one another; in a denser region only longer prefixes do, and
-where even the longest is shared by more, each set meets the next in the order
-and the region's centre: of its sets that which stands in most such regions over
-all trees. (Copies of one original that were edited apart share its prefixes
-more often than one another's, so the original is the centre wherever it stands,
-and a region costs one comparison a member.) Candidates are confirmed on their
-full sets.
-
-Confirming goes in two rounds: first each set's best candidate of smaller id (a
-forest), then all candidates that the first round's links have not already put
-in one component. A group of thousands of near copies so costs about one
-comparison a member.
+A document's set is that of its distinct 5-word shingles. Every distinct set is
+a node with TREES short signatures. For each tree the nodes are put in the order
+of their signatures (one range-partitioned sort for all trees), and neighbours
+in that order that share a prefix of at least MIN_DEPTH values are candidates.
+The depth adapts to the region: a prefix shared by at most NEAR + 1 nodes makes
+all of them candidates of one another; in a denser region only longer prefixes
+do, and where even the longest is shared by more, each node meets the next in
+the order and the region's centre: that node which stands in most such regions
+over all trees. (Copies of one original that were edited apart share its
+prefixes more often than one another's, so the original is the centre wherever
+it stands, and a region costs one comparison a member.)
+
+What a dense region may hold beyond that is made up for in a last pass: of each
+region of MIN_DEPTH values with more than NEAR + 1 nodes, all those that are not
+yet in one component are compared with one another on their whole signatures, in
+blocks of bounded size. A region of one component costs nothing here; in others
+the blocks of the largest component don't meet one another. So a pair is a
+candidate if it shares MIN_DEPTH values in any tree, however crowded.
+
+Candidates are confirmed on their full sets in two rounds: first one for each
+node or pair of components (a forest), then those that are still in different
+components. A group of thousands of near copies so costs about one comparison a
+member.
 
 Defined cases: null or empty texts and texts without words have the empty set
-and no links; fewer than 5 words are one shingle; rows of equal doc_id are one
-document; equal sets are linked; further columns are ignored; an empty table
-gives an empty result.
+and no links; fewer than 5 words are one shingle; a null doc_id is kept only if
+no row of its group has an id; rows of equal doc_id are a row each and may have different sets, each of them linked for itself; equal
+sets are linked; further columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -39,8 +46,12 @@ from netgauge.llm.common import connected_components, text_batches, written
 
 SHINGLE, SIMILARITY = 5, 75
 TREES, MIN_DEPTH, MAX_DEPTH, NEAR = 24, 3, 5, 8
-#: Marks the rows of regions whose longest prefix is shared by more than NEAR others.
-DENSE = 2
+#: Marks the rows of regions whose longest, or shortest, prefix is shared by more than NEAR others.
+DENSE, CROWDED = 2, 3
+#: Nodes of a block in a crowded region, and the least share of equal signature values: five standard deviations below SIMILARITY.
+BLOCK, ALIKE = 512, 0.55
+#: Comparisons with one node that a task makes; more are split.
+HUB = 256
 
 _rng = np.random.default_rng(20240131)
 FACTOR = _rng.integers(1, 1 << 32, TREES * MAX_DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -88,33 +99,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, (h1, h2) a 128-bit hash of the set, its signature."""
+    """doc_id, text_key, n_shingles, h1 (a 64-bit hash of the set, which names its node), its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler()
         for part, texts in text_batches(batches):
-            n, h1, h2, sig = [], [], [], []
+            n, h1, sig = [], [], []
             for t in texts:
                 s = of(t)
                 n.append(len(s))
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                h1.append(int.from_bytes(d[:8], "little", signed=True))
-                h2.append(int.from_bytes(d[8:], "little", signed=True))
+                h1.append(xxhash.xxh3_64_intdigest(s.tobytes()))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("text_key")), pa.array(n, pa.int64()), pa.array(np.asarray(h1, np.uint64).view(np.int64)), pa.array(sig, pa.binary())], ["doc_id", "text_key", "n_shingles", "h1", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, h1 long, sig binary")
 
 
 def tree_keys(sets: DataFrame) -> DataFrame:
-    """sets(doc, sig) -> a row for each tree: k1 (tree and MIN_DEPTH values), k2 (the deeper values), doc."""
+    """sets(node, sig) -> a row for each tree: k1 (tree and MIN_DEPTH values), k2 (the deeper values), node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            docs = np.asarray(b.column(0))
+            nodes = np.asarray(b.column(0))
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, TREES, MAX_DEPTH).astype(np.uint64)
             k1 = np.zeros(sig.shape[:2], np.uint64)
             for d in range(MIN_DEPTH):
@@ -122,9 +135,9 @@ def tree_keys(sets: DataFrame) -> DataFrame:
                 k1 ^= k1 >> HALF
             k1 = (k1 >> np.uint64(8)) | (np.arange(TREES, dtype=np.uint64) << np.uint64(56))[np.newaxis]
             k2 = (sig[:, :, MIN_DEPTH] << HALF) | sig[:, :, MIN_DEPTH + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(k1.ravel().view(np.int64)), pa.array(k2.ravel().view(np.int64)), pa.array(np.repeat(docs, TREES))], ["k1", "k2", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1.ravel().view(np.int64)), pa.array(k2.ravel().view(np.int64)), pa.array(np.repeat(nodes, TREES))], ["k1", "k2", "node"])
 
-    return sets.select("doc", "sig").mapInArrow(run, "k1 long, k2 long, doc long")
+    return sets.select("node", "sig").mapInArrow(run, "k1 long, k2 long, node long")
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -135,10 +148,11 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.repeat(np.diff(np.append(at, len(new))), np.diff(np.append(at, len(new))))
 
 
-def neighbours(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def neighbours(k1: np.ndarray, k2: np.ndarray, node: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of which the later row isn't among the first `old`: by prefixes that few share, and next in order.
 
-    Then the rows whose longest prefix is shared by more.
+    Then the rows whose longest prefix is shared by more, and those whose shortest
+    is, or may be, as the region goes on before or after these rows.
     """
     deeper = k2.view(np.uint64) >> HALF
     few3, few4, few5 = (runs(*k) <= NEAR + 1 for k in ((k1,), (k1, deeper), (k1, k2)))
@@ -151,25 +165,26 @@ def neighbours(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, old: int) -> tup
             same &= few3[j:] | (few4[j:] & (deeper[:-j] == deeper[j:])) | (few5[j:] & (k2[:-j] == k2[j:]))
         at = np.flatnonzero(same)
         at = at[at + j >= old]
-        left.append(doc[at])
-        right.append(doc[at + j])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b), np.flatnonzero(~few5)
+        left.append(node[at])
+        right.append(node[at + j])
+    crowded = ~few3 | (k1 == k1[0]) | (k1 == k1[-1])
+    none = np.zeros(0, np.int64)
+    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.minimum(a, b), np.maximum(a, b), np.flatnonzero(~few5), np.flatnonzero(crowded)
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """sets(doc, sig) -> a < b, trees: how many trees brought the pair up."""
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets(node, sig) -> pairs a < b with their weight (how many trees brought the pair up), and (k1, node) of regions that are or may be crowded."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["k1", "k2", "doc"]
+    order = ["k1", "k2", "node"]
     names = ["a", "b", "pid", "side", "k1", "k2"]
 
     def batch_of(a: np.ndarray, b: np.ndarray, pid: int | None = None, side: int | None = None, k1: np.ndarray | None = None, k2: np.ndarray | None = None) -> pa.RecordBatch:
         n = len(a)
-        keys = [pa.array([None] * n if k is None else k, pa.int64()) for k in (k1, k2)]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([pid] * n, pa.int32()), pa.array([side] * n, pa.int32()), *keys], names)
+        keys = [pa.nulls(n, pa.int64()) if k is None else pa.array(k, pa.int64()) for k in (k1, k2)]
+        marks = [pa.nulls(n, pa.int32()) if x is None else pa.array(np.full(n, x, np.int32)) for x in (pid, side)]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *marks, *keys], names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, head = TaskContext.get().partitionId(), 0
@@ -184,10 +199,11 @@ def candidates(sets: DataFrame) -> DataFrame:
                 head += len(few[0])
             old = len(tail[0])
             rows = [np.concatenate(x) for x in zip(tail, rows, strict=True)]
-            a, b, dense = neighbours(*rows, old)
+            a, b, dense, crowded = neighbours(*rows, old)
             yield batch_of(a, b)
-            k1, k2, doc = (r[dense] for r in rows)
-            yield batch_of(doc, doc, None, DENSE, k1, k2)
+            k1, k2, node = rows
+            yield batch_of(node[dense], node[dense], None, DENSE, k1[dense], k2[dense])
+            yield batch_of(node[crowded], node[crowded], None, CROWDED, k1[crowded])
             tail = [r[-NEAR:] for r in rows]
         if len(tail[0]):
             yield batch_of(tail[2], tail[2], pid, 1, tail[0])
@@ -197,75 +213,159 @@ def candidates(sets: DataFrame) -> DataFrame:
     last = found.where("side = 1").select((F.col("pid") + 1).alias("pid"), "k1", "a")
     first = found.where("side = 0").select("pid", "k1", F.col("b").alias("b"))
     across = last.join(first, ["pid", "k1"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # A set has a row for each tree at most; some rows come twice, where a region goes on in the next batch.
-    dense = found.where(f"side = {DENSE}").groupBy(F.col("a").alias("doc")).agg(F.collect_set(F.struct("k1", "k2")).alias("places"))
-    dense = dense.select("doc", F.size("places").alias("n"), F.explode("places").alias("place"))
-    centre = dense.groupBy("place").agg(F.max(F.struct("n", (-F.col("doc")).alias("doc"))).alias("m")).select("place", (-F.col("m.doc")).alias("centre"))
-    around = dense.join(centre, "place").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
-    return found.where("side is null").select("a", "b").unionByName(across).unionByName(around).groupBy("a", "b").agg(F.count("*").alias("trees"))
+    # A node has a row for each tree at most; some rows come twice, where a region goes on in the next batch.
+    dense = found.where(f"side = {DENSE}").groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("k1", "k2")).alias("places"))
+    dense = dense.select("node", F.size("places").alias("n"), F.explode("places").alias("place"))
+    centre = dense.groupBy("place").agg(F.max(F.struct("n", "node")).alias("m")).select("place", F.col("m.node").alias("centre"))
+    around = dense.join(centre, "place").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    pairs = found.where("side is null").select("a", "b").unionByName(across).unionByName(around).groupBy("a", "b").agg(F.count("*").alias("weight"))
+    return pairs, found.where(f"side = {CROWDED}").select("k1", F.col("a").alias("node")).distinct()
+
+
+def crowded_candidates(crowd: DataFrame, comp: DataFrame, every: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a crowded region but no component, and have signatures alike.
+
+    crowd(k1, node), comp(node, component) -> a < b, weight (equal signature values). The
+    nodes of a region are dealt into blocks by hash, the largest component's apart
+    from the others; all blocks but two of the largest component's meet.
+    """
+    spark = crowd.sparkSession
+    c = crowd.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    sizes = c.groupBy("k1", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("k1").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
+    mixed = mixed.select("k1", F.col("m.c").alias("top"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("nl"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("nr"))
+    rows = written(c.join(mixed, "k1"))
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a long, b long, weight int")
+    block = F.when(F.col("c") == F.col("top"), F.pmod(F.xxhash64("node"), F.col("nl"))).otherwise(F.col("nl") + F.pmod(F.xxhash64("node"), F.col("nr"))).cast("int")
+    other = F.explode(F.when(F.col("block") < F.col("nl"), F.sequence(F.col("nl"), F.col("nl") + F.col("nr") - 1)).otherwise(F.sequence(F.lit(0), F.col("nl") + F.col("nr") - 1))).alias("other")
+    met = rows.withColumn("block", block).select("k1", "node", "c", "block", other).select("k1", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c")
+    wanted = rows.select("node").distinct()
+    sigs = every.where("sig is not null").select(F.col("h1").alias("node"), "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    met = met.join(sigs, "node").select("k1", "i", "j", "block", "node", "c", "sig").repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j", "block")
+    least = int(np.ceil(ALIKE * TREES * MAX_DEPTH))
+
+    def pairs_of(i: int, j: int, block: np.ndarray, node: np.ndarray, c: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for start in range(0, len(left), 64):
+            part = left[start : start + 64]
+            same = (sig[part][:, None] == sig[right][None]).sum(2, dtype=np.int32)
+            ok = (same >= least) & (c[part][:, None] != c[right][None])
+            if i == j:
+                ok &= part[:, None] < right[None]
+            x, y = np.nonzero(ok)
+            yield node[part[x]], node[right[y]], same[x, y]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def solve(k1: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, node: np.ndarray, c: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+            new = np.flatnonzero((k1[1:] != k1[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            found = [x for s, e in zip([0, *new], [*new, len(k1)], strict=True) for x in pairs_of(i[s], j[s], block[s:e], node[s:e], c[s:e], sig[s:e]) if len(x[0])]
+            a, b, w = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(w.astype(np.int32))], ["a", "b", "weight"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [np.asarray(x) for x in b.columns[:6]] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint32).reshape(b.num_rows, -1)]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+            cut = len(last) - int(last.sum())  # whole groups only; the last one may go on
+            if cut:
+                yield solve(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield solve(*held)
+
+    return met.mapInArrow(compare, "a long, b long, weight int").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    A node's text is sent once for each HUB of its partners, ahead of theirs, so a
+    hub of many pairs is spread over tasks and its text isn't repeated by pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, kept = Shingler(), {}
-
-        def shingles(doc: int, text: str) -> np.ndarray:
-            if doc not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                kept[doc] = of(text)
-            return kept[doc]
-
-        for part, left in text_batches(batches, "left_text"):
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            right = [t or "" for t in part.column(part.schema.get_field_index("right_text")).to_pylist()]
+        of, own = Shingler(), np.zeros(0, np.uint64)
+        for part, these in text_batches(batches):
             yes = []
-            for i, (x, y, s, t) in enumerate(zip(a, b, left, right, strict=True)):
-                p, q = shingles(x, s), of(t)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both and 100 * both >= SIMILARITY * (len(p) + len(q) - both):
+            bs = part.column(part.schema.get_field_index("b")).to_pylist()
+            for i, (b, t) in enumerate(zip(bs, these, strict=True)):
+                s = of(t)
+                if b is None:
+                    own = s
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if both and 100 * both >= SIMILARITY * (len(own) + len(s) - both):
                     yes.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in yes], pa.int64()), pa.array([b[i] for i in yes], pa.int64())], ["a", "b"])
+            yield part.select(["a", "b"]).take(pa.array(yes, pa.int64()))
 
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("left_text"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("right_text"))
-    return pairs.select("a", "b").hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "left_text", "right_text").mapInArrow(run, "a long, b long")
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("salts"))
+    salted = pairs.select("a", "b").join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    right = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """sets(doc, sig) of distinct sets -> node, component over confirmed links."""
-    pairs = written(candidates(sets))
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
-    best = written(pairs.groupBy("b").agg(F.max(F.struct("trees", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
-    comp = written(connected_components(confirmed(best, texts)))
+def joined(comp: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components comp(node, component) after what the candidates (a, b, weight) confirm; one pair of each two components goes first."""
+    of = lambda c, side: c.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    named = lambda p, c: p.join(of(c, "a"), "a", "left").join(of(c, "b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+    first = named(pairs, comp).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("weight", "a", "b")).alias("m")).select("m.a", "m.b")
+    comp = merged(comp, written(confirmed(written(first), texts)))
+    return merged(comp, written(confirmed(written(named(pairs, comp).select("a", "b")), texts)))
+
+
+def merged(comp: DataFrame, links_: DataFrame) -> DataFrame:
+    """comp(node, component) with further links (a, b) between nodes."""
     of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = written(confirmed(rest, texts)).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = links_.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     higher = written(connected_components(more)).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    joined = comp.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    known = comp.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = higher.select(F.col("component").alias("node"), F.col("top").alias("component")).join(comp, "node", "left_anti")
-    return joined.unionByName(alone)
+    return written(known.unionByName(alone))
+
+
+def links(every: DataFrame, docs: DataFrame) -> DataFrame:
+    """shingled rows -> node (a set's h1), component over confirmed links."""
+    rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    sets = every.where("n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.coalesce(rep, F.min(F.struct("doc_id", "text_key"))).alias("at"), F.first("sig").alias("sig"))
+    pairs, crowd = candidates(sets)
+    pairs, crowd = written(pairs), written(crowd)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
+    place = sets.select("node", "at.doc_id", "at.text_key").join(wanted, "node", "left_semi").withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    source = keyed(docs)
+    texts = written(source.join(place.hint("merge"), source["doc_id"].eqNullSafe(place["d"]) & (source["text_key"] == place["k"])).select("node", "text").dropDuplicates(["node"]))
+    best = written(pairs.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("m")).select("m.a", "b"))
+    comp = written(connected_components(confirmed(best, texts)))
+    comp = joined(comp, pairs.join(best, ["a", "b"], "left_anti"), texts)
+    rest = written(crowded_candidates(crowd, comp, every))
+    return comp if rest.isEmpty() else joined(comp, rest, texts)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
+def decided(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> a row for each of its rows: doc_id, text_key, n_shingles, component_id, kept."""
     every = written(shingled(docs))
-    sets = every.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
-    comp = written(links(sets.select("doc", "sig"), docs))
-    # Only sets that several rows have, or that are linked, need their component looked up.
-    groups = every.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    top = groups.join(comp, "node", "left").where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    out = every.drop("sig").join(top, ["h1", "h2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    comp = written(links(every, docs))
+    # Only sets that several rows have, or that are linked, need their component looked up: named by its smallest doc_id.
+    groups = every.where("n_shingles > 0").groupBy("h1").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
+    group = groups.join(comp.withColumnRenamed("node", "h1"), "h1", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "h1"))
+    low = group.groupBy("component").agg(F.min("doc").alias("component_id"))
+    top = written(group.select("h1", "component").join(low, "component").drop("component"))
+    out = every.drop("sig").join(top, "h1", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; all columns are kept."""
-    gone = deduplicated(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
+    return decided(docs).drop("text_key")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group the rows of the smallest doc_id stay; all columns are kept."""
+    gone = decided(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
