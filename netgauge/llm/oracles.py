@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from netgauge.llm.decontam import END, GAP, NAME, NAME_PATTERN, NUMBER, NUMBER_PATTERN, UNIT, UNIT_WORDS
+
 ORACLES: dict[str, str] = {
     "op8_perspectives": """
 with c as (
@@ -58,3 +60,30 @@ select page_id, cast(strlen(html) as bigint) as payload_bytes,
        case when page_id = first_id then 'response' else 'revisit' end as record_type,
        case when page_id = first_id then null else first_id end as refers_to
 from g"""
+
+# The patterns are op4's own; a value stands between its placeholder and an end mark.
+VALUED = (
+    f"regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{NUMBER}{NAME}{UNIT}{END}', '    '), '{NAME_PATTERN}', ' {NAME}\\0{END} ', 'g'), '{NUMBER_PATTERN}', ' {NUMBER}\\0{END} ', 'g'), "
+    f"'({NUMBER}[^{END}]*{END}) {{1,2}}{UNIT_WORDS}', '\\1 {UNIT}\\2{END} \\3', 'g')"
+)
+WORDS_OF = f"list_filter(string_split_regex(lower(regexp_replace(v, '([{NUMBER}-{UNIT}])[^{END}]*{END}', '\\1', 'g')), '{GAP}'), lambda x: x <> '')"
+SLOTS_OF = f"list_transform(regexp_extract_all(v, '[{NUMBER}-{UNIT}]([^{END}]*){END}', 1), lambda x: lower(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g')))"
+SLOT = f"in ('{NUMBER}', '{NAME}', '{UNIT}')"
+WINDOW_OF = "case when len(w) < 5 then array_to_string(w, ' ') || '|whole' else array_to_string(w[p + 1 : p + 5], ' ') end"
+ORACLES["op4_decontamination"] = f"""
+with d as (select row_number() over () as d, doc_id, {WORDS_OF} as w, {SLOTS_OF} as s from (select distinct doc_id, text, {VALUED} as v from documents)),
+i as (select row_number() over () as i, item_id, {WORDS_OF} as w, {SLOTS_OF} as s from (select distinct item_id, text, {VALUED} as v from benchmark)),
+dw as (select d, p, {WINDOW_OF} as win from (select d, w, unnest(range(0, greatest(len(w) - 4, 1))) as p from d where len(w) > 0)),
+iw as (select i, p, len(w) as n, {WINDOW_OF} as win from (select i, w, unnest(range(0, greatest(len(w) - 4, 1))) as p from i where len(w) > 0)
+  where len(list_filter(w[p + 1 : p + 5], lambda x: x not {SLOT})) > 0),
+size as (select i, count(distinct q) as n_words from (select i, unnest(range(p, least(p + 5, n))) as q from iw) group by 1),
+hits as (select dw.d, iw.i, dw.p as dp, iw.p as ip, iw.n from dw join iw on dw.win = iw.win),
+dt as (select d, q, s[cast(slot as bigint)] as value from (select d, s, q, w[q + 1] {SLOT} as is_slot, sum(cast(w[q + 1] {SLOT} as integer)) over (partition by d order by q) as slot from (select d, w, s, unnest(range(0, len(w))) as q from d where d in (select d from hits))) where is_slot),
+it as (select i, q, s[cast(slot as bigint)] as value from (select i, s, q, w[q + 1] {SLOT} as is_slot, sum(cast(w[q + 1] {SLOT} as integer)) over (partition by i order by q) as slot from (select i, w, s, unnest(range(0, len(w))) as q from i)) where is_slot),
+places as (select distinct d, i, dp - ip as diagonal, unnest(range(ip, least(ip + 5, n))) as q from hits),
+lines as (select p.d, p.i, p.diagonal, coalesce(bool_and(it.value = dt.value), true) as exact, count(distinct (it.value, dt.value)) filter (where it.value is not null) as pairs, count(distinct it.value) as vals
+  from places p left join it on it.i = p.i and it.q = p.q left join dt on dt.d = p.d and dt.q = p.q + p.diagonal group by 1, 2, 3),
+good as (select * from lines where pairs = vals),
+cov as (select p.d, p.i, count(distinct p.q) as n, count(distinct p.q) filter (where g.exact) as same from places p join good g on g.d = p.d and g.i = p.i and g.diagonal = p.diagonal group by 1, 2),
+found as (select d.doc_id, i.item_id, round(cov.n / size.n_words, 6) as coverage, cov.same >= 0.75 * size.n_words as exact from cov join size on size.i = cov.i join d on d.d = cov.d join i on i.i = cov.i where cov.n >= 0.75 * size.n_words)
+select doc_id, count(distinct item_id) as n_items, max(coverage) as coverage, bool_or(exact) as exact, list_sort(list(distinct item_id)) as item_ids from found group by 1"""
