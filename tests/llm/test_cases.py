@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("netgauge.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from netgauge.llm import bpe, common, langid, quality, syncmers, warc  # noqa: E402
+from netgauge.llm import bpe, common, decontam, langid, neardup, quality, syncmers, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "   \n\n"), (4, "one two three"), (5, "one two three"), (5, "one two three"), (5, "quite another text under the same id"), (6, "a b c d e f g h i j " * 400), (7, "ÄÖ ß 中文 \U0001f600"), (None, "no id at all, but a text of some length")]
@@ -226,3 +226,126 @@ def test_warc_reads_long_records_and_false_magic(spark, tmp_path):
         for i, _, html, _ in rows:
             payload = (html or "").encode()
             assert got[i]["payload_bytes"] == len(payload) and got[i]["payload"] == (None if i == 1 else payload)
+
+
+# ---- near-dedup ----
+
+
+def components(sets):
+    """Smallest id reachable, by comparing all pairs."""
+    ids, comp = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            comp[x] = comp[comp[x]]
+            x = comp[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                comp[b] = a
+    return {i: find(i) for i in ids}
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_dedup_in_a_crowded_region(spark):
+    """Variants of a text that isn't there, most of them unlike one another, and copies of some just above the bar; chains; no centre."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def edited(of, k):
+        out = list(of)
+        for at in rng.sample(range(6, 194), k):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    texts = {1_000 + i: edited(words, 5) for i in range(900)}
+    texts |= {3_000 + i: edited(texts[1_000 + i], 5) for i in range(250)}
+    link = edited(words, 5)
+    for i in range(60):
+        texts[5_000 + i] = link = edited(link, 4)
+    sets = {i: shingles(" ".join(t)) for i, t in texts.items()}
+    want = components(sets)
+    assert len(set(want.values())) > 500 and len(set(want.values())) < len(want) - 250
+    got = neardup.deduplicated(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_crowded_candidates_meet_in_blocks(spark, monkeypatch):
+    """Each pair of unlike components with like signatures once, whatever the block size; no pair within a component."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, 120, dtype=np.uint32)
+    sigs = []
+    for k in range(90):
+        s = base.copy()
+        s[rng.permutation(120)[: 30 if k % 3 else 90]] = rng.integers(0, 1 << 32, 30 if k % 3 else 90, dtype=np.uint32)
+        sigs.append(s)
+    every = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "h1 long, sig binary")
+    comp_of = {k: 0 if k < 50 else k - k % 2 for k in range(90)}
+    comp = spark.createDataFrame([(k, c) for k, c in comp_of.items() if k != c], "node long, component long")
+    crowd = spark.createDataFrame([(7, k) for k in range(90)] + [(8, k) for k in range(40)] + [(9, 60), (9, 80)], "k1 long, node long")
+    want = {(a, b) for b in range(90) for a in range(b) if comp_of[a] != comp_of[b] and (sigs[a] == sigs[b]).sum() >= 66}
+    for block in (3, 512):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = [(r["a"], r["b"]) for r in neardup.crowded_candidates(crowd, comp, every).collect()]
+        assert sorted(got) == sorted(want)
+    assert want and neardup.crowded_candidates(crowd.where("k1 = 8"), comp, every).count() == 0
+
+
+def test_near_dedup_takes_rows_of_one_id_apart(spark):
+    """Two texts under one doc_id are linked each for itself; null ids; clashing columns."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (None, b), (None, "alone at last in this table"), (5, None), (6, a)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, h1 string, component int")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in neardup.deduplicated(df).collect()))
+    assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (0, 56, 1, False), (0, 2, 0, True), (5, 0, 5, True), (6, 56, 1, False)])
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep_one(df).collect()) == sorted([(1, a), (1, b), (0, "alone at last in this table"), (5, "")])
+
+
+# ---- decontamination ----
+
+
+def test_names_at_a_sentence_start_are_slots(spark):
+    item = "Anna bought 3 apples. Ben bought 4 apples. Carl Smith bought 5 apples. Dora bought 6 apples."
+    other = "Peter bought 7 apples. Quinn bought 8 apples. Rosa bought 9 apples. Sam bought 10 apples."
+    wrong = "Peter bought 7 apples. Peter bought 8 apples. Peter bought 9 apples. Peter bought 7 apples."
+    units = "A van drives 60 km in 2 hours and then rests for 10 minutes by the road"
+    table = " ".join(str(i % 7) for i in range(3000))
+    bench = spark.createDataFrame([(1, item, "x"), (2, units, "x"), (3, "1 2 3 4 5 6 7", "x"), (None, "a nameless item of several plain words", "x")], "item_id long, text string, doc_id string")
+    texts = {10: item, 11: other, 12: units.upper(), 13: table, 14: "Intro. " * 20_000 + other + " end" * 20_000, 15: units.replace("60 km", "75 KM").replace("10", "٤٢"), 16: wrong, 17: "see a nameless item of several plain words here", 18: None}
+    rows = [*texts.items(), (11, other), (11, "another text of this id"), (None, item)]
+    docs = spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, item_id string")
+    found = sorted(((r["doc_id"] or 0, r["item_id"] or 0, r["exact"]) for r in decontam.contaminated(docs, bench).collect()))
+    assert found == [(0, 1, True), (10, 1, True), (11, 1, False), (12, 2, True), (14, 1, False), (15, 2, False), (16, 1, False), (17, 0, True)]
+    left = sorted((r["doc_id"], r["text"][:3] if r["text"] else "") for r in decontam.decontaminate(docs, bench).collect())
+    assert left == [(11, "ano"), (13, "0 1"), (18, "")]
+
+
+def test_one_value_of_the_item_stands_for_one_of_the_document(spark):
+    item = "the sum of 3 and 3 and 3 is asked of every pupil in the town each day"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("3", "8")), (2, item.replace("3 and 3 and 3", "4 and 5 and 6"))], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.by_document(docs, bench).collect()] == [1]
+
+
+@pytest.mark.parametrize("name", ["op4_decontamination", "op7_warc", "op8_perspectives", "op9_minhash"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from netgauge.llm import entry
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = entry.queries()[name](spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
