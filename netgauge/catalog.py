@@ -267,10 +267,10 @@ def f2_measurement_page(s: SparkSession, d: str) -> DataFrame:
     return m.orderBy(F.desc("measurement_start_time"), "measurement_uid").offset(25).limit(50).select("measurement_uid", "probe_cc", "probe_asn", "test_name", "measurement_start_time")
 
 
-@query(f"with {M}, k as (select report_id, input from m where event_id % 50 = 3 and confirmed = 't') select m.measurement_uid, m.report_id from m semi join k on m.report_id = k.report_id and m.input = k.input")
+@query(f"with {M}, k as (select report_id, input from m where confirmed = 't') select m.measurement_uid, m.report_id from m semi join k on m.report_id = k.report_id and m.input = k.input")
 def j8_locators(s: SparkSession, d: str) -> DataFrame:
     m = msm(s, d)
-    return m.join(m.where("event_id % 50 = 3 and confirmed = 't'").select("report_id", "input"), ["report_id", "input"], "left_semi").select("measurement_uid", "report_id")
+    return m.join(m.where("confirmed = 't'").select("report_id", "input"), ["report_id", "input"], "left_semi").select("measurement_uid", "report_id")
 
 
 @query(f"""with {AM}, t as (select asn, max(changed) as changed from am group by 1) select distinct am.asn, am.org_name, am.changed from am semi join t on am.asn = t.asn and am.changed = t.changed""")
@@ -516,7 +516,7 @@ def a30_simhash(s: SparkSession, d: str) -> DataFrame:
 
 
 def complete() -> None:
-    from netgauge import catalog_services  # noqa: F401  registers its queries here
+    from netgauge import catalog_readers, catalog_services  # noqa: F401  they register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

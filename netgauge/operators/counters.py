@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgauge.functions.scalar import bucket
@@ -70,3 +70,17 @@ def dense(counts: DataFrame, days: DataFrame, keys: DataFrame | None, by: list[s
     """Fills the grid of keys and days with 0 where there are no rows. Both sides of the grid are small: names times calendar days."""
     grid = days if keys is None else keys.crossJoin(days)
     return grid.join(counts, by, "left").withColumn(value, F.coalesce(value, F.lit(0)))
+
+
+def ground_truth(controls: DataFrame, cloud_asns: list[int]) -> DataFrame:
+    """controls(hostname, ip, port, ip_asn, ip_as_org_name, *_failure) -> outcomes by endpoint, and of its host and address as windows over the aggregate."""
+    seen = lambda c: F.col(f"{c}_failure").isNull()
+    nx = F.col("dns_failure") == "dns_nxdomain_error"
+    g = controls.groupBy("hostname", "ip", "port").agg(
+        F.max("ip_asn").alias("asn"), F.max("ip_as_org_name").alias("as_org_name"), F.coalesce(F.bool_or(F.col("ip_asn").isin(*cloud_asns)), F.lit(False)).alias("is_cloud_provider"),
+        F.count_if(seen("dns")).alias("row_dns_success_count"), F.count_if(nx).alias("row_dns_nxdomain_count"), F.count_if(~seen("dns") & ~nx).alias("row_dns_other_failure_count"),
+        *[c.alias(f"{p}_{n}_count") for p in ("tcp", "tls") for n, c in (("success", F.count_if(seen(p))), ("failure", F.count_if(~seen(p))))],
+    )
+    host = Window.partitionBy("hostname")
+    sums = {f"dns_{n}_count": F.sum(f"row_dns_{n}_count").over(host) for n in ("success", "nxdomain", "other_failure")}
+    return g.withColumns({"in_dns_answers": F.col("row_dns_success_count") > 0, "tls_consistent": F.max(F.col("tls_success_count") > 0).over(Window.partitionBy("hostname", "ip"))} | sums)

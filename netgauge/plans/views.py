@@ -42,7 +42,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("case when event_id % 5 = 0 then '{}' else concat('{\"extra\":{\"test_runtime\":', event_id % 1000, '}}') end").alias("scores"),
         F.expr("case event_id % 3 when 0 then 'android' when 1 then 'ios' else 'linux' end").alias("platform"),
         F.concat(F.lit("3."), F.expr("event_id % 20"), F.lit(".0")).alias("software_version"),
-        F.expr("k % 7").alias("ooni_run_link_id"),
+        F.expr("k % 7").alias("run_link_id"),
         F.col("k"),
         F.col("value"),
     )
@@ -92,6 +92,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One analysis per web measurement: likelihoods of blocked, down and ok by protocol, the failure behind each, a label."""
+    o = observations(spark, sf_dir)
+    likely = [F.expr(f"(event_id % {n}) / {n}").alias(f"{p}_{k}") for p, a in (("dns", 101), ("tcp", 103), ("tls", 107)) for k, n in (("down", a + 6), ("ok", a + 8))]
+    return o.select(
+        "measurement_uid", "measurement_start_time", "probe_asn", "probe_cc", "test_name", F.col("hostname").alias("domain"), F.col("label").alias("top_probe_analysis"),
+        F.col("dns_failure").alias("top_dns_failure"), F.col("tcp_failure").alias("top_tcp_failure"), F.col("tls_failure").alias("top_tls_failure"), "dns_blocked", "tcp_blocked", "tls_blocked", *likely,
+    )
+
+
 CC = "case when event_id % 97 = 0 then 'ZZ' else chr(cast(65 + user_id % 25 as integer)) || chr(cast(90 - user_id % 25 as integer)) end"
 M = f"""m as (
   select event_id, cast(event_id as varchar) as measurement_uid, 'r' || cast(event_id // 3 as varchar) as report_id, ts as measurement_start_time, user_id as probe_asn,
@@ -102,7 +112,7 @@ M = f"""m as (
     value / 100 as blocking_general, case event_id % 4 when 0 then '' when 1 then 'dns' when 2 then 'tcp_ip' else 'http-failure' end as blocking_type,
     case when event_id % 3 = 0 then user_id else 1000 + event_id % 7 end as resolver_asn,
     case when event_id % 5 = 0 then null else event_id % 1000 end as runtime,
-    case event_id % 3 when 0 then 'android' when 1 then 'ios' else 'linux' end as platform, '3.' || cast(event_id % 20 as varchar) || '.0' as software_version, k % 7 as ooni_run_link_id, k, value
+    case event_id % 3 when 0 then 'android' when 1 then 'ios' else 'linux' end as platform, '3.' || cast(event_id % 20 as varchar) || '.0' as software_version, k % 7 as run_link_id, k, value
   from (select *, cast(json_extract_string(props, '$.k') as integer) as k from events))"""
 CZ = """cz as (
   select distinct 'http://d' || cast(p_partkey % 90 as varchar) || '.example/' as url, 'd' || cast(p_partkey % 90 as varchar) || '.example' as domain,
@@ -120,3 +130,5 @@ OB = f"""{M}, ob as (
     (event_id % 101) / 101.0 as dns_blocked, (event_id % 103) / 103.0 as tcp_blocked, (event_id % 107) / 107.0 as tls_blocked,
     case event_id % 6 when 0 then 'dns.a' when 1 then 'dns.a' when 2 then 'tcp.b' else 'ok' end as label, event_id
   from m where domain <> '')"""
+AN_SELECT = """select measurement_uid, measurement_start_time, probe_asn, probe_cc, test_name, hostname as domain, label as top_probe_analysis, dns_failure as top_dns_failure, tcp_failure as top_tcp_failure, tls_failure as top_tls_failure,
+    dns_blocked, tcp_blocked, tls_blocked, (event_id % 107) / 107.0 as dns_down, (event_id % 109) / 109.0 as dns_ok, (event_id % 109) / 109.0 as tcp_down, (event_id % 111) / 111.0 as tcp_ok, (event_id % 113) / 113.0 as tls_down, (event_id % 115) / 115.0 as tls_ok from ob"""
