@@ -213,7 +213,7 @@ def k7_list_of_country(s: SparkSession, d: str) -> DataFrame:
     return p.na.fill("")
 
 
-@query(f"""with {CZ}, p as (select split_part(trim(x), ' ', 1) as code, cast(split_part(trim(x), ' ', 2) as bigint) as priority from (select unnest(string_split(replace('{links.DEFAULT_PRIORITIES}', chr(10), ' '), ',')) as x))
+@query(f"""with {CZ}, p(code, priority) as (values {', '.join(map(str, links.DEFAULT_PRIORITIES.items()))})
 select url, domain, cc, category_code, coalesce(priority, 0) as priority from (select url, domain, cc, case when cc = 'az' then 'NEWS' when cc = 'by' then 'GAME' else category_code end as category_code from cz) left join p on code = category_code""")
 def k8_default_priorities(s: SparkSession, d: str) -> DataFrame:
     u = views.url_list(s, d).withColumn("category_code", F.expr("case when cc = 'az' then 'NEWS' when cc = 'by' then 'GAME' else category_code end"))

@@ -6,12 +6,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The priority of each category before anyone edits the rules.
-DEFAULT_PRIORITIES = """NEWS 100, POLR 100, HUMR 100, LGBT 100, ANON 100, MMED 80, SRCH 80, PUBH 80, REL 60, XED 60, HOST 60, ENV 60, FILE 40, CULTR 40, IGO 40, GOVT 40,
-DATE 30, HATE 30, MILX 30, PROV 30, PORN 30, GMB 30, ALDR 30, GAME 20, MISC 20, HACK 20, ECON 20, COMM 20, CTRL 20, COMT 100, GRP 100"""
+DEFAULT_PRIORITIES = {
+    "NEWS": 100,
+    "POLR": 100,
+    "HUMR": 100,
+    "LGBT": 100,
+    "ANON": 100,
+    "MMED": 80,
+    "SRCH": 80,
+    "PUBH": 80,
+    "REL": 60,
+    "XED": 60,
+    "HOST": 60,
+    "ENV": 60,
+    "FILE": 40,
+    "CULTR": 40,
+    "IGO": 40,
+    "GOVT": 40,
+    "DATE": 30,
+    "HATE": 30,
+    "MILX": 30,
+    "PROV": 30,
+    "PORN": 30,
+    "GMB": 30,
+    "ALDR": 30,
+    "GAME": 20,
+    "MISC": 20,
+    "HACK": 20,
+    "ECON": 20,
+    "COMM": 20,
+    "CTRL": 20,
+    "COMT": 100,
+    "GRP": 100,
+}
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    rules = [(1, c, "*", "*", "*", int(p)) for c, p in (x.split() for x in DEFAULT_PRIORITIES.split(","))]
+    rules = [(1, c, "*", "*", "*", p) for c, p in DEFAULT_PRIORITIES.items()]
     return spark.createDataFrame(rules, "sign int, category_code string, cc string, domain string, url string, priority int")
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More body patterns than this are refused: every task holds them in one automaton.
-MOST_PATTERNS = 50_000
+#: Characters of the grams by which patterns are sought in bodies, and patterns up to which they are broadcast (more are shuffled).
+GRAM, BROADCAST_PATTERNS = 6, 50_000
 
 
 def dns_matches(answers: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -20,24 +16,30 @@ def dns_matches(answers: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 
 def body_matches(bodies: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """bodies(uid, body): a pattern stands anywhere in the body -> uid, name, once a pattern; all patterns are sought in one pass."""
-    patterns = [(r["name"], r["pattern"]) for r in fingerprints.where("pattern <> ''").limit(MOST_PATTERNS + 1).collect()]
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} body patterns")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, list[str]] = {}
-        for name, pattern in patterns:
-            names.setdefault(pattern, []).append(name)
-        automaton = ahocorasick.Automaton()
-        for pattern, of in names.items():
-            automaton.add_word(pattern, of)
-        automaton.make_automaton()
-        for b in batches:
-            rows = [(u, n) for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and names for n in sorted({n for _, of in automaton.iter(t) for n in of})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["uid", "name"])
-
-    return bodies.select(F.col("uid").cast("string").alias("uid"), "body").mapInArrow(run, "uid string, name string")
+    """bodies(uid, body), fingerprints(name, pattern): the pattern stands anywhere in the body -> uid, name, once each; empty patterns match nothing.
+
+    A pattern is sought by one of its grams of GRAM characters (or by the whole of
+    a shorter one): of its grams that which the fewest patterns have. The bodies'
+    distinct grams meet those by equality, and what meets is verified.
+    """
+    prints = fingerprints.where("pattern <> ''").select("name", "pattern", F.least(F.length("pattern"), F.lit(GRAM)).alias("n")).distinct()
+    sizes = [r["n"] for r in prints.select("n").distinct().collect()]  # GRAM of them at most
+    found = None
+    for n in sorted(sizes):
+        every = prints.where(F.col("n") == n).select("name", "pattern", F.explode(grams(F.col("pattern"), n)).alias("gram"))
+        seen = every.groupBy("gram").agg(F.count("*").alias("seen"))
+        rare = every.join(seen, "gram").groupBy("name", "pattern").agg(F.min(F.struct("seen", "gram")).alias("m")).select("name", "pattern", "m.gram")
+        rare = F.broadcast(rare) if rare.count() <= BROADCAST_PATTERNS else rare
+        hit = bodies.select("uid", F.explode(grams(F.col("body"), n)).alias("gram")).join(rare, "gram").select("uid", "name", "pattern").distinct()
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        return bodies.select(F.col("uid").cast("string").alias("uid"), F.lit(None).cast("string").alias("name")).where("false")
+    return bodies.select("uid", "body").join(found, "uid").where(F.contains("body", "pattern")).select(F.col("uid").cast("string").alias("uid"), "name").distinct()
+
+
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def header_matches(headers: DataFrame, fingerprints: DataFrame) -> DataFrame:
