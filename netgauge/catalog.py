@@ -362,13 +362,29 @@ def c6_endpoint_upsert(s: SparkSession, d: str) -> DataFrame:
     return versioned.upsert(sup.where("s_suppkey % 3 = 0"), sup.where("s_suppkey % 5 = 0"), ["k"], AS_OF)
 
 
-@query(f"""with {RL}, keyed as (select category_code, cc, domain, url, priority, sign from rl), o as (select distinct category_code, cc, domain, url, priority from rl where cc = 'BY' and category_code = 'PROM')
-select * from (select category_code, cc, domain, url, priority, sum(sign) as s from (select * from keyed union all select *, -1 from o) group by 1, 2, 3, 4, 5) where s > 0""")
-def c4_rule_update(s: SparkSession, d: str) -> DataFrame:
+UPDATED = f"""{RL}, o as (select distinct category_code, cc, domain, url, priority from rl where cc = 'BY' and category_code = 'PROM'),
+n as (select 'PROM' as category_code, cc, domain, '*' as url, priority + 1 as priority from o union all select 'SMAL', '*', '*', 'http://d' || cast(s_suppkey as varchar), 5 from supplier where s_suppkey % 7 = 0 union all select 'ECON', '*', '*', '*', 7),
+l as (select * from rl union all select *, -1 from o), alive as (select distinct category_code, cc, domain, url from (select category_code, cc, domain, url, priority from l group by 1, 2, 3, 4, 5 having sum(sign) > 0)),
+c as (select n.*, count(*) over (partition by n.category_code, n.cc, n.domain, n.url) > 1 or a.url is not null as bad from n left join alive a on a.category_code = n.category_code and a.cc = n.cc and a.domain = n.domain and a.url = n.url)"""
+
+
+def updated_rules(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     log = views.rule_log(s, d).select(*RULE, "sign")
     old = log.where("cc = 'BY' and category_code = 'PROM'").select(*RULE).distinct()
-    r = versioned.rule_update(log, old, old.where("false"), RULE)
-    return r.groupBy(*RULE).agg(F.sum("sign").alias("s")).where("s > 0")
+    more = views.read(s, d, "supplier").where("s_suppkey % 7 = 0").select(F.lit("SMAL").alias("category_code"), F.lit(" ").alias("cc"), F.lit("*").alias("domain"), F.concat(F.lit("http://d"), "s_suppkey").alias("url"), F.lit(5).alias("priority"))
+    taken = s.createDataFrame([("ECON", "*", "*", "", 7)], "category_code string, cc string, domain string, url string, priority int")
+    new = old.withColumn("priority", F.col("priority") + 1).unionByName(more).unionByName(taken)
+    return versioned.rule_update(log, old, new, RULE, RULE[:4])
+
+
+@query(f"with {UPDATED} select * from (select category_code, cc, domain, url, priority, sum(sign) as s from (select * from l union all select category_code, cc, domain, url, priority, 1 from c where not bad) group by 1, 2, 3, 4, 5) where s > 0")
+def c4_rule_update(s: SparkSession, d: str) -> DataFrame:
+    return updated_rules(s, d)[0].groupBy(*RULE).agg(F.sum("sign").alias("s")).where("s > 0")
+
+
+@query(f"with {UPDATED} select category_code, cc, domain, url, priority from c where bad")
+def c4_refused_rules(s: SparkSession, d: str) -> DataFrame:
+    return updated_rules(s, d)[1]
 
 
 @query(f"with {CZ} select url, domain, cc, category_code from cz where not (cc = 'az' and category_code = 'ECON') union all select distinct url, domain, cc, 'NEWS' from cz where cc = 'az' and category_code = 'ECON'")
@@ -431,8 +447,18 @@ def w8_country_feed(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {M}, c as (select probe_cc, probe_asn, count(*) as points from m where test_name = 'web_connectivity' group by 1, 2) select probe_cc, probe_asn, points, rn from (select *, row_number() over (partition by probe_cc order by points desc, probe_asn) as rn from c) where rn <= 20""")
 def w9_top_networks(s: SparkSession, d: str) -> DataFrame:
-    c = msm(s, d).where("test_name = 'web_connectivity'").groupBy("probe_cc", "probe_asn").agg(F.count("*").alias("points"))
-    return c.withColumn("rn", F.row_number().over(Window.partitionBy("probe_cc").orderBy(F.desc("points"), "probe_asn"))).where("rn <= 20")
+    return detector.busiest(msm(s, d).where("test_name = 'web_connectivity'"), ["probe_cc"], "probe_asn")
+
+
+@query(f"""with recursive {M}, s as (select probe_asn % 10 as grp, probe_asn, measurement_start_time as ts, event_id as uid, case when anomaly = 't' then 0.8 when confirmed = 't' then 2.0 else 0.0 end as x from m where test_name = 'web_connectivity'),
+t as (select grp, probe_asn from (select grp, probe_asn, row_number() over (partition by grp order by count(*) desc, probe_asn) as rn from s group by 1, 2) where rn <= 3),
+n as (select s.*, row_number() over (partition by s.grp, s.probe_asn order by ts, uid) as rn from s semi join t on t.grp = s.grp and t.probe_asn = s.probe_asn),
+e as (select grp, probe_asn, uid, rn, cast(x as double) as mean from n where rn = 1 union all select n.grp, n.probe_asn, n.uid, n.rn, 0.98 * e.mean + 0.02 * n.x from e join n on n.grp = e.grp and n.probe_asn = e.probe_asn and n.rn = e.rn + 1) select grp, probe_asn, uid, round(mean, 6) as mean from e""")
+def w9_network_averages(s: SparkSession, d: str) -> DataFrame:
+    """The busiest networks of each group, each with its own moving average."""
+    r = msm(s, d).where("test_name = 'web_connectivity'").select(F.expr("probe_asn % 10").alias("grp"), "probe_asn", F.col("measurement_start_time").alias("ts"), F.col("event_id").alias("uid"), scalar.backfill_score(F.col("anomaly") == "t", F.col("confirmed") == "t").alias("x"))
+    top = detector.busiest(r, ["grp"], "probe_asn", 3).select("grp", "probe_asn")
+    return detector.moving_average(r.join(top, ["grp", "probe_asn"], "left_semi"), ["grp", "probe_asn"]).select("grp", "probe_asn", "uid", F.round("mean", 6).alias("mean"))
 
 
 @query("""with q as (select event_id, user_id, epoch_us(ts) as t, greatest(cast(floor(value * 100 + 0.0001) as bigint), 1) as cost from events)

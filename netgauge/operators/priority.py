@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rules up to this number are broadcast to the URLs; they are written by hand.
-MOST_RULES = 100_000
+FIELDS = ("category_code", "domain", "url", "cc")
+#: A rule's form for global URLs, whose country doesn't matter.
+ANY = "any country"
 
 
 def url_priorities(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls(url, domain, category_code, cc) -> priority: the sum of the rules that match.
 
     A field of a rule matches if it is '', '*' or equal; cc doesn't matter for
-    global (zz) URLs. Rules with a category are found by it, the others are few.
+    global (zz) URLs. A URL has sixteen forms (eight if global), each field itself
+    or `*`, and looks them up by equality, so the rules can be many.
     """
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in ("category_code", "domain", "url", "cc")], "priority")
-    free = lambda c: F.col(f"r_{c}").isin("", "*")
-    match = (F.lower("cc") == "zz") | free("cc") | (F.lower("r_cc") == F.lower("cc"))
-    for c in ("category_code", "domain", "url"):
-        match = match & (free(c) | (F.col(f"r_{c}") == F.col(c)))
-    return urls.join(F.broadcast(r), match, "left").groupBy("category_code", "domain", "url", "cc").agg(F.coalesce(F.sum("priority"), F.lit(0)).alias("priority"))
+    free = lambda c: F.when(F.col(c).isin("", "*"), "*").otherwise(F.lower(c) if c == "cc" else F.col(c))
+    r = rules.select(*[free(c).alias(c) for c in FIELDS], "priority")
+    r = r.unionByName(r.withColumn("cc", F.lit(ANY))).groupBy(*FIELDS).agg(F.sum("priority").alias("priority"))
+    either = lambda c: F.array(F.col(c), F.lit("*"))
+    u = urls.withColumn("_cc", F.explode(F.when(F.lower("cc") == "zz", F.array(F.lit(ANY))).otherwise(F.array(F.lower("cc"), F.lit("*")))))
+    for c in FIELDS[:3]:
+        u = u.withColumn(f"_{c}", F.explode(either(c)))
+    r = r.select(*[F.col(c).alias(f"_{c}") for c in FIELDS], "priority")
+    return u.join(r, [f"_{c}" for c in FIELDS], "left").groupBy("category_code", "domain", "url", "cc").agg(F.coalesce(F.sum("priority"), F.lit(0)).alias("priority"))
 
 
 def weighted(priorities: DataFrame, counts: DataFrame) -> DataFrame:

@@ -17,15 +17,27 @@ def collapsed(log: DataFrame, keys: list[str], sign: str = "sign") -> DataFrame:
     return log.groupBy(*keys).agg(F.sum(sign).alias("_s")).where("_s > 0").drop("_s")
 
 
-def rule_update(log: DataFrame, old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Appends -1 rows for the old rules and +1 rows for the new; a new rule whose key is alive already is an error, so it is left out."""
-    alive = collapsed(log.unionByName(old.withColumn("sign", F.lit(-1))), keys)
-    fresh = new.join(alive, keys, "left_anti")
-    return log.unionByName(old.withColumn("sign", F.lit(-1))).unionByName(fresh.withColumn("sign", F.lit(1)))
+def blanks_free(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Blank fields of a rule mean any."""
+    return rules.withColumns({k: F.when(F.trim(k) == "", "*").otherwise(F.col(k)) for k in keys if rules.schema[k].dataType.simpleString() == "string"})
+
+
+def rule_update(log: DataFrame, old: DataFrame, new: DataFrame, keys: list[str], unique: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The log with -1 rows for the old rules and +1 rows for the new, and apart the new rules that are refused: one of equal `unique` columns is alive, or comes twice."""
+    log = log.unionByName(old.withColumn("sign", F.lit(-1)))
+    new = blanks_free(new, unique).withColumn("_twice", F.count("*").over(Window.partitionBy(*unique)) > 1)
+    alive = collapsed(log, keys).select(*unique).distinct().withColumn("_alive", F.lit(True))
+    checked = new.join(alive, unique, "left").withColumn("_bad", F.coalesce("_alive", F.lit(False)) | F.col("_twice"))
+    part = lambda bad: checked.where(F.col("_bad") == bad).select(*keys)
+    return log.unionByName(part(False).withColumn("sign", F.lit(1))), part(True)
 
 
 def edited_list(rows: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """A list without the old entries and with the new ones."""
+    """A list without the old entries and with the new ones; an old entry that isn't there, or an edit without a change, is an error."""
+    if not old.join(rows, rows.columns, "left_anti").isEmpty():
+        raise ValueError("an entry to be replaced isn't in the list")
+    if not old.join(new, rows.columns, "left_semi").isEmpty():
+        raise ValueError("an edit changes nothing")
     return rows.join(old, rows.columns, "left_anti").unionByName(new)
 
 
