@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netgauge.functions import scalar, scoring
+from netgauge.functions import legacy, scalar, scoring
 from netgauge.operators import counters, detector, priority, versioned
 from netgauge.plans import views
 from netgauge.plans.views import AM, AS_OF, CZ, OB, RL, M
@@ -527,22 +527,12 @@ def r_scored_bodies(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def a30_simhash(s: SparkSession, d: str) -> DataFrame:
-    """Simhash of pages: 4-character shingles of word characters, each voting with the low 64 bits of its MD5 as often as it occurs."""
-    text = F.concat_ws("", F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
-    p = views.read(s, d, "pages").select("page_id", text.alias("t"))
-    n = F.greatest(F.length("t") - 3, F.lit(1))
-    sh = p.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("t"), i, F.lit(4)))).alias("g")).groupBy("page_id", "g").agg(F.count("*").alias("c"))
-    low = F.conv(F.substring(F.md5("g"), 17, 16), 16, -10).cast("long")
-    bits = [F.sum(F.when(F.getbit(low, F.lit(i)) == 1, F.col("c")).otherwise(-F.col("c"))).alias(f"b{i}") for i in range(64)]
-    votes = sh.groupBy("page_id").agg(*bits)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return votes.select("page_id", value.alias("simhash"))
+    """Simhash of pages; MD5's bits as votes aren't in SQL, tested against known values."""
+    return legacy.simhash(views.read(s, d, "pages"), "page_id", "html")
 
 
 def complete() -> None:
-    from netgauge import catalog_readers, catalog_scores, catalog_services  # noqa: F401  they register their queries here
+    from netgauge import catalog_readers, catalog_records, catalog_scores, catalog_services  # noqa: F401  they register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

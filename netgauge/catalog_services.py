@@ -237,11 +237,29 @@ def l6_lowest_quotas(s: SparkSession, d: str) -> DataFrame:
 # ---- upkeep of archives ----
 
 
-@query(f"""with {M}, n as (select *, (row_number() over (partition by cast(measurement_start_time as date), probe_cc, test_name order by measurement_uid) - 1) // 20 as bundle from m)
-select strftime(measurement_start_time, '%Y%m%d') as day, probe_cc as cc, test_name as test, bundle, count(*) as n, sha256(string_agg(measurement_uid, chr(10) order by measurement_uid)) as name from n group by 1, 2, 3, 4""")
+BUNDLED = f"""{M}, l as (select measurement_uid, strftime(measurement_start_time, '%Y%m%d') as day, strftime(measurement_start_time, '%H') as hour, case when event_id % 50 < 30 then 'AA' else probe_cc end as cc, 't' as test, case when event_id % 9 = 0 then '{{}}' else '{{"uid":"' || measurement_uid || '","pad":"' || repeat('x', event_id % 40) || '"}}' end as value from m),
+o as (select *, coalesce(sum(strlen(value) + 1) over (partition by day, hour, cc, test order by measurement_uid rows between unbounded preceding and 1 preceding), 0) as before from l), n as (select *, cast(floor(before / 100) as bigint) as bundle from o)"""
+
+
+def to_bundle(s: SparkSession, d: str) -> DataFrame:
+    body = F.expr("""case when event_id % 9 = 0 then '{broken' else concat('{"uid":"', measurement_uid, '","pad":"', repeat('x', cast(event_id % 40 as int)), '"}') end""")
+    return msm(s, d).select("measurement_uid", F.date_format("measurement_start_time", "yyyyMMdd").alias("day"), F.date_format("measurement_start_time", "HH").alias("hour"), F.expr("case when event_id % 50 < 30 then 'AA' else probe_cc end").alias("cc"), F.lit("t").alias("test"), body.alias("body"))
+
+
+@query(f"with {BUNDLED} select measurement_uid, day, hour, cc, bundle, value, cast(row_number() over (partition by day, hour, cc, test, bundle order by measurement_uid) - 1 as integer) as linenum from n")
+def w7_bundles_by_bytes(s: SparkSession, d: str) -> DataFrame:
+    return archives.bundled(to_bundle(s, d), 100).select("measurement_uid", "day", "hour", "cc", "bundle", "value", "linenum")
+
+
+@query(f"with {BUNDLED} select day, hour, cc, test, bundle, count(*) as n, sha256(string_agg(measurement_uid, chr(10) order by measurement_uid)) as name from n group by 1, 2, 3, 4, 5")
 def s12_bundle_names(s: SparkSession, d: str) -> DataFrame:
-    m = msm(s, d).select("measurement_uid", F.date_format("measurement_start_time", "yyyyMMdd").alias("day"), F.col("probe_cc").alias("cc"), F.col("test_name").alias("test"))
-    return archives.bundle_names(m.unionByName(m), lines_per_file=20)
+    m = to_bundle(s, d)
+    return archives.bundle_names(m.unionByName(m), 100)
+
+
+@query(f"with {M} select measurement_uid from m where date_trunc('hour', measurement_start_time) + interval 2 hour <= timestamp '2024-01-20 12:30:00'")
+def s11_settled_hours(s: SparkSession, d: str) -> DataFrame:
+    return archives.settled(to_bundle(s, d), "2024-01-20 12:30:00").select("measurement_uid")
 
 
 @query(f"with {M} select event_id, input, domain from m where event_id > 300 and event_id < (select max(event_id) - 10 from m)")

@@ -11,6 +11,13 @@ def domain_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))
 
 
+def input_and_domain(v: Column) -> tuple[Column, Column]:
+    """A record's input as text and its domain; a list of inputs reads `{a,b}` and has its first one's domain."""
+    many = F.try_variant_get(v, "$.input", "array<string>")
+    one = F.coalesce(F.try_variant_get(v, "$.input", "string"), F.lit(""))
+    return F.when(many.isNotNull(), F.concat(F.lit("{"), F.array_join(many, ","), F.lit("}"))).otherwise(one), domain_of(F.when(many.isNotNull(), F.coalesce(F.get(many, F.lit(0)), F.lit(""))).otherwise(one))
+
+
 def asn_number(asn: Column) -> Column:
     """`AS123` -> 123; anything else -> 0."""
     return F.coalesce(F.regexp_replace(F.upper(F.trim(asn)), "^[AS]+", "").try_cast("long"), F.lit(0))
@@ -18,7 +25,7 @@ def asn_number(asn: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated items: trimmed, distinct, sorted, blanks dropped."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def expected_countries(text: Column) -> Column:
@@ -67,11 +74,48 @@ def wrong_date(uid: Column, start: Column) -> Column:
     return F.coalesce(usable & ((gap < -3600) | (gap > 365 * 86400)), F.lit(False))
 
 
+def lenient_time(text: Column) -> Column:
+    """A date or time of several forms, without a zone in UTC; null if it is none."""
+    t = F.trim(text)
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "yyyyMMdd'T'HHmmss'Z'", "yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd", "d MMM yyyy")
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms])
+
+
+def iso_midnight(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd'T00:00:00+00:00'")
+
+
+def iso_z(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def valid_url(url: Column) -> Column:
     """http(s) URL without blanks around it, control characters or backslashes."""
     return F.coalesce((url == F.trim(url)) & ~url.rlike(r"[\r\n\t\\]") & url.rlike(r"^https?://[^/?#\s]+"), F.lit(False))
 
 
+# The categories of a list of URLs.
+CATEGORIES = (
+    "ALDR", "ANON", "COMM", "COMT", "CTRL", "CULTR", "DATE", "ECON", "ENV", "FILE", "GAME", "GMB", "GOVT", "GRP", "HACK", "HATE",
+    "HOST", "HUMR", "IGO", "LGBT", "MILX", "MISC", "MMED", "NEWS", "POLR", "PORN", "PROV", "PUBH", "REL", "SRCH", "XED",
+)
+
+
+def entry_faults(url: Column, category: Column, added: Column) -> Column:
+    """Reasons why an entry of a URL list is refused: its URL must have a path, its category be known, its date exist."""
+    ok = lambda c: ~F.coalesce(c, F.lit(False))
+    path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
+    same = F.date_format(F.try_to_timestamp(added, F.lit("yyyy-MM-dd")), "yyyy-MM-dd") == added
+    return F.array_compact(F.array(F.when(ok(valid_url(url) & (path != "")), "bad_url"), F.when(ok(category.isin(*CATEGORIES)), "bad_category"), F.when(ok(same), "bad_date")))
+
+
+def report_faults(rid: Column, cc: Column, asn: Column, test: Column) -> Column:
+    """How a report id differs from what its body says; `bad_id` if it has no fitting shape."""
+    p = report_id_parts(rid)
+    differs = lambda a, b: F.coalesce(a != b, F.lit(True))
+    return F.when(p.isNull(), F.array(F.lit("bad_id"))).otherwise(F.array_compact(F.array(F.when(differs(p["probe_cc"], cc), "cc"), F.when(differs(p["probe_asn"], asn_number(asn)), "asn"), F.when(differs(p["test_name"], F.regexp_replace(test, "_", "")), "test_name"))))
+
+
 def meta_faults(cc: Column, asn: Column, test: Column) -> Column:
     """Reasons why a submission is refused; empty if none."""
     a = F.upper(asn)
@@ -93,12 +137,6 @@ def report_id_parts(rid: Column) -> Column:
     return F.when(ok, F.struct(p[0].alias("ts"), p[1].alias("test_name"), p[2].alias("probe_cc"), p[3].cast("long").alias("probe_asn"), p[4].alias("collector"), p[5].alias("nonce")))
 
 
-def legacy_answer(text: Column) -> Column:
-    """Fields of a DNS answer printed as text."""
-    get = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return F.struct(get(r"ttl=(\d+)").try_cast("int").alias("ttl"), get(r"type=([A-Z]+)").alias("answer_type"), get(r"address=([^\s>]+)").alias("ipv4"), get(r"name=([^\s>]+)").alias("hostname"))
-
-
 def legacy_time(value: Column) -> Column:
     """Epoch seconds or text -> `yyyy-MM-dd HH:mm:ss`."""
     return F.date_format(F.coalesce(F.timestamp_seconds(value.try_cast("double")), F.try_to_timestamp(value)), "yyyy-MM-dd HH:mm:ss")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netgauge.functions.scalar import valid_url
+from netgauge.functions.scalar import expected_countries, valid_url
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,26 +24,45 @@ def posts(spark: SparkSession, path: str) -> DataFrame:
 
 def archive(spark: SparkSession, path: str, since: str, until: str, countries: list[str] | None = None, tests: list[str] | None = None) -> DataFrame:
     """Bundles partitioned by day, cc and test; only the partitions asked for are listed and read (until is exclusive)."""
-    d = spark.read.option("basePath", path).text(path).where((F.col("day").cast("string") >= since) & (F.col("day").cast("string") < until))
+    d = spark.read.option("basePath", path).text(path).where((F.col("_metadata.file_size") > 0) & (F.col("day").cast("string") >= since) & (F.col("day").cast("string") < until))
     if countries:
         d = d.where(F.col("cc").isin(*countries))
     return d.where(F.col("test").isin(*tests)) if tests else d
 
 
-def write_bundles(measurements: DataFrame, path: str, lines_per_file: int = 10_000) -> DataFrame:
-    """measurements(measurement_uid, day, cc, test, body) -> gzipped JSON lines by partition; returns the locator rows.
+#: Bytes after which a bundle is full.
+BUNDLE_BYTES = 20_000_000
+PARTS = ("day", "hour", "cc", "test")
+
 
-    A bundle number and 0-based line are columns of the locator: position within
-    (day, cc, test) by uid, cut into bundles of lines_per_file.
+def bundled(measurements: DataFrame, budget: int = BUNDLE_BYTES) -> DataFrame:
+    """measurements(measurement_uid, day, hour, cc, test, body) -> with value (an unparsable body is `{}`), bundle and 0-based linenum.
+
+    In order of uid; a new bundle begins with the first line at or after each multiple of the budget.
     """
-    at = F.row_number().over(Window.partitionBy("day", "cc", "test").orderBy("measurement_uid")) - 1
-    m = measurements.withColumn("_n", at).withColumn("bundle", F.floor(F.col("_n") / lines_per_file)).withColumn("linenum", (F.col("_n") % lines_per_file).cast("int"))
-    m.select("day", "cc", "test", "bundle", "linenum", F.coalesce("body", F.lit("{}")).alias("value")).repartition("day", "cc", "test", "bundle").sortWithinPartitions("day", "cc", "test", "bundle", "linenum").select("value", "day", "cc", "test", "bundle").write.partitionBy("day", "cc", "test", "bundle").option("compression", "gzip").mode("overwrite").text(path)
-    where = F.concat_ws("/", F.concat(F.lit("day="), "day"), F.concat(F.lit("cc="), "cc"), F.concat(F.lit("test="), "test"), F.concat(F.lit("bundle="), "bundle"))
+    m = measurements.withColumn("value", F.when(F.try_parse_json("body").isNotNull(), F.translate("body", "\n", " ")).otherwise("{}"))
+    order = Window.partitionBy(*PARTS).orderBy("measurement_uid")
+    before = F.coalesce(F.sum(F.octet_length("value") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = m.withColumn("bundle", F.floor(before / budget))
+    return m.withColumn("linenum", F.row_number().over(Window.partitionBy(*PARTS, "bundle").orderBy("measurement_uid")) - 1)
+
+
+def settled(measurements: DataFrame, as_of: str) -> DataFrame:
+    """Only hours that ended an hour ago are bundled."""
+    hour = F.to_timestamp(F.concat(F.col("day"), F.col("hour")), "yyyyMMddHH")
+    return measurements.where(hour + F.expr("interval 2 hours") <= F.lit(as_of).cast("timestamp"))
+
+
+def write_bundles(measurements: DataFrame, path: str, budget: int = BUNDLE_BYTES) -> DataFrame:
+    """Writes gzipped JSON lines by day, hour, country, test and bundle; returns the locator rows."""
+    m = bundled(measurements.dropDuplicates(["measurement_uid"]), budget)
+    keys = [*PARTS, "bundle"]
+    m.select("value", "linenum", *keys).repartition(*keys).sortWithinPartitions(*keys, "linenum").drop("linenum").write.partitionBy(*keys).option("compression", "gzip").mode("overwrite").text(path)
+    where = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), k) for k in keys])
     return m.select("measurement_uid", where.alias("s3path"), "linenum")
 
 
-def url_lists(spark: SparkSession, path: str, least: int = 0, most: int = 1_000_000) -> DataFrame:
+def url_lists(spark: SparkSession, path: str, least: int = 20_000, most: int = 1_000_000) -> DataFrame:
     """CSV files named by country (`global` is ZZ) -> url, cc, category_code; bad URLs go; the number of rows must be plausible."""
     d = spark.read.option("header", True).csv(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^([a-z]+)\.csv$", 1)
@@ -70,19 +91,45 @@ def export_months(fact: DataFrame, path: str, time: str = "measurement_start_tim
 
 
 def bodies(spark: SparkSession, path: str, locators: DataFrame) -> DataFrame:
-    """locators(measurement_uid, s3path, linenum) -> the lines they point to. A bundle is bounded in lines, so it is split in one task."""
-    text = spark.read.option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).text(path, wholetext=True)
-    where = F.regexp_extract(F.col("_metadata.file_path"), r"(day=[^/]+/cc=[^/]+/test=[^/]+/bundle=[^/]+)/[^/]+$", 1)
-    lines = text.select(where.alias("s3path"), F.posexplode(F.split("value", "\n")).alias("linenum", "body"))
-    return locators.join(lines, ["s3path", "linenum"]).select("measurement_uid", "body")
+    """locators(measurement_uid, s3path, linenum) -> the lines they point to; bundles that none points to aren't read. A bundle is bounded in bytes, so one task splits it."""
+    keys = [*PARTS, "bundle"]
+    at = locators.select("measurement_uid", "linenum", *[F.regexp_extract("s3path", rf"{k}=([^/]+)", 1).alias(k) for k in keys])
+    text = spark.read.schema(", ".join(f"{c} string" for c in ("value", *keys))).option("basePath", path).option("wholetext", True).text(path)
+    wanted = text.join(at.select(*keys).distinct(), keys)
+    lines = wanted.select(*keys, F.posexplode(F.split("value", "\n")).alias("linenum", "body"))
+    return at.join(lines, [*keys, "linenum"]).select("measurement_uid", "body")
+
+
+def bundle_names(measurements: DataFrame, budget: int = BUNDLE_BYTES) -> DataFrame:
+    """Same rows, same bundles: each uid once, named by the hash of a bundle's uids -> day, hour, cc, test, bundle, n, name."""
+    b = bundled(measurements.dropDuplicates(["measurement_uid"]), budget).groupBy(*PARTS, "bundle").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("measurement_uid")).alias("uids"))
+    return b.select(*PARTS, "bundle", "n", F.sha2(F.array_join("uids", "\n"), 256).alias("name"))
+
+
+def fingerprint_lists(spark: SparkSession, path: str) -> DataFrame:
+    """CSV of fingerprints -> typed columns; expected countries as an array."""
+    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return d.withColumns({"confidence_no_fp": F.col("confidence_no_fp").try_cast("int"), "expected_countries": expected_countries(F.coalesce("expected_countries", F.lit("")))})
+
+
+def swapped(df: DataFrame, path: str, least: int, most: int) -> DataFrame:
+    """Load and swap: the rows are written beside the current ones, counted there, and become current only if their number is plausible."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/{version}")
+    gated(spark.read.parquet(f"{path}/{version}"), least, most)
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{path}-current")
+    return current(spark, path)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}-current').first()[0]}")
 
 
-def bundle_names(measurements: DataFrame, lines_per_file: int = 10_000) -> DataFrame:
-    """Same rows, same bundles: each uid once, in order, cut into bundles named by the hash of their uids -> day, cc, test, bundle, n, name."""
-    m = measurements.dropDuplicates(["measurement_uid"])
-    at = F.row_number().over(Window.partitionBy("day", "cc", "test").orderBy("measurement_uid")) - 1
-    b = m.withColumn("bundle", F.floor(at / lines_per_file)).groupBy("day", "cc", "test", "bundle").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("measurement_uid")).alias("uids"))
-    return b.select("day", "cc", "test", "bundle", "n", F.sha2(F.array_join("uids", "\n"), 256).alias("name"))
+def without_secrets(posts_: DataFrame) -> DataFrame:
+    """(measurement_uid, v) of posts -> v with only the fields that may be stored."""
+    keep = ("content", "format", "protocol_version", "manifest_version")
+    fields = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k.isin(*keep))
+    return posts_.withColumn("v", F.try_parse_json(F.to_json(fields)))
 
 
 def export_chunks(table: DataFrame, path: str, rows: int = 100_000_000) -> None:
@@ -91,7 +138,7 @@ def export_chunks(table: DataFrame, path: str, rows: int = 100_000_000) -> None:
 
 
 def export_result(result: DataFrame, path: str) -> None:
-    """CSV with the columns in alphabetical order."""
+    """CSV with the columns in alphabetical order; a result of one value is one row, one without rows has no file content."""
     result.select(*sorted(result.columns)).write.option("header", True).mode("overwrite").csv(path)
 
 
@@ -101,9 +148,10 @@ def newer_rows(fact: DataFrame, key: str, watermark: object, until: object) -> D
 
 
 def sync(fact: DataFrame, key: str, watermark: object, until: object, path: str) -> object:
-    """Appends what is new and gives the next watermark, which moves only after the write."""
-    newer_rows(fact, key, watermark, until).write.mode("append").parquet(path)
-    last = newer_rows(fact, key, watermark, until).agg(F.max(key)).first()[0]
+    """Writes what is new and gives the next watermark, that of the rows written; it moves only after the write."""
+    part = f"{path}/after={watermark}"  # a repeated sync after a failure overwrites its own rows
+    newer_rows(fact, key, watermark, until).write.mode("overwrite").parquet(part)
+    last = fact.sparkSession.read.parquet(part).agg(F.max(key)).first()[0]
     return watermark if last is None else last
 
 

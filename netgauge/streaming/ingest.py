@@ -7,27 +7,81 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netgauge.functions import scoring
+from netgauge.functions import scalar, scoring
 from netgauge.operators.detector import LOWER, UPPER, WEIGHT
 
 
-def scored(bodies: DataFrame) -> DataFrame:
-    """Stream or table of (measurement_uid, body) -> scored rows; unparsable bodies, unknown countries and networks are dropped."""
-    v = F.col("v")
+#: Columns of a fact row, in order.
+TEXTS = {"software_version": "$.software_version", "architecture": "$.annotations.architecture", "engine_name": "$.annotations.engine_name", "engine_version": "$.annotations.engine_version", "test_version": "$.test_version", "test_helper_address": "$.test_helpers.backend.address", "test_helper_type": "$.test_helpers.backend.type"}
+
+
+def kept(bodies: DataFrame) -> DataFrame:
+    """(measurement_uid, body) -> with v, without what isn't taken in: unparsable bodies, no report id, unknown country or network."""
     d = bodies.withColumn("v", F.try_parse_json("body")).where("v is not null")
-    cc, asn, test = (F.try_variant_get(v, f"$.{n}", "string") for n in ("probe_cc", "probe_asn", "test_name"))
-    d = d.where((F.upper(cc) != "ZZ") & (F.upper(asn) != "AS0") & F.try_variant_get(v, "$.report_id", "string").isNotNull())
-    d = d.select("measurement_uid", F.upper(cc).alias("probe_cc"), asn.alias("probe_asn"), test.alias("test_name"), F.try_variant_get(v, "$.input", "string").alias("input"), F.try_to_timestamp(F.try_variant_get(v, "$.measurement_start_time", "string")).alias("measurement_start_time"), scoring.score(v, test).alias("scores"))
-    return d.withColumns(scoring.flags(F.col("scores")))
+    cc, asn = (F.coalesce(F.try_variant_get("v", f"$.{n}", "string"), F.lit("")) for n in ("probe_cc", "probe_asn"))
+    return d.where((F.upper(cc) != "ZZ") & (F.upper(asn) != "AS0") & F.try_variant_get("v", "$.report_id", "string").isNotNull())
+
+
+def fact_rows(rows: DataFrame, scores: Column | None = None, confirmed: Column | None = None) -> DataFrame:
+    """(measurement_uid, v) -> the whole fact row, missing fields with their defaults.
+
+    Scores are the test's own unless they are given (as by confirm.scored); a
+    start that the uid's time contradicts takes the accuracy away.
+    """
+    v, uid = F.col("v"), F.col("measurement_uid")
+    text = lambda path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    start = F.try_to_timestamp(F.try_variant_get(v, "$.measurement_start_time", "string"), F.lit("yyyy-MM-dd HH:mm:ss"))
+    test, (input_, domain) = text("$.test_name"), scalar.input_and_domain(v)
+    s = scoring.score(v, test) if scores is None else scores
+    wrong = scalar.wrong_date(uid, start)
+    d = rows.withColumn("scores", F.struct(s["blocking_general"].alias("blocking_general"), F.when(wrong, 0.0).otherwise(s["accuracy"]).alias("accuracy"), s["blocking_type"].alias("blocking_type")))
+    link = F.map_values(F.map_filter(F.coalesce(F.try_variant_get(v, "$.annotations", "map<string,string>"), F.expr("cast(map() as map<string,string>)")), lambda k, _: k.endswith("run_link_id")))
+    return d.select(
+        uid, text("$.report_id").alias("report_id"), input_.alias("input"), domain.alias("domain"), F.upper(text("$.probe_cc")).alias("probe_cc"), scalar.asn_number(text("$.probe_asn")).alias("probe_asn"), test.alias("test_name"),
+        F.try_to_timestamp(F.try_variant_get(v, "$.test_start_time", "string"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("test_start_time"), start.alias("measurement_start_time"), F.to_json("scores").alias("scores_json"), F.col("scores.blocking_general").alias("blocking_general"),
+        F.coalesce(F.try_variant_get(v, "$.annotations.platform", "string"), F.lit("unset")).alias("platform"), F.coalesce(F.try_variant_get(v, "$.software_name", "string"), F.lit("unknown")).alias("software_name"),
+        F.coalesce(F.try_variant_get(v, "$.test_runtime", "double"), F.lit(0.0)).alias("test_runtime"), *[text(path).alias(n) for n, path in TEXTS.items()], F.get(link, F.lit(0)).try_cast("long").alias("run_link_id"),
+        F.coalesce("scores.blocking_type", F.lit("")).alias("blocking_type"), *[c.alias(n) for n, c in scoring.flags(F.col("scores")).items()], F.when(F.lit(False) if confirmed is None else confirmed, "t").otherwise("f").alias("confirmed"),
+    )
+
+
+def scored(bodies: DataFrame) -> DataFrame:
+    """Stream or table of (measurement_uid, body) -> fact rows."""
+    return fact_rows(kept(bodies))
+
+
+def start_scoring(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 100, once: bool = False) -> StreamingQuery:
+    """JSON lines that arrive below `source` become fact rows below `sink`, so many files a batch.
+
+    A batch that is repeated after a failure overwrites its own folder, so no row comes twice.
+    """
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    lines = spark.readStream.option("maxFilesPerTrigger", files).schema("measurement_uid string, body string").json(source)
+    writer = scored(lines).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def recent_web(fact: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
+    """Web measurements of listed URLs that are neither in the future nor 8 days old."""
+    m = fact.where((F.col("test_name") == "web_connectivity") & (F.col("measurement_start_time") < now) & (F.col("measurement_start_time") > now - F.expr("interval 8 days")))
+    return m.join(urls.select(F.col("url").alias("input")).distinct(), "input")
+
+
+def daily_counters(web: DataFrame) -> DataFrame:
+    """Counts by day, country and input; rows more than 8 days late are dropped."""
+    return web.withWatermark("measurement_start_time", "8 days").groupBy(F.window("measurement_start_time", "1 day").alias("w"), "probe_cc", "input").agg(F.count("*").alias("msmt_cnt"))
 
 
-def weekly_counters(fact: DataFrame) -> DataFrame:
+def weekly_counters(web: DataFrame) -> DataFrame:
     """Counts by Sunday week, country, network and input; rows more than 8 days late are dropped."""
-    return fact.withWatermark("measurement_start_time", "8 days").groupBy(F.window("measurement_start_time", "7 days", "7 days", "3 days").alias("w"), "probe_cc", "probe_asn", "input").agg(F.count("*").alias("msmt_cnt"))
+    return web.withWatermark("measurement_start_time", "8 days").groupBy(F.window("measurement_start_time", "7 days", "7 days", "3 days").alias("w"), "probe_cc", "probe_asn", "input").agg(F.count("*").alias("msmt_cnt"))
 
 
 def blocking_changes(values: DataFrame, keys: list[str]) -> DataFrame:

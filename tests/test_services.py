@@ -43,14 +43,6 @@ def test_decoded(spark):
     assert [r[0] for r in d.select(lookup.decoded(F.col("v"), F.col("f"))).collect()] == ["hello", text]
 
 
-def test_bodies_come_back_by_locator(spark, tmp_path):
-    body = lambda i: json.dumps({"n": i})
-    d = spark.createDataFrame([(f"u{i}", "20240102", "IT", "signal", body(i)) for i in range(7)], "measurement_uid string, day string, cc string, test string, body string")
-    at = archives.write_bundles(d, f"{tmp_path}/raw", lines_per_file=3)
-    asked = at.where("measurement_uid in ('u1', 'u5', 'u6')")
-    assert {r["measurement_uid"]: r["body"] for r in archives.bodies(spark, f"{tmp_path}/raw", asked).collect()} == {f"u{i}": body(i) for i in (1, 5, 6)}
-
-
 def test_sync_moves_its_watermark(spark, tmp_path):
     fact = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(10)], "uid long, input string")
     assert archives.sync(fact, "uid", -1, 6, f"{tmp_path}/t") == 5
@@ -95,3 +87,31 @@ def test_refresh_keeps_the_old_copy(spark):
     assert table().count() == 3
     with pytest.raises(OSError):
         Refreshed(lambda: (_ for _ in ()).throw(OSError("away")))
+
+
+def test_simhash_of_known_texts(spark):
+    from netgauge.functions.legacy import simhash
+
+    d = spark.createDataFrame([(1, ""), (2, "hello"), (3, None)], "id long, text string")
+    got = {r["id"]: r["simhash"] % (1 << 64) for r in simhash(d, "id", "text").collect()}
+    assert got == {1: 16825458760271544958, 2: 36330143249342482, 3: 16825458760271544958}
+
+
+def test_measurement_uid(spark):
+    import hashlib
+
+    from netgauge.functions.scalar import measurement_uid
+
+    r = spark.sql("select timestamp '2024-01-02 03:04:05.123456' as t, 'IT' as cc, 'web_connectivity' as test, 'body' as b").select(measurement_uid(*map(F.col, ("t", "cc", "test", "b"))).alias("u")).first()
+    assert r["u"] == "20240102030405.123456_IT_webconnectivity_" + hashlib.sha512(b"body").hexdigest()[:16]
+
+
+def test_edits_that_do_nothing_are_refused(spark):
+    from netgauge.operators.versioned import edited_list
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "url string, n int")
+    assert sorted(map(tuple, edited_list(rows, rows.where("n = 1"), spark.createDataFrame([("c", 3)], rows.schema)).collect())) == [("b", 2), ("c", 3)]
+    with pytest.raises(ValueError, match="isn't in the list"):
+        edited_list(rows, spark.createDataFrame([("z", 1)], rows.schema), rows)
+    with pytest.raises(ValueError, match="changes nothing"):
+        edited_list(rows, rows.where("n = 1"), rows.where("n = 1"))

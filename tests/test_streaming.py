@@ -1,7 +1,9 @@
 """A stream gives what the batch gives; archives come back as written."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from netgauge import catalog
@@ -12,38 +14,109 @@ from netgauge.streaming import ingest
 SF = "/root/testdata/sf0.001"
 
 
-def test_changes_stream_equals_batch(spark, tmp_path):
+def test_changes_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Two halves of the series, each by a query of its own on one checkpoint, give what the batch gives over the whole."""
     s = catalog.series(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
-    for i, part in enumerate(("2024-01-01", "2024-01-16")):
-        s.where((F.col("ts") >= part) & (F.col("ts") < ("2024-01-16" if i == 0 else "2025-01-01"))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
-    q = None
-    for i in range(2):
-        stream = spark.readStream.schema(s.schema).parquet(f"{tmp_path}/in/*")
-        q = ingest.blocking_changes(stream, ["probe_cc", "input"]).writeStream.format("memory").queryName("changes").option("checkpointLocation", f"{tmp_path}/cp{i}").start()
+    got = set()
+    for i, (since, until) in enumerate((("2024-01-01", "2024-01-16"), ("2024-01-16", "2025-01-01"))):
+        s.where((F.col("ts") >= since) & (F.col("ts") < until)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(s.schema).parquet(f"{tmp_path}/in")
+        rows = []
+        q = ingest.blocking_changes(stream, ["probe_cc", "input"]).writeStream.foreachBatch(lambda df, n, rows=rows: rows.extend(df.collect())).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
         q.processAllAvailable()
         q.stop()
-        break
-    got = {(r["probe_cc"], r["input"], r["ts"], r["blocked"]) for r in spark.table("changes").collect()}
+        assert rows or i
+        got |= {(r["probe_cc"], r["input"], r["ts"], r["blocked"]) for r in rows}
     want = detector.changes(detector.moving_average(s, ["probe_cc", "input"]), ["probe_cc", "input"])
     assert got == {(r["probe_cc"], r["input"], r["ts"], r["blocked"]) for r in want.collect()}
 
 
-def test_scored_and_bundles(spark, tmp_path):
-    body = lambda cc: json.dumps({"report_id": "r", "probe_cc": cc, "probe_asn": "AS1", "test_name": "openvpn", "measurement_start_time": "2024-01-02 03:04:05", "test_keys": {"success": False}})
-    d = spark.createDataFrame([("u1", body("it")), ("u2", body("ZZ")), ("u3", "{broken")], "measurement_uid string, body string")
-    r = ingest.scored(d).collect()
-    assert [(x["measurement_uid"], x["probe_cc"], x["anomaly"], x["msm_failure"]) for x in r] == [("u1", "IT", "t", "f")]
-    rows = d.withColumns({"day": F.lit("20240102"), "cc": F.lit("IT"), "test": F.lit("openvpn")})
-    at = archives.write_bundles(rows, f"{tmp_path}/raw", lines_per_file=2)
-    assert sorted((x["measurement_uid"], x["linenum"]) for x in at.collect()) == [("u1", 0), ("u2", 1), ("u3", 0)]
-    assert archives.archive(spark, f"{tmp_path}/raw", "20240102", "20240103", ["IT"]).count() == 3
-    assert archives.json_lines(spark, f"{tmp_path}/raw/*/*/*/*").count() == 2
+def test_moving_average_over_many_chunks(spark, monkeypatch):
+    """Chunks of any size give the plain fold's means, ties in time included."""
+    rng = random.Random(1)
+    xs = [rng.choice([0.0, 0.8, 2.0, None]) for _ in range(500)]
+    rows = spark.createDataFrame([("a" if i % 7 else "b", f"2024-01-{1 + i // 100:02d} 00:00:{i // 2 % 60:02d}", i, x) for i, x in enumerate(xs)], "k string, t string, uid long, x double").withColumn("ts", F.col("t").cast("timestamp"))
+    want = {}
+    for k in "ab":
+        mean = None
+        for r in sorted((r for r in rows.collect() if r["k"] == k and r["x"] is not None), key=lambda r: (r["ts"], r["uid"])):
+            mean = r["x"] if mean is None else 0.98 * mean + 0.02 * r["x"]
+            want[r["uid"]] = round(mean, 9)
+    for chunk in (7, 1000):
+        monkeypatch.setattr(detector, "CHUNK", chunk)
+        assert {r["uid"]: round(r["mean"], 9) for r in detector.moving_average(rows, ["k"]).collect()} == want
+
+
+def record(**more):
+    return json.dumps({"report_id": "r", "probe_cc": "it", "probe_asn": "AS1", "test_name": "openvpn", "measurement_start_time": "2024-01-02 03:04:05", "test_keys": {"success": False}} | more)
+
+
+def test_scored_stream_equals_batch(spark, tmp_path):
+    """Files that arrive are scored once each, over a restart too; a batch that is done again overwrites itself."""
+    (tmp_path / "in").mkdir()
+    bodies = [("u1", record()), ("u2", record(probe_cc="ZZ")), ("u3", "{broken"), ("u4", record(report_id=None)), ("u5", record(test_keys={"success": True}, annotations={"platform": "ios"}))]
+    for i, part in enumerate((bodies[:3], bodies[3:])):
+        (tmp_path / f"in/{i}.json").write_text("".join(json.dumps({"measurement_uid": u, "body": b}) + "\n" for u, b in part))
+        ingest.start_scoring(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination(120)
+    got = sorted((r["measurement_uid"], r["probe_cc"], r["probe_asn"], r["anomaly"], r["platform"], r["software_name"], r["test_runtime"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("u1", "IT", 1, "t", "unset", "unknown", 0.0), ("u5", "IT", 1, "f", "ios", "unknown", 0.0)]
+    batch = ingest.scored(spark.createDataFrame(bodies, "measurement_uid string, body string"))
+    assert sorted(r["scores_json"] for r in batch.collect()) == sorted(r["scores_json"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
+def test_counters_stream_equals_batch(spark, tmp_path):
+    fact = catalog.msm(spark, SF).withColumn("measurement_start_time", F.col("measurement_start_time").cast("timestamp"))
+    fact.coalesce(2).write.parquet(f"{tmp_path}/in")
+    urls, now = catalog.views.url_list(spark, SF), F.lit("2024-01-20").cast("timestamp")
+    for n, count in enumerate((ingest.daily_counters, ingest.weekly_counters)):
+        stream = spark.readStream.schema(fact.schema).parquet(f"{tmp_path}/in")
+        q = count(ingest.recent_web(stream, urls, now)).writeStream.outputMode("complete").format("memory").queryName(f"counters{n}").option("checkpointLocation", f"{tmp_path}/c{n}").start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(map(str, spark.table(f"counters{n}").collect())) == sorted(map(str, count(ingest.recent_web(fact, urls, now)).collect()))
+
+
+def test_bundles_and_locators(spark, tmp_path):
+    """Bundles by bytes come back by locator; what doesn't parse is an empty record with its place; bundles that nobody asks for aren't read."""
+    bodies = [(f"u{i}", "20240102", f"{i % 2:02d}", "IT", "openvpn", "{broken" if i == 3 else record(n=i)) for i in range(9)]
+    d = spark.createDataFrame(bodies, "measurement_uid string, day string, hour string, cc string, test string, body string")
+    at = archives.write_bundles(d.union(d), f"{tmp_path}/raw", budget=300)
+    assert at.count() == 9 and {r["linenum"] for r in at.collect()} == {0, 1, 2}
+    back = {r["measurement_uid"]: r["body"] for r in archives.bodies(spark, f"{tmp_path}/raw", at.where("measurement_uid <> 'u0'")).collect()}
+    assert back == {u: "{}" if u == "u3" else b for u, *_, b in bodies if u != "u0"}
+    assert archives.archive(spark, f"{tmp_path}/raw", "20240102", "20240103", ["IT"]).count() == 9
+    assert archives.json_lines(spark, f"{tmp_path}/raw/*/*/*/*/*").count() == 9
+    (tmp_path / "raw/day=20240102/hour=00/cc=IT/test=openvpn/bundle=99").mkdir()
+    (tmp_path / "raw/day=20240102/hour=00/cc=IT/test=openvpn/bundle=99/part-0.txt.gz").write_bytes(b"not gzip")
+    one = at.where("measurement_uid = 'u5'")
+    assert [r["body"] for r in archives.bodies(spark, f"{tmp_path}/raw", spark.createDataFrame(one.collect(), one.schema)).collect()] == [record(n=5)]
+
+
+def test_posts_and_secrets(spark, tmp_path):
+    (tmp_path / "u1.post").write_text(json.dumps({"format": "json", "content": {"a": 1}, "nym": "x"}))
+    (tmp_path / "u2.post").write_text(json.dumps({"format": "yaml", "content": "a: 1"}))
+    (tmp_path / "u3.post").write_text(json.dumps({"a": 2}))
+    got = {r["measurement_uid"]: r["a"] for r in archives.posts(spark, f"{tmp_path}/*.post").select("measurement_uid", F.try_variant_get("v", "$.a", "int").alias("a")).collect()}
+    assert got == {"u1": 1, "u3": 2}
+
+
+def test_swap_and_export(spark, tmp_path):
+    path = f"{tmp_path}/dim"
+    assert archives.swapped(spark.range(5), path, 1, 10).count() == 5
+    with pytest.raises(ValueError, match="expected"):
+        archives.swapped(spark.range(50), path, 1, 10)
+    assert archives.current(spark, path).count() == 5
+    archives.export_months(catalog.msm(spark, SF).select("measurement_uid", "measurement_start_time"), f"{tmp_path}/months")
+    assert [p.name for p in tmp_path.glob("months/yyyymm=*")] == ["yyyymm=202401"]
+    (tmp_path / "f.csv").write_text("name,scope,pattern,confidence_no_fp,expected_countries\na,isp,x,5,\"it, zz,fr\"\nb,nat,y,odd,\n")
+    got = [(r["name"], r["confidence_no_fp"], r["expected_countries"]) for r in archives.fingerprint_lists(spark, f"{tmp_path}/f.csv").orderBy("name").collect()]
+    assert got == [("a", 5, ["FR", "IT"]), ("b", None, [])]
 
 
 def test_lists(spark, tmp_path):
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists/global.csv").write_text("url,category_code\nhttp://a.org/,NEWS\nnot a url,NEWS\n")
     (tmp_path / "lists/it.csv").write_text("url,category_code\nhttp://b.org/,CULTR\n")
-    assert sorted((r["url"], r["cc"]) for r in archives.url_lists(spark, f"{tmp_path}/lists").collect()) == [("http://a.org/", "ZZ"), ("http://b.org/", "IT")]
+    assert sorted((r["url"], r["cc"]) for r in archives.url_lists(spark, f"{tmp_path}/lists", least=1).collect()) == [("http://a.org/", "ZZ"), ("http://b.org/", "IT")]
     (tmp_path / "asn.json").write_text('{"1": [["Org", "US", "20200101", "A", "x"], ["Old", "US", "20100101", "A", "x"]]}')
     assert archives.asn_names(spark, f"{tmp_path}/asn.json").count() == 2
