@@ -90,14 +90,20 @@ def export_months(fact: DataFrame, path: str, time: str = "measurement_start_tim
     fact.withColumn("yyyymm", F.date_format(time, "yyyyMM")).write.partitionBy("yyyymm").option("header", True).option("compression", "gzip").mode("overwrite").csv(path)
 
 
+#: Bundles up to which a fetch names their folders one by one; for more, all bundles are read and joined.
+NAMED_BUNDLES = 10_000
+
+
 def bodies(spark: SparkSession, path: str, locators: DataFrame) -> DataFrame:
     """locators(measurement_uid, s3path, linenum) -> the lines they point to; bundles that none points to aren't read. A bundle is bounded in bytes, so one task splits it."""
-    keys = [*PARTS, "bundle"]
-    at = locators.select("measurement_uid", "linenum", *[F.regexp_extract("s3path", rf"{k}=([^/]+)", 1).alias(k) for k in keys])
-    text = spark.read.schema(", ".join(f"{c} string" for c in ("value", *keys))).option("basePath", path).option("wholetext", True).text(path)
-    wanted = text.join(at.select(*keys).distinct(), keys)
-    lines = wanted.select(*keys, F.posexplode(F.split("value", "\n")).alias("linenum", "body"))
-    return at.join(lines, [*keys, "linenum"]).select("measurement_uid", "body")
+    folders = [r["s3path"] for r in locators.select("s3path").distinct().limit(NAMED_BUNDLES + 1).collect()]
+    if not folders:
+        return locators.select("measurement_uid", F.lit(None).cast("string").alias("body")).where("false")
+    named = [f"{path}/{x}" for x in folders] if len(folders) <= NAMED_BUNDLES else f"{path}/*/*/*/*/*"
+    text = spark.read.text(named, wholetext=True)
+    where = F.regexp_extract(F.col("_metadata.file_path"), "(" + "/".join(f"{k}=[^/]+" for k in (*PARTS, "bundle")) + ")/[^/]+$", 1)
+    lines = text.select(where.alias("s3path"), F.posexplode(F.split("value", "\n")).alias("linenum", "body"))
+    return locators.join(lines, ["s3path", "linenum"]).select("measurement_uid", "body")
 
 
 def bundle_names(measurements: DataFrame, budget: int = BUNDLE_BYTES) -> DataFrame:
@@ -157,4 +163,4 @@ def sync(fact: DataFrame, key: str, watermark: object, until: object, path: str)
 
 def replayed_posts(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     """Failed posts as a stream, so many a batch; a file goes once its batch is done."""
-    return spark.readStream.option("maxFilesPerTrigger", files).option("cleanSource", "delete").option("wholetext", True).text(path).select("value")
+    return spark.readStream.option("maxFilesPerTrigger", files).option("cleanSource", "delete").text(path, wholetext=True).select("value")
