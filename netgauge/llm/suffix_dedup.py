@@ -17,19 +17,24 @@ A byte goes if a LENGTH-byte string that covers it also starts anywhere else.
    need only the column before; the symbols come as one sequential pass over
    sorted shuffle files. (One order over all suffixes of all documents would
    take as many rounds over all data as the longest document has bytes.)
-   Anchors with more than GROUP distinct contexts are counted string by string
-   instead, so no group has to fit into one task.
+4. Large groups. A group of more than GROUP contexts is halved by the column in
+   which its strings start: those of either half have more bytes in common than
+   the anchor, by which they are regrouped, again and again until each group is
+   small enough or its strings start in one column and are equal. So no group has
+   to fit into one task, and a collision of group keys only makes a group larger.
 
 Defined cases: null and empty texts have 0 bytes; texts of fewer than LENGTH bytes
 lose nothing; repeated rows and equal texts repeat each other; further columns
-are ignored; an empty table gives an empty result. Texts are told apart by
-64-bit hashes.
+are ignored; an empty table gives an empty result. Strings are compared byte by
+byte; whole texts are told apart by 64-bit hashes, equal contexts by two (of
+their anchor and of themselves).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -147,10 +152,14 @@ def repeated_starts(cells: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def context_cells(contexts: list[bytes], lefts: np.ndarray) -> np.ndarray:
+def context_cells(contexts: list[bytes], lefts: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Symbols by column, -1 outside the context and outside of what strings starting in columns [low, high] cover."""
     cells = np.full((len(contexts), LEFT + LENGTH), -1, np.int16)
-    for i, (c, left) in enumerate(zip(contexts, lefts.tolist(), strict=True)):
-        cells[i, LEFT - left : LEFT - left + len(c)] = np.frombuffer(c, np.uint8)
+    for i, (c, left, low, high) in enumerate(zip(contexts, lefts.tolist(), lows.tolist(), highs.tolist(), strict=True)):
+        first = LEFT - left
+        a, b = max(first, low), min(first + len(c), high + LENGTH)
+        if a < b:
+            cells[i, a:b] = np.frombuffer(c, np.uint8)[a - first : b - first]
     return cells
 
 
@@ -161,20 +170,20 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def column_wise(contexts: DataFrame) -> DataFrame:
-    """(anchor, context, left, bytes) -> (anchor, context, spans), for contexts with a repeated string; groups by anchor."""
+    """(g, anchor, context, left, low, high, bytes) -> (anchor, context, spans), for contexts with a repeated string; groups by g."""
     spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def solve(anchor: np.ndarray, context: np.ndarray, left: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
-        new = np.ones(len(anchor), bool)  # a context that repeated rows brought twice counts once
-        new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
-        anchor, context, left, data = anchor[new], context[new], left[new], [d for d, n in zip(data, new, strict=True) if n]
-        _, group = np.unique(anchor, return_inverse=True)
-        found = repeated_starts(context_cells(data, left), group)
+    def solve(g: np.ndarray, anchor: np.ndarray, context: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        new = np.ones(len(g), bool)  # a context that repeated rows brought twice counts once
+        new[1:] = (g[1:] != g[:-1]) | (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1]) | (low[1:] != low[:-1])
+        g, anchor, context, left, low, high = (x[new] for x in (g, anchor, context, left, low, high))
+        _, group = np.unique(g, return_inverse=True)
+        found = repeated_starts(context_cells([d for d, n in zip(data, new, strict=True) if n], left, low, high), group)
         hit = np.flatnonzero(found.any(1))
         return pa.RecordBatch.from_arrays([pa.array(anchor[hit]), pa.array(context[hit]), pa.array([[{"a": a, "b": b} for a, b in spans_of(found[i])] for i in hit], spans)], ["anchor", "context", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[] for _ in range(7)]
         limit = BLOCK_CELLS // (LEFT + LENGTH)
         for b in batches:
             for start in range(0, b.num_rows, limit):
@@ -185,23 +194,43 @@ def column_wise(contexts: DataFrame) -> DataFrame:
                     while cut and held[0][cut - 1] == held[0][-1]:
                         cut -= 1
                     if cut:
-                        yield solve(*[np.asarray(k[:cut], np.int64) for k in held[:3]], held[3][:cut])
+                        yield solve(*[np.asarray(k[:cut], np.int64) for k in held[:6]], held[6][:cut])
                         held = [k[cut:] for k in held]
         if held[0]:
-            yield solve(*[np.asarray(k, np.int64) for k in held[:3]], held[3])
+            yield solve(*[np.asarray(k, np.int64) for k in held[:6]], held[6])
 
-    parts = contexts.repartition("anchor").sortWithinPartitions("anchor", "context").select("anchor", "context", "left", "bytes")
+    order = ["g", "anchor", "context", "low"]
+    parts = contexts.repartition("g").sortWithinPartitions(*order).select("g", "anchor", "context", "left", "low", "high", "bytes")
     return parts.mapInArrow(run, "anchor long, context long, spans array<struct<a:int,b:int>>")
 
 
-def counted(contexts: DataFrame) -> DataFrame:
-    """The same for anchors of very many contexts: every string is counted by its hash, spread over all tasks."""
-    first = F.greatest(F.lit(0), F.lit(LEFT) - F.col("left"))
-    every = contexts.where(F.octet_length("bytes") >= LENGTH).select("anchor", "context", "left", "bytes", F.explode(F.sequence(first, F.least(F.lit(LEFT), F.lit(LEFT - LENGTH) - F.col("left") + F.octet_length("bytes")))).alias("column"))
-    every = every.select("anchor", "context", "column", F.xxhash64(F.substring("bytes", F.col("column") - LEFT + F.col("left") + 1, LENGTH)).alias("hash"))
-    twice = every.groupBy("anchor", "column", "hash").agg(F.min("context").alias("m"), F.max("context").alias("n")).where("m <> n").drop("m", "n")
-    span = F.struct((F.col("column") - LEFT).cast("int").alias("a"), (F.col("column") - LEFT + LENGTH).cast("int").alias("b"))
-    return every.join(twice, ["anchor", "column", "hash"]).groupBy("anchor", "context").agg(F.collect_list(span).alias("spans"))
+def halved(contexts: DataFrame) -> DataFrame:
+    """Groups by strings that start in the lower or the upper half of the columns: regrouped by all bytes that such strings have in common, with the new sizes."""
+    mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("low").alias("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high").alias("high"))))
+    c = contexts.select("anchor", "context", "left", "bytes", half.alias("h")).select("anchor", "context", "left", "bytes", "h.low", "h.high")
+    first = F.lit(LEFT) - F.col("left")  # the column of the first byte
+    starts = F.least(F.col("high"), first + F.octet_length("bytes") - LENGTH) >= F.greatest(F.col("low"), first)
+    common = F.substring("bytes", F.col("high") - first + 1, F.col("low") + LENGTH - F.col("high"))
+    c = c.where(starts).withColumn("g", F.xxhash64("anchor", "low", "high", common))
+    return c.join(c.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"), "g")
+
+
+def in_groups(strings: DataFrame) -> DataFrame:
+    """(anchor, context, left, bytes, size) -> (anchor, context, spans) through groups of at most GROUP contexts, or of equal strings."""
+    rows = strings.withColumns({"g": F.col("anchor"), "low": F.lit(0), "high": F.lit(LEFT)})
+    parts = [column_wise(rows.where(F.col("size") <= GROUP))]
+    large = rows.where(F.col("size") > GROUP)
+    while not large.isEmpty():
+        halves = written(halved(large))
+        parts.append(column_wise(halves.where((F.col("size") <= GROUP) & (F.col("low") < F.col("high")))))
+        # All strings of such a group start in one column: those whose bytes another context has are repeated.
+        one = halves.where("low = high").withColumn("string", F.substring("bytes", F.col("low") - LEFT + F.col("left") + 1, F.lit(LENGTH)))
+        twice = one.groupBy("g", "low", "string").agg(F.min("context").alias("m"), F.max("context").alias("n")).where("m <> n").select("g", "low", "string")
+        span = F.array(F.struct((F.col("low") - LEFT).alias("a"), (F.col("low") - LEFT + LENGTH).alias("b")))
+        parts.append(one.join(twice, ["g", "low", "string"]).select("anchor", "context", span.alias("spans")))
+        large = halves.where((F.col("size") > GROUP) & (F.col("low") < F.col("high")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -228,7 +257,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in some_], pa.int64()), pa.array([w["context"] for w in some_], pa.int64()), pa.array(lefts, pa.int32()), pa.array([data[w["pos"] - left : w["pos"] + LENGTH] for w, left in zip(some_, lefts, strict=True)], pa.binary()), pa.array([w["size"] for w in some_], pa.int64())], ["anchor", "context", "left", "bytes", "size"])
 
     strings = written(texts.select("text", "wanted").mapInArrow(cut, "anchor long, context long, left int, bytes binary, size long"))
-    partly = column_wise(strings.where(F.col("size") <= GROUP)).unionByName(counted(strings.where(F.col("size") > GROUP)))
+    partly = in_groups(strings)
     whole = F.array(F.struct(F.lit(-LEFT).alias("a"), F.lit(LENGTH).alias("b")))
     spans = contexts.where("often").select("anchor", "context", whole.alias("spans")).unionByName(partly.join(contexts.where("often"), ["anchor", "context"], "left_anti"))
     found = some.distinct().join(spans, ["anchor", "context"]).select("text_key", F.transform("spans", lambda s: F.struct((F.col("pos") + s["a"]).alias("a"), (F.col("pos") + s["b"]).alias("b"))).alias("spans"))
