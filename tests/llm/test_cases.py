@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("netgauge.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from netgauge.llm import bpe, common, decontam, langid, neardup, quality, syncmers, warc  # noqa: E402
+from netgauge.llm import bpe, common, decontam, langid, neardup, quality, suffix_dedup, syncmers, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "   \n\n"), (4, "one two three"), (5, "one two three"), (5, "one two three"), (5, "quite another text under the same id"), (6, "a b c d e f g h i j " * 400), (7, "ÄÖ ß 中文 \U0001f600"), (None, "no id at all, but a text of some length")]
@@ -349,3 +349,36 @@ def test_queries_equal_their_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     assert sorted(names) == sorted(got.columns)
     assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == sorted(map(repr, want.fetchall()))
+
+
+# ---- suffix dedup ----
+
+
+def removed(texts):
+    """Per text: bytes, bytes removed, runs, hash of the rest, by looking at every string of LENGTH bytes."""
+    import collections
+
+    n = suffix_dedup.LENGTH
+    seen = collections.Counter(b[p : p + n] for _, b in texts for p in range(len(b) - n + 1))
+    for i, b in texts:
+        keep = bytearray(b"\1" * len(b))
+        for p in range(len(b) - n + 1):
+            if seen[b[p : p + n]] > 1:
+                keep[p : p + n] = bytes(n)
+        runs = sum(1 for p in range(len(b)) if not keep[p] and (p == 0 or keep[p - 1]))
+        yield i, len(b), keep.count(0), runs, hashlib.sha256(bytes(x for x, k in zip(b, keep) if k)).hexdigest()
+
+
+@pytest.mark.parametrize("group", [3, 40, 20_000])
+def test_suffix_dedup_of_one_hot_passage(spark, monkeypatch, group):
+    """A passage of 150 bytes in all texts, with like surroundings in some: groups of any size, at every depth, give the same."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, ends = text(150), [text(90) for _ in range(6)]
+    rows = [(i, text(60) + rng.choice(ends)[rng.randrange(60) :] + passage + rng.choice(ends)[: rng.randrange(90)] + text(40)) for i in range(120)]
+    rows += [(500, text(400) * 2), (501, "é" * 150), (502, "x" * 5000), (503, passage), (504, None), (505, rows[0][1])]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string")
+    want = sorted(removed([(i, (t or "").encode()) for i, t in rows]))
+    assert sum(w[2] > 0 for w in want) > 20
+    assert sorted(map(tuple, suffix_dedup.deduplicated(df).collect())) == want
