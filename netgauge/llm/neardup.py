@@ -14,15 +14,16 @@ it stands, and a region costs one comparison a member.)
 
 What a dense region may hold beyond that is made up for in a last pass: of each
 region of MIN_DEPTH values with more than NEAR + 1 nodes, all those that are not
-yet in one component are compared with one another on their whole signatures, in
-blocks of bounded size. A region of one component costs nothing here; in others
-the blocks of the largest component don't meet one another. So a pair is a
-candidate if it shares MIN_DEPTH values in any tree, however crowded.
+yet in one component are compared with one another on their full sets, in blocks
+of bounded size that give no more rows than they take. A region of one component
+costs nothing here; in others the blocks of the largest component don't meet one
+another. So a pair is compared if it shares MIN_DEPTH values in any tree, however
+crowded.
 
-Candidates are confirmed on their full sets in two rounds: first one for each
-node or pair of components (a forest), then those that are still in different
-components. A group of thousands of near copies so costs about one comparison a
-member.
+The other candidates are confirmed on their full sets in two rounds: first one
+for each node or pair of components (a forest), then those that are still in
+different components. A group of thousands of near copies so costs about one
+comparison a member.
 
 Defined cases: null or empty texts and texts without words have the empty set
 and no links; fewer than 5 words are one shingle; a null doc_id is kept only if
@@ -48,8 +49,8 @@ SHINGLE, SIMILARITY = 5, 75
 TREES, MIN_DEPTH, MAX_DEPTH, NEAR = 24, 3, 5, 8
 #: Marks the rows of regions whose longest, or shortest, prefix is shared by more than NEAR others.
 DENSE, CROWDED = 2, 3
-#: Nodes of a block in a crowded region, and the least share of equal signature values: five standard deviations below SIMILARITY.
-BLOCK, ALIKE = 512, 0.55
+#: Nodes of a block in a crowded region, and columns of a matrix of shingles.
+BLOCK, COLUMNS = 512, 4096
 #: Comparisons with one node that a task makes; more are split.
 HUB = 256
 
@@ -222,12 +223,54 @@ def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, found.where(f"side = {CROWDED}").select("k1", F.col("a").alias("node")).distinct()
 
 
-def crowded_candidates(crowd: DataFrame, comp: DataFrame, every: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a crowded region but no component, and have signatures alike.
-
-    crowd(k1, node), comp(node, component) -> a < b, weight (equal signature values). The
-    nodes of a region are dealt into blocks by hash, the largest component's apart
-    from the others; all blocks but two of the largest component's meet.
+def spanning(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a matrix of links between rows and columns, those of a spanning forest."""
+    rows, cols = [], []
+    new_row, new_col = linked.any(1), linked.any(0)
+    for i in np.flatnonzero(new_row):
+        if not new_row[i]:
+            continue
+        new_row[i], todo = False, [int(i)]
+        while todo:
+            r = todo.pop()
+            for c in np.flatnonzero(linked[r] & new_col).tolist():
+                new_col[c] = False
+                more = np.flatnonzero(linked[:, c] & new_row).tolist()
+                new_row[more] = False
+                rows += [r, *more]
+                cols += [c] * (1 + len(more))
+                todo += more
+    return rows, cols
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set: products of 0/1 matrices over the shingles that both sides have."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (left, right))
+    both = np.intersect1d(a, b)
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right))
+    at_a, at_b = (np.searchsorted(both, x) for x in (a, b))
+    at_a[at_a == len(both)] = 0
+    at_b[at_b == len(both)] = 0
+    for start in range(0, len(both), COLUMNS):
+        sides = []
+        for x, row, at, n in ((a, row_a, at_a, len(left)), (b, row_b, at_b, len(right))):
+            m = np.zeros((n, COLUMNS), np.float32)
+            i = np.flatnonzero((at >= start) & (at < start + COLUMNS))
+            i = i[both[at[i]] == x[i]]
+            m[row[i], at[i] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def crowded_links(crowd: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between nodes that share a crowded region but no component, on full sets.
+
+    crowd(k1, node), comp(node, component), texts(node, text) -> a < b. The nodes of a
+    region are dealt into blocks by hash, the largest component's apart from the
+    others; all blocks but two of the largest component's meet. A meeting of two
+    blocks gives a spanning forest of its links, so never more rows than went in.
     """
     spark = crowd.sparkSession
     c = crowd.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
@@ -236,49 +279,55 @@ def crowded_candidates(crowd: DataFrame, comp: DataFrame, every: DataFrame) -> D
     mixed = mixed.select("k1", F.col("m.c").alias("top"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("nl"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("nr"))
     rows = written(c.join(mixed, "k1"))
     if rows.isEmpty():
-        return spark.createDataFrame([], "a long, b long, weight int")
+        return spark.createDataFrame([], "a long, b long")
     block = F.when(F.col("c") == F.col("top"), F.pmod(F.xxhash64("node"), F.col("nl"))).otherwise(F.col("nl") + F.pmod(F.xxhash64("node"), F.col("nr"))).cast("int")
     other = F.explode(F.when(F.col("block") < F.col("nl"), F.sequence(F.col("nl"), F.col("nl") + F.col("nr") - 1)).otherwise(F.sequence(F.lit(0), F.col("nl") + F.col("nr") - 1))).alias("other")
     met = rows.withColumn("block", block).select("k1", "node", "c", "block", other).select("k1", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c")
-    wanted = rows.select("node").distinct()
-    sigs = every.where("sig is not null").select(F.col("h1").alias("node"), "sig").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    met = met.join(sigs, "node").select("k1", "i", "j", "block", "node", "c", "sig").repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j", "block")
-    least = int(np.ceil(ALIKE * TREES * MAX_DEPTH))
 
-    def pairs_of(i: int, j: int, block: np.ndarray, node: np.ndarray, c: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler()
+        for part, ts in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array([of(t).tobytes() for t in ts], pa.binary())], ["node", "shingles"])
+
+    shingles = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(sets, "node long, shingles binary")
+    met = met.join(shingles, "node").select("k1", "i", "j", "block", "node", "c", "shingles").repartition("k1", "i", "j").sortWithinPartitions("k1", "i", "j", "block")
+
+    def links_of(i: int, j: int, block: np.ndarray, node: np.ndarray, c: np.ndarray, sets_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for start in range(0, len(left), 64):
-            part = left[start : start + 64]
-            same = (sig[part][:, None] == sig[right][None]).sum(2, dtype=np.int32)
-            ok = (same >= least) & (c[part][:, None] != c[right][None])
-            if i == j:
-                ok &= part[:, None] < right[None]
-            x, y = np.nonzero(ok)
-            yield node[part[x]], node[right[y]], same[x, y]
+        of = [np.frombuffer(x, np.uint64) for x in sets_]
+        size = np.asarray([len(x) for x in of], np.float32)
+        both = in_common([of[k] for k in left], [of[k] for k in right])
+        linked = (100 * both >= SIMILARITY * (size[left][:, None] + size[right][None] - both)) & (c[left][:, None] != c[right][None])
+        x, y = spanning(linked)
+        return node[left[x]], node[right[y]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[np.ndarray] = []
+        kept: list[bytes] = []
 
-        def solve(k1: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, node: np.ndarray, c: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        def solve(cut: int) -> Iterator[pa.RecordBatch]:
+            k1, i, j = (x[:cut] for x in held[:3])
             new = np.flatnonzero((k1[1:] != k1[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found = [x for s, e in zip([0, *new], [*new, len(k1)], strict=True) for x in pairs_of(i[s], j[s], block[s:e], node[s:e], c[s:e], sig[s:e]) if len(x[0])]
-            a, b, w = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(w.astype(np.int32))], ["a", "b", "weight"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = [np.asarray(x) for x in b.columns[:6]] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint32).reshape(b.num_rows, -1)]
-            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
-            cut = len(last) - int(last.sum())  # whole groups only; the last one may go on
-            if cut:
-                yield solve(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield solve(*held)
-
-    return met.mapInArrow(compare, "a long, b long, weight int").distinct()
+            for s, e in zip([0, *new], [*new, cut], strict=True):
+                a, b = links_of(i[s], j[s], *(x[s:e] for x in held[3:]), kept[s:e])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2 * BLOCK):
+                b = whole.slice(start, 2 * BLOCK)
+                rows_ = [np.asarray(x) for x in b.columns[:6]]
+                held = [np.concatenate(x) for x in zip(held, rows_, strict=True)] if held else rows_
+                kept += b.column(6).to_pylist()
+                last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+                cut = len(last) - int(last.sum())  # whole meetings only; the last one may go on
+                if cut:
+                    yield from solve(cut)
+                    held, kept = [x[cut:] for x in held], kept[cut:]
+        if held:
+            yield from solve(len(kept))
+
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -343,8 +392,8 @@ def links(every: DataFrame, docs: DataFrame) -> DataFrame:
     best = written(pairs.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("m")).select("m.a", "b"))
     comp = written(connected_components(confirmed(best, texts)))
     comp = joined(comp, pairs.join(best, ["a", "b"], "left_anti"), texts)
-    rest = written(crowded_candidates(crowd, comp, every))
-    return comp if rest.isEmpty() else joined(comp, rest, texts)
+    rest = written(crowded_links(crowd, comp, texts))
+    return comp if rest.isEmpty() else merged(comp, rest)
 
 
 def decided(docs: DataFrame) -> DataFrame:
