@@ -278,25 +278,37 @@ def test_near_dedup_in_a_crowded_region(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
-def test_crowded_candidates_meet_in_blocks(spark, monkeypatch):
-    """Each pair of unlike components with like signatures once, whatever the block size; no pair within a component."""
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 32, 120, dtype=np.uint32)
-    sigs = []
+def test_crowded_regions_meet_in_blocks(spark, monkeypatch):
+    """Links of unlike components in a region connect what all pairs connect, whatever the block size, and are few."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
     for k in range(90):
-        s = base.copy()
-        s[rng.permutation(120)[: 30 if k % 3 else 90]] = rng.integers(0, 1 << 32, 30 if k % 3 else 90, dtype=np.uint32)
-        sigs.append(s)
-    every = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "h1 long, sig binary")
-    comp_of = {k: 0 if k < 50 else k - k % 2 for k in range(90)}
+        words = list(base)
+        for at in rng.sample(range(120), 2 if k % 3 else 5):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    comp_of = {k: 0 if k < 30 else k - k % 2 for k in range(90)}
+    regions = {7: range(20, 90), 8: range(28), 9: (60, 80, 81)}
+    pairs = {(a, b) for r in regions.values() for a in r for b in r if a < b and comp_of[a] != comp_of[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+    def joined(links):
+        group = {k: comp_of[k] for k in range(90)}
+        for a, b in links:
+            x, y = group[a], group[b]
+            group = {k: min(x, y) if g in (x, y) else g for k, g in group.items()}
+        return group
+
     comp = spark.createDataFrame([(k, c) for k, c in comp_of.items() if k != c], "node long, component long")
-    crowd = spark.createDataFrame([(7, k) for k in range(90)] + [(8, k) for k in range(40)] + [(9, 60), (9, 80)], "k1 long, node long")
-    want = {(a, b) for b in range(90) for a in range(b) if comp_of[a] != comp_of[b] and (sigs[a] == sigs[b]).sum() >= 66}
+    crowd = spark.createDataFrame([(r, k) for r, ks in regions.items() for k in ks], "k1 long, node long")
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     for block in (3, 512):
         monkeypatch.setattr(neardup, "BLOCK", block)
-        got = [(r["a"], r["b"]) for r in neardup.crowded_candidates(crowd, comp, every).collect()]
-        assert sorted(got) == sorted(want)
-    assert want and neardup.crowded_candidates(crowd.where("k1 = 8"), comp, every).count() == 0
+        got = {(r["a"], r["b"]) for r in neardup.crowded_links(crowd, comp, nodes).collect()}
+        assert got <= pairs and joined(got) == joined(pairs)
+        assert block < 512 or len(got) < 140 < len(pairs)
+    assert neardup.crowded_links(crowd.where("k1 = 8"), comp, nodes).count() == 0
 
 
 def test_near_dedup_takes_rows_of_one_id_apart(spark):
