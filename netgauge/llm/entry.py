@@ -50,7 +50,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = chat.rotate(table(spark, sf_dir, "conversations"))
-    return r.select("conv_id", "speaker", "block", "n_turns", "first_char", "n_chars", "masked_chars", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+    return r.select("conv_id", "speaker", "block", "part", "n_turns", "first_char", "n_chars", "masked_chars", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

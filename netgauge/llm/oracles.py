@@ -7,21 +7,20 @@ from netgauge.llm.decontam import END, GAP, NAME, NAME_PATTERN, NUMBER, NUMBER_P
 ORACLES: dict[str, str] = {
     "op8_perspectives": """
 with c as (
-  select conv_id, coalesce(turn, -1) as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
-         coalesce(cast(floor(turn / 128.0) as bigint), -1) as block
-  from conversations),
+  select *, (row_number() over (partition by conv_id, block order by turn, role, text) - 1) // 512 as part from (
+    select conv_id, coalesce(turn, -1) as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text, coalesce(cast(floor(turn / 128.0) as bigint), -1) as block from conversations)),
 who as (select distinct conv_id, role as speaker from c where role <> 'system'),
 seg as (
-  select c.conv_id, w.speaker, c.block, c.turn, c.role, c.text, c.role = w.speaker as own,
+  select c.conv_id, w.speaker, c.block, c.part, c.turn, c.role, c.text, c.role = w.speaker as own,
          case when c.role = w.speaker then '<|im_start|>assistant' || chr(10) when c.role = 'system' then '<|im_start|>system' || chr(10)
               else '<|im_start|>user name=' || c.role || chr(10) end as head
   from c join who w on c.conv_id is not distinct from w.conv_id),
 r as (
-  select conv_id, speaker, block, count(*) as n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' order by turn, role, text) as body,
+  select conv_id, speaker, block, part, count(*) as n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' order by turn, role, text) as body,
          cast(sum(case when own then length(text) + 10 else 0 end) as bigint) as masked_chars, cast(sum(case when own then 1 else 0 end) as bigint) as n_spans
-  from seg group by 1, 2, 3)
-select conv_id, speaker, block, n_turns,
-       cast(coalesce(sum(length(body)) over (partition by conv_id, speaker order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as first_char,
+  from seg group by 1, 2, 3, 4)
+select conv_id, speaker, block, part, n_turns,
+       cast(coalesce(sum(length(body)) over (partition by conv_id, speaker order by block, part rows between unbounded preceding and 1 preceding), 0) as bigint) as first_char,
        cast(length(body) as bigint) as n_chars, masked_chars, n_spans, sha256(body) as text_sha256
 from r""",
     "op9_minhash": """
