@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("netgauge.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from netgauge.llm import bpe, common, decontam, langid, neardup, quality, suffix_dedup, syncmers, warc  # noqa: E402
+from netgauge.llm import bpe, chat, common, decontam, langid, neardup, quality, suffix_dedup, syncmers, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, "   \n\n"), (4, "one two three"), (5, "one two three"), (5, "one two three"), (5, "quite another text under the same id"), (6, "a b c d e f g h i j " * 400), (7, "ÄÖ ß 中文 \U0001f600"), (None, "no id at all, but a text of some length")]
@@ -394,3 +394,30 @@ def test_suffix_dedup_of_one_hot_passage(spark, monkeypatch, group):
     want = sorted(removed([(i, (t or "").encode()) for i, t in rows]))
     assert sum(w[2] > 0 for w in want) > 20
     assert sorted(map(tuple, suffix_dedup.deduplicated(df).collect())) == want
+
+
+# ---- perspectives ----
+
+
+def test_turns_without_order_are_cut_into_parts(spark):
+    """A conversation of which all turns are null, or equal; ties, repeated rows, a very long text, clashing columns."""
+    rng = random.Random(6)
+    rows = [(1, None, rng.choice(["ann", "bob", "system", None]), f"{rng.randrange(400)} said") for _ in range(3000)] + [(1, 5, "ann", "end"), (1, 5, "ann", "end")]
+    rows += [(2, 7, "user", "same")] * 700 + [(2, 8, "bot", "x" * 200_000), (3, 0, "system", "s")]
+    df = spark.createDataFrame([(*r, "k", 0) for r in rows], "conv_id long, turn long, role string, text string, speaker string, part int").repartition(3)
+    got = {}
+    for r in chat.rotate(df).orderBy("block", "part").collect():
+        assert r["n_turns"] <= chat.MOST
+        whole = got.setdefault((r["conv_id"], r["speaker"]), [""])
+        assert r["first_char"] == len(whole[0]) and r["n_chars"] == len(r["text"])
+        whole[0] += r["text"]
+        whole += [(s["start"], s["end"]) for s in r["spans"]]
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (2, "user"), (2, "bot")}
+    for (conv, speaker), (whole, *spans) in got.items():
+        want, marks = "", []
+        for turn, role, text in sorted((-1 if t is None else t, r or "unknown", x) for c, t, r, x in rows if c == conv):
+            want += "<|im_start|>" + ("assistant" if role == speaker else "system" if role == "system" else f"user name={role}") + "\n"
+            if role == speaker:
+                marks.append((len(want), len(want) + len(text) + len("<|im_end|>")))
+            want += text + "<|im_end|>\n"
+        assert whole == want and spans == marks
