@@ -192,3 +192,18 @@ def t3_daily_counters(s: SparkSession, d: str) -> DataFrame:
     fact = msm(s, d).withColumn("measurement_start_time", F.col("measurement_start_time").cast("timestamp"))
     web = ingest.recent_web(fact, views.url_list(s, d), F.lit("2024-01-20").cast("timestamp"))
     return ingest.daily_counters(web).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "probe_cc", "input", "msmt_cnt")
+
+
+TORS = ("true", "false", "null", '{"is_tor":true,"exit_ip":"1.1.1.1"}', '{"is_tor":false}', '"odd"')
+
+
+@query(f"with {M} select measurement_uid, case when event_id % 7 = 0 then true else ([true, false, false, true, false, null])[1 + event_id % 6] end as tor from m")
+def x17_over_tor(s: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('{"url":"'), F.expr("case when event_id % 7 = 0 then 's' else '' end"), F.lit('http://a.org/","tor":'), F.expr(dealt(TORS)[0]), F.lit("}"))
+    return msm(s, d).select("measurement_uid", legacy.over_tor(F.try_parse_json(text)).alias("tor"))
+
+
+@query()
+def x8_legacy_report_ids(s: SparkSession, d: str) -> DataFrame:
+    """SHA-512 isn't in DuckDB; tested against Python."""
+    return msm(s, d).select("measurement_uid", legacy.legacy_report_id(F.col("measurement_start_time").cast("timestamp"), F.col("probe_cc"), F.concat(F.lit("AS"), "probe_asn"), F.col("test_name"), F.col("software_version"), F.lit(None).cast("string")).alias("report_id"))

@@ -198,7 +198,20 @@ def k4_descriptors(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {FD} select finding_id, creator = 4 as mine, '' as email_address from fd where not deleted and published and theme = 'ECONOMY' and cc = 'C1'")
 def k5_findings(s: SparkSession, d: str) -> DataFrame:
-    return links.findings(all_findings(s, d), 4, "anonymous", theme="ECONOMY", cc="C1").select("finding_id", "mine", "email_address")
+    return links.findings(all_findings(s, d), 4, "anonymous", themes=["ECONOMY"], ccs=["C1"]).select("finding_id", "mine", "email_address")
+
+
+@query(f"with {FD} select finding_id, creator = 2 as mine, finding_id % 3 = 0 as blank from fd where not deleted and theme in ('ECONOMY', 'PROMO') and cc in ('C1', 'C3') and asn in (1, 3, 11, 13, 21, 33, 48) and creator = 2")
+def m4_findings_of_any(s: SparkSession, d: str) -> DataFrame:
+    """Any of several themes, countries and networks; a signed-in user's own, published or not."""
+    f = links.findings(all_findings(s, d), 2, themes=["ECONOMY", "PROMO"], ccs=["C1", "C3"], asns=[1, 3, 11, 13, 21, 33, 48], only_mine=True)
+    return f.select("finding_id", "mine", (F.expr("finding_id % 3 = 0") & (F.col("email_address") == "")).alias("blank"))
+
+
+@query(f"with {FD} select finding_id, published, 'x' || cast(finding_id as varchar) as seen from fd where not deleted and finding_id < 50")
+def p7_findings_for_admins(s: SparkSession, d: str) -> DataFrame:
+    f = links.findings(all_findings(s, d), 2, "admin").where("finding_id < 50")
+    return f.select("finding_id", "published", F.when(F.col("email_address").endswith("@example.org"), F.concat(F.lit("x"), "finding_id")).alias("seen"))
 
 
 @query(f"with {FD} select finding_id, slug from fd where slug = 'f-17' and not deleted union all select finding_id, slug from fd where finding_id = 18 and not deleted")

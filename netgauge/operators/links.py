@@ -90,12 +90,12 @@ def prioritised_inputs(links: DataFrame, urls: DataFrame, limit: int) -> DataFra
     return links.join(lists, "country_code", "left")
 
 
-def findings(rows: DataFrame, account: int, role: str = "user", theme: str | None = None, cc: str | None = None, asn: int | None = None, only_mine: bool = False) -> DataFrame:
+def findings(rows: DataFrame, account: int, role: str = "user", themes: list[str] | None = None, ccs: list[str] | None = None, asns: list[int] | None = None, domains: list[str] | None = None, only_mine: bool = False) -> DataFrame:
     """Findings that hold any of what is asked for; e-mail addresses are for admins, unpublished ones for signed-in users."""
     r = rows.where("not deleted")
-    r = r if theme is None else r.where(F.array_contains("themes", theme))
-    r = r if cc is None else r.where(F.array_contains("ccs", cc))
-    r = r if asn is None else r.where(F.array_contains("asns", asn))
+    for column, asked in {"themes": themes, "ccs": ccs, "asns": asns, "domains": domains}.items():
+        if asked:
+            r = r.where(F.arrays_overlap(column, F.array(*map(F.lit, asked))))
     r = r.where("published") if role == "anonymous" else r
     r = r.withColumn("mine", F.col("creator") == account)
     r = r.where("mine") if only_mine else r

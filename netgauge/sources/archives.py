@@ -144,8 +144,14 @@ def export_chunks(table: DataFrame, path: str, rows: int = 100_000_000) -> None:
 
 
 def export_result(result: DataFrame, path: str) -> None:
-    """CSV with the columns in alphabetical order; a result of one value is one row, one without rows has no file content."""
-    result.select(*sorted(result.columns)).write.option("header", True).mode("overwrite").csv(path)
+    """CSV with the columns in alphabetical order; a result without rows is an empty file."""
+    result = result.select(*sorted(result.columns))
+    result.write.option("header", not result.isEmpty()).mode("overwrite").csv(path)
+
+
+def export_table(spark: SparkSession, name: str, path: str) -> None:
+    """A small table as one CSV file, the columns those of the catalog."""
+    spark.table(name).select(*[c.name for c in spark.catalog.listColumns(name)]).coalesce(1).write.option("header", True).mode("overwrite").csv(path)
 
 
 def newer_rows(fact: DataFrame, key: str, watermark: object, until: object) -> DataFrame:

@@ -56,6 +56,11 @@ def test_exports(spark, tmp_path):
     d = spark.range(10).select((F.col("id") + 1).alias("b"), F.col("id").alias("a"))
     archives.export_result(d.coalesce(1), f"{tmp_path}/r")
     assert next(tmp_path.glob("r/*.csv")).read_text().startswith("a,b\n")
+    archives.export_result(d.limit(0), f"{tmp_path}/none")
+    assert "".join(p.read_text() for p in tmp_path.glob("none/*.csv")) == ""
+    d.createOrReplaceTempView("small_table")
+    archives.export_table(spark, "small_table", f"{tmp_path}/t")
+    assert next(tmp_path.glob("t/*.csv")).read_text().startswith("b,a\n1,0\n")
     archives.export_chunks(d.coalesce(1), f"{tmp_path}/c", rows=4)
     assert len(list(tmp_path.glob("c/*.gz"))) == 3
 
@@ -115,3 +120,12 @@ def test_edits_that_do_nothing_are_refused(spark):
         edited_list(rows, spark.createDataFrame([("z", 1)], rows.schema), rows)
     with pytest.raises(ValueError, match="changes nothing"):
         edited_list(rows, rows.where("n = 1"), rows.where("n = 1"))
+
+
+def test_legacy_report_id(spark):
+    import hashlib
+    import string
+
+    r = spark.sql("select timestamp '2014-01-02 03:04:05' as t, 'IT' as cc, 'AS1' as asn, 'dnst' as test, cast(null as string) as v, 'Rome' as city").select(legacy.legacy_report_id(*map(F.col, ("t", "cc", "asn", "test", "v", "city"))).alias("r")).first()
+    digest = hashlib.sha512(b"ITAS1dnst0.0.0Rome").digest()
+    assert r["r"] == "20140102T030405Z_" + "".join(string.ascii_letters[b % 52] for b in digest)[:50]
