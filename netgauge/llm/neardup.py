@@ -386,9 +386,10 @@ def links(every: DataFrame, docs: DataFrame) -> DataFrame:
     pairs, crowd = candidates(sets)
     pairs, crowd = written(pairs), written(crowd)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
-    place = sets.select("node", "at.doc_id", "at.text_key").join(wanted, "node", "left_semi").withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    source = keyed(docs)
-    texts = written(source.join(place.hint("merge"), source["doc_id"].eqNullSafe(place["d"]) & (source["text_key"] == place["k"])).select("node", "text").dropDuplicates(["node"]))
+    # One row of each set has its text fetched: found by id and text together, so copies of one text are spread.
+    row = lambda doc_id, key: F.xxhash64(doc_id, key).alias("row")
+    place = sets.select("node", row("at.doc_id", "at.text_key")).join(wanted, "node", "left_semi")
+    texts = written(keyed(docs).select(row("doc_id", "text_key"), "text").join(place.hint("merge"), "row").select("node", "text").dropDuplicates(["node"]))
     best = written(pairs.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("m")).select("m.a", "b"))
     comp = written(connected_components(confirmed(best, texts)))
     comp = joined(comp, pairs.join(best, ["a", "b"], "left_anti"), texts)
