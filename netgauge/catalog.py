@@ -355,11 +355,12 @@ def c3_summing_merge(s: SparkSession, d: str) -> DataFrame:
     return views.read(s, d, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
 
 
-@query("""with p as (select distinct s_nationkey as k from supplier where s_suppkey % 3 = 0), w as (select distinct s_nationkey as k from supplier where s_suppkey % 5 = 0)
+@query(f"""with {M}, {CZ}, p as (select distinct url as k from cz), w as (select distinct input as k from m where input <> '')
 select coalesce(p.k, w.k) as k, case when p.k is null then 'add' when w.k is null then 'delete' else 'keep' end as action, timestamp '2024-01-31' as updated from p full join w on p.k = w.k""")
 def c6_endpoint_upsert(s: SparkSession, d: str) -> DataFrame:
-    sup = views.read(s, d, "supplier").withColumn("k", F.col("s_nationkey"))
-    return versioned.upsert(sup.where("s_suppkey % 3 = 0"), sup.where("s_suppkey % 5 = 0"), ["k"], AS_OF)
+    """Listed URLs as the endpoints that are there, measured ones as those that are wanted."""
+    wanted = msm(s, d).where("input <> ''").select(F.col("input").alias("k"))
+    return versioned.upsert(views.url_list(s, d).select(F.col("url").alias("k")), wanted, ["k"], AS_OF)
 
 
 UPDATED = f"""{RL}, o as (select distinct category_code, cc, domain, url, priority from rl where cc = 'BY' and category_code = 'PROM'),

@@ -190,13 +190,13 @@ def j16_country_names(s: SparkSession, d: str) -> DataFrame:
     return msm(s, d).groupBy("probe_cc").agg(F.count("*").alias("n")).join(names, "probe_cc").select("country", "probe_cc", "n")
 
 
-@query(f"""with {M}, {CZ}, q as (select distinct domain, domain as bare from m where domain <> '' union select distinct 'www.' || domain, domain from m where k % 3 = 0 and domain <> ''),
+@query(f"""with {M}, {CZ}, q as (select distinct domain, domain as bare from m where domain <> '' union select distinct 'www.' || domain, domain from m where domain <> ''),
 u as (select case when length(category_code) = 4 and cc = 'az' then 'www.' || domain else domain end as form, cc, url, category_code from cz),
 b as (select q.domain, arg_min(struct_pack(f := u.form, c := u.category_code), (u.cc <> 'zz', length(url), url, category_code)) as b from q join u on u.form in (q.bare, 'www.' || q.bare) group by 1)
 select q.domain, coalesce(b.b.f, q.bare) as canonical_domain, coalesce(b.b.c, 'MISC') as category_code from q left join b on b.domain = q.domain""")
 def w4_canonical_domains(s: SparkSession, d: str) -> DataFrame:
     m = msm(s, d).where("domain <> ''")
-    asked = m.select("domain").unionByName(m.where("k % 3 = 0").select(F.concat(F.lit("www."), "domain").alias("domain")))
+    asked = m.select("domain").unionByName(m.select(F.concat(F.lit("www."), "domain").alias("domain")))
     u = views.url_list(s, d).withColumn("domain", F.expr("case when length(category_code) = 4 and cc = 'az' then concat('www.', domain) else domain end"))
     return readers.canonical_domains(asked, u)
 

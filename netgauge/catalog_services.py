@@ -51,12 +51,12 @@ def j12_header_fingerprints(s: SparkSession, d: str) -> DataFrame:
 POLICY = "case when s_suppkey % 3 = 0 then '*' else chr(cast(65 + s_nationkey as integer)) || chr(cast(90 - s_nationkey as integer)) end"
 
 
-@query(f"""with {M}, p as (select s_suppkey as rule_no, {POLICY} as cc, case when s_suppkey % 2 = 0 then '*' else 'AS' || cast(s_suppkey % 20 as varchar) end as asn, s_suppkey % 9 as least from supplier where s_suppkey % 6 <> 0),
+@query(f"""with {M}, p as (select s_suppkey as rule_no, {POLICY} as cc, case when s_suppkey % 4 = 0 then '*' else 'AS' || cast(s_suppkey % 20 as varchar) end as asn, s_suppkey % 9 as least from supplier),
 k as (select distinct probe_cc, 'AS' || cast(probe_asn as varchar) as probe_asn from m)
 select k.probe_cc, k.probe_asn, min(rule_no) as rule_no, arg_min(least, rule_no) as least from k left join p on (cc = '*' or cc = probe_cc) and (asn = '*' or asn = probe_asn) group by 1, 2""")
 def j14_first_policy(s: SparkSession, d: str) -> DataFrame:
     cc = F.expr("case when s_suppkey % 3 = 0 then '*' else concat(char(65 + s_nationkey), char(90 - s_nationkey)) end")
-    p = views.read(s, d, "supplier").where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("rule_no"), cc.alias("cc"), F.expr("case when s_suppkey % 2 = 0 then '*' else concat('AS', s_suppkey % 20) end").alias("asn"), F.expr("s_suppkey % 9").alias("least"))
+    p = views.read(s, d, "supplier").select(F.col("s_suppkey").alias("rule_no"), cc.alias("cc"), F.expr("case when s_suppkey % 4 = 0 then '*' else concat('AS', s_suppkey % 20) end").alias("asn"), F.expr("s_suppkey % 9").alias("least"))
     return lookup.first_policy(msm(s, d).select("probe_cc", F.concat(F.lit("AS"), "probe_asn").alias("probe_asn")), p)
 
 
@@ -208,9 +208,9 @@ def m4_findings_of_any(s: SparkSession, d: str) -> DataFrame:
     return f.select("finding_id", "mine", (F.expr("finding_id % 3 = 0") & (F.col("email_address") == "")).alias("blank"))
 
 
-@query(f"with {FD} select finding_id, published, 'x' || cast(finding_id as varchar) as seen from fd where not deleted and finding_id < 50")
+@query(f"with {FD} select finding_id, published, 'x' || cast(finding_id as varchar) as seen from fd where not deleted")
 def p7_findings_for_admins(s: SparkSession, d: str) -> DataFrame:
-    f = links.findings(all_findings(s, d), 2, "admin").where("finding_id < 50")
+    f = links.findings(all_findings(s, d), 2, "admin")
     return f.select("finding_id", "published", F.when(F.col("email_address").endswith("@example.org"), F.concat(F.lit("x"), "finding_id")).alias("seen"))
 
 
