@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netgauge.llm import bpe, chat, decontam, langid, line_dedup, neardup, quality, suffix_dedup, syncmers, warc
+from netgauge.llm import alignment, bpe, chat, decontam, importance, langid, line_dedup, monoid_bpe, neardup, quality, suffix_dedup, syncmers, warc
 from netgauge.llm.common import table
 from netgauge.llm.oracles import ORACLES
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,18 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_monoid_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monoid_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_syncmers, op3_line_dedup, op4_decontamination, op5_language, op6_quality, op7_warc, op8_perspectives, op9_minhash, op10_suffixes, pipeline)}
+    return {f.__name__: f for f in (op1_bpe, op2_syncmers, op3_line_dedup, op4_decontamination, op5_language, op6_quality, op7_warc, op8_perspectives, op9_minhash, op10_suffixes, op11_alignment, op12_monoid_bpe, op13_resampling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

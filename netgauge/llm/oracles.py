@@ -86,3 +86,28 @@ good as (select * from lines where pairs = vals),
 cov as (select p.d, p.i, count(distinct p.q) as n, count(distinct p.q) filter (where g.exact) as same from places p join good g on g.d = p.d and g.i = p.i and g.diagonal = p.diagonal group by 1, 2),
 found as (select d.doc_id, i.item_id, round(cov.n / size.n_words, 6) as coverage, cov.same >= 0.75 * size.n_words as exact from cov join size on size.i = cov.i join d on d.d = cov.d join i on i.i = cov.i where cov.n >= 0.75 * size.n_words)
 select doc_id, count(distinct item_id) as n_items, max(coverage) as coverage, bool_or(exact) as exact, list_sort(list(distinct item_id)) as item_ids from found group by 1"""
+ORACLES["op13_resampling"] = r"""
+WITH table_ AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b::BIGINT, [0,1,2,3,4,5,6,7]::BIGINT[]), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+split AS (
+  SELECT side, row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM texts),
+features AS (
+  SELECT side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM split),
+hashed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || hex(encode(f))[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS b
+  FROM (SELECT DISTINCT f FROM features), table_),
+bucketed AS (SELECT side, row, b FROM features JOIN hashed USING (f)),
+counts AS (SELECT b, sum((side = 0)::BIGINT) AS s, sum((side = 1)::BIGINT) AS t FROM bucketed GROUP BY b),
+totals AS (SELECT sum(s) AS s, sum(t) AS t FROM counts),
+gains AS (SELECT b, floor(1000 * ln((c.t + 1)::DOUBLE * (totals.s + 10000)::DOUBLE / ((c.s + 1)::DOUBLE * (totals.t + 10000)::DOUBLE))) AS g FROM counts c, totals),
+weights AS (SELECT row, count(*) AS n, floor(sum(g) / count(*)) AS w FROM bucketed JOIN gains USING (b) WHERE side = 0 GROUP BY row),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weights.w, 0)::BIGINT AS weight, len(split.w) >= 20 AS eligible,
+    (coalesce(weights.w, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (row) WHERE side = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS r, floor(25 * sum(eligible::BIGINT) OVER () / 100) AS wanted FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND r <= wanted THEN r END AS rank FROM ranked"""
