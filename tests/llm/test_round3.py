@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from netgauge.llm import alignment, entry, importance, monoid_bpe
+from netgauge.llm import alignment, entry, importance, line_dedup, monoid_bpe
 
 SCHEMA = "doc_id long, text string, lang string, weight long, score string"
 HARD = [
@@ -219,3 +219,125 @@ def test_alignment_pairs(spark):
     rows = {r["doc_id"]: r for r in alignment.alignments(docs, entry.tokenizer_path(), entry.tokenizer_path("piece_bpe_32k.model")).collect()}
     assert rows[2]["pairs"] == [] and rows[2]["groups_sha256"] == ""
     assert len(rows[1]["pairs"]) >= 1 and sum(rows[1]["links"]) == rows[1]["n_links"]
+
+
+# ---- line dedup with the growing threshold
+
+
+def plain_lines(rows, only_met):
+    """(doc_id, text, text hash) rows -> Counter of (doc_id, kept line), by all pairs of distinct lines; null ids first, then the row of smallest text hash. only_met: beyond 2 edits only pairs that have a chunk in common near the same place."""
+    chunks = {}
+
+    def meet(a, b, t):
+        for x in (a, b):
+            if x not in chunks:
+                _, keys, at = line_dedup.chunks(line_dedup.Substrings(x), np.array([0]), np.array([len(x)]))
+                chunks[x] = list(zip(keys.tolist(), at.tolist(), strict=True))
+        return not only_met or t <= line_dedup.THRESHOLD or any(k == m and abs(i - j) <= t for k, i in chunks[a] for m, j in chunks[b])
+
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][2], k))
+    first = {}
+    for place, k in enumerate(order):
+        for n, line in enumerate((rows[k][1] or "").split("\n")):
+            if line and not line.isspace():
+                first.setdefault(line, (place, n))
+    lines = sorted(first, key=len)
+    limit = line_dedup.limits(np.asarray([len(x) for x in lines], np.int64)).tolist()
+    parent = {x: x for x in first}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for n, b in enumerate(lines):
+        for a in lines[n + 1 :]:
+            if len(a) - len(b) > limit[n]:
+                break
+            if limit[n] and find(a) != find(b) and line_dedup.distance_within(a, b, limit[n]) and meet(a, b, limit[n]):
+                x, y = sorted((find(a), find(b)), key=first.get)
+                parent[y] = x
+    out = Counter()
+    for place, k in enumerate(order):
+        out.update((rows[k][0], line) for n, line in enumerate((rows[k][1] or "").split("\n")) if line and not line.isspace() and first[find(line)] == (place, n))
+    return out
+
+
+def kept_lines(df):
+    return Counter((r["doc_id"], line) for r in line_dedup.deduplicated(df, True).select("doc_id", "text").collect() for line in r["text"].split("\n") if line and not line.isspace())
+
+
+def edited(rng, line, n):
+    for _ in range(n):
+        at = rng.randrange(len(line))
+        kind = rng.random()
+        line = line[:at] + (rng.choice("abcdefgh ") if kind < 0.8 else "") + line[at + (kind < 0.6 or kind >= 0.8) :]
+    return line
+
+
+def line_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit(7)).withColumn("removed_lines", F.lit("x"))
+    keys = {r["text"]: r["k"] for r in df.select("text", F.xxhash64("text").alias("k")).collect()}
+    return df, [(d, t, keys[t]) for d, t in docs]
+
+
+def test_growing_threshold_equals_all_pairs(spark):
+    """Repeated and null ids, rows that are equal, lines of every length class with 0 to 8 % edits, clashing columns."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 3, 4, 6, 9, 14, 20, 30, 60) for _ in range(6)]
+    docs = []
+    for k in range(90):
+        lines = [edited(rng, x, rng.randint(0, max(1, len(x) // 14))) for x in rng.sample(base, 4)] + [f"only of row {k} {rng.random()}", "", "  "]
+        docs.append((rng.choice([None, None, k, k, k, k, 3, 4]), "\n".join(lines)))
+    docs += [docs[5], docs[5], (50, None), (None, ""), (1, "a first and only line of the corpus"), (9, "a first and only line of the corpus\na second of it"), (9, "this unique text stands nowhere else\nneither does this other sentence")]
+    df, rows = line_rows(spark, docs)
+    got, least, most = kept_lines(df), plain_lines(rows, False), plain_lines(rows, True)
+    assert least <= got <= most and got.total() - least.total() <= 3
+    assert (9, "this unique text stands nowhere else") in got
+    assert set(df.columns) <= set(line_dedup.deduplicated(df, True).columns)
+    assert line_dedup.drop_repeats(df).columns == df.columns
+
+
+def test_lines_of_equal_periods(spark):
+    """A chunk that stands many times in a line counts at all its places."""
+    rng = random.Random(5)
+    docs = []
+    for k in range(12):
+        period = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40))
+        docs += [(2 * k, period * 10), (2 * k + 1, edited(rng, period * 10, 9))]
+    df, rows = line_rows(spark, docs)
+    assert plain_lines(rows, False) == kept_lines(df) == plain_lines(rows, True)
+
+
+def test_variants_of_one_line_do_not_all_meet(spark):
+    """Variants of one line that are near it meet it, not one another; those too far from it give few pairs to verify."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    base = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30))
+    counts = []
+    for n in (250, 1000):
+        lines = [base] + [edited(rng, base, rng.randint(1, 16)) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        shared = line_dedup.chunked(df).distinct()
+        sizes = shared.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        weight = shared.join(sizes, "key").groupBy("h1").agg(F.sum(F.log2("size")).alias("weight"))
+        rows = shared.join(sizes.select("key"), "key").join(weight.join(line_dedup.signed(df), "h1"), "h1")
+        counts.append(line_dedup.central_candidates(rows).count())
+    assert counts[0] < 8 * 250 and counts[1] < 8 * 1000
+
+
+def test_gram_parities_bound_the_edits():
+    """No more bits flip than the filter allows."""
+    rng = random.Random(9)
+    for _ in range(200):
+        a = "".join(rng.choice("abcdef ") for _ in range(rng.randint(60, 200)))
+        n = rng.randint(0, 12)
+        b = edited(rng, a, n)
+        sides = [line_dedup.gram_parities(line_dedup.Substrings(x), np.array([0]), np.array([len(x)])) for x in (a, b)]
+        flips = sum(bin((int(x[0]) ^ int(y[0])) & (1 << 64) - 1).count("1") for x, y in zip(*sides, strict=True))
+        assert flips <= 2 * line_dedup.GRAM * n - abs(len(a) - len(b))
