@@ -533,7 +533,7 @@ def a30_simhash(s: SparkSession, d: str) -> DataFrame:
 
 
 def complete() -> None:
-    from netgauge import catalog_readers, catalog_records, catalog_scores, catalog_services  # noqa: F401  they register their queries here
+    from netgauge import catalog_readers, catalog_records, catalog_scores, catalog_services, catalog_streams  # noqa: F401  they register their queries here
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

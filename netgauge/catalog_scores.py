@@ -107,6 +107,8 @@ by_kind(
     (keys(requests=[got("u", code=200, headers={"Server": "ECAcc (x)"})]), 0.0, None, None),
     (keys(requests=[got("u", code=200, headers={"Server": "nginx"}), got("u", code=200, headers={})]), 1.0, None, None),
     (keys(requests=[got("u", code=200, headers={"Server": "nginx"}), got("u", code=403, headers={})]), 1.0, None, None),
+    (keys(requests=[got("u", code=200, headers=[["Via", ["x"]], [], ["Server", ["ECAcc (x)", "y"]]])]), 0.0, None, None),
+    (keys(requests=[got("u", code=200, headers=[["server", ["ECAcc (x)"]]]), got("u", code=200, headers=[])]), 1.0, None, None),
     (keys(requests=[{"response": None}]), 1.0, None, None),
     (keys(requests=[]), 1.0, 0.0, None),
 )
@@ -144,6 +146,17 @@ by_kind(
     (keys(blocking="dns", title_match="odd"), 0.0, 0.0, None),
     ({}, 0.0, 0.0, None),
 )
+
+
+@query(f"with {M} select measurement_uid, case event_id % 5 when 0 then ['a' || measurement_uid] when 1 then ['b' || measurement_uid, 'c'] when 2 then ['d', 'e', 'f'] else cast([] as varchar[]) end as any_case, case event_id % 5 when 1 then ['c'] when 2 then ['d', 'f'] else cast([] as varchar[]) end as as_is from m")
+def r26_header_values(s: SparkSession, d: str) -> DataFrame:
+    """Headers by name, in any case and as they are, from maps and from lists."""
+    text = F.expr("""case event_id % 5 when 0 then concat('{"headers":{"SERVER":"a', measurement_uid, '","Via":"x"}}') when 1 then concat('{"headers":{"server":"b', measurement_uid, '","Server":"c"}}')
+        when 2 then '{"headers":[["Server",["d","x"]],[],["sErver",["e"]],["Server","f"]]}' when 3 then '{"headers":null}' else '{"code":200}' end""")
+    m = msm(s, d).select("measurement_uid", F.try_parse_json(text).alias("r"))
+    return m.select("measurement_uid", F.array_sort(scoring.header_values(F.col("r"), "Server")).alias("any_case"), scoring.header_values(F.col("r"), "Server", any_case=False).alias("as_is"))
+
+
 by_kind("r0_unknown_test", "no_such_test", (keys(failure="x"), 0.0, 0.0, None), ({}, 0.0, 0.0, None))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable, Iterator
+from typing import Generic, TypeVar
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netgauge.functions import scalar, scoring
@@ -20,11 +20,15 @@ from netgauge.operators.detector import LOWER, UPPER, WEIGHT
 TEXTS = {"software_version": "$.software_version", "architecture": "$.annotations.architecture", "engine_name": "$.annotations.engine_name", "engine_version": "$.annotations.engine_version", "test_version": "$.test_version", "test_helper_address": "$.test_helpers.backend.address", "test_helper_type": "$.test_helpers.backend.type"}
 
 
+def taken_in(rows: DataFrame) -> DataFrame:
+    """(v, ...) -> the rows without those of no report id, or of unknown country or network."""
+    cc, asn = (F.coalesce(F.try_variant_get("v", f"$.{n}", "string"), F.lit("")) for n in ("probe_cc", "probe_asn"))
+    return rows.where((F.upper(cc) != "ZZ") & (F.upper(asn) != "AS0") & F.try_variant_get("v", "$.report_id", "string").isNotNull())
+
+
 def kept(bodies: DataFrame) -> DataFrame:
     """(measurement_uid, body) -> with v, without what isn't taken in: unparsable bodies, no report id, unknown country or network."""
-    d = bodies.withColumn("v", F.try_parse_json("body")).where("v is not null")
-    cc, asn = (F.coalesce(F.try_variant_get("v", f"$.{n}", "string"), F.lit("")) for n in ("probe_cc", "probe_asn"))
-    return d.where((F.upper(cc) != "ZZ") & (F.upper(asn) != "AS0") & F.try_variant_get("v", "$.report_id", "string").isNotNull())
+    return taken_in(bodies.withColumn("v", F.try_parse_json("body")).where("v is not null"))
 
 
 def fact_rows(rows: DataFrame, scores: Column | None = None, confirmed: Column | None = None) -> DataFrame:
@@ -55,19 +59,6 @@ def scored(bodies: DataFrame) -> DataFrame:
     return fact_rows(kept(bodies))
 
 
-def start_scoring(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = 100, once: bool = False) -> StreamingQuery:
-    """JSON lines that arrive below `source` become fact rows below `sink`, so many files a batch.
-
-    A batch that is repeated after a failure overwrites its own folder, so no row comes twice.
-    """
-    def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    lines = spark.readStream.option("maxFilesPerTrigger", files).schema("measurement_uid string, body string").json(source)
-    writer = scored(lines).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
 def recent_web(fact: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
     """Web measurements of listed URLs that are neither in the future nor 8 days old."""
     m = fact.where((F.col("test_name") == "web_connectivity") & (F.col("measurement_start_time") < now) & (F.col("measurement_start_time") > now - F.expr("interval 8 days")))
@@ -106,14 +97,17 @@ def blocking_changes(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.groupBy(*keys).applyInPandasWithState(step, f"{types}, ts timestamp, mean double, blocked boolean", "mean double, blocked boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-class Refreshed:
+T = TypeVar("T")
+
+
+class Refreshed(Generic[T]):
     """A small reference table that is read again once it is older than `seconds`; if that fails the old copy stays."""
 
-    def __init__(self, load: Callable[[], DataFrame], seconds: float = 3600, clock: Callable[[], float] = time.time):
+    def __init__(self, load: Callable[[], T], seconds: float = 3600, clock: Callable[[], float] = time.time):
         self.load, self.seconds, self.clock = load, seconds, clock
         self.table, self.at = load(), clock()
 
-    def __call__(self) -> DataFrame:
+    def __call__(self) -> T:
         if self.clock() - self.at >= self.seconds:
             try:
                 self.table, self.at = self.load(), self.clock()

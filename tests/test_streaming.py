@@ -1,5 +1,6 @@
 """A stream gives what the batch gives; archives come back as written."""
 
+import itertools
 import json
 import random
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from netgauge import catalog
 from netgauge.operators import detector
 from netgauge.sources import archives
-from netgauge.streaming import ingest
+from netgauge.streaming import ingest, scoring
+from netgauge.streaming.sinks import Ledger, Store, by_time
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,17 +53,106 @@ def record(**more):
     return json.dumps({"report_id": "r", "probe_cc": "it", "probe_asn": "AS1", "test_name": "openvpn", "measurement_start_time": "2024-01-02 03:04:05", "test_keys": {"success": False}} | more)
 
 
-def test_scored_stream_equals_batch(spark, tmp_path):
-    """Files that arrive are scored once each, over a restart too; a batch that is done again overwrites itself."""
+def prints(spark, page, address="10.9.9.9"):
+    """Fingerprints of answers and of responses."""
+    rows = lambda *r: spark.createDataFrame(list(r), scoring.PRINTS)
+    return rows(("dns", address, "full", "", "nat", [])), rows(("page", page, "full", "body", "isp", []), ("server", "blocker/", "prefix", "header.server", "fp", ["IT"]))
+
+
+def web(uid, body=None, address=None, server=None, **more):
+    keys = {"blocking": None, "accessible": None, "queries": [{"answers": [{"ipv4": address}]}] if address else [], "requests": [{"response": {"body": body, "headers": {"Server": server} if server else {}}}]}
+    return uid, record(test_name="web_connectivity", test_keys=keys, **more)
+
+
+def of(df):
+    return sorted(str(sorted(r.asDict().items(), key=lambda x: x[0])) for r in df.collect())
+
+
+UID = "20240102030405.000000_IT_{}_{:016d}"
+
+
+def test_scored_stream_equals_batch(spark, tmp_path, monkeypatch):
+    """All tables equal the batch, row for row: over restarts, after the fingerprints changed, failed to load, and after a batch that broke between two tables."""
     (tmp_path / "in").mkdir()
-    bodies = [("u1", record()), ("u2", record(probe_cc="ZZ")), ("u3", "{broken"), ("u4", record(report_id=None)), ("u5", record(test_keys={"success": True}, annotations={"platform": "ios"}))]
-    for i, part in enumerate((bodies[:3], bodies[3:])):
-        (tmp_path / f"in/{i}.json").write_text("".join(json.dumps({"measurement_uid": u, "body": b}) + "\n" for u, b in part))
-        ingest.start_scoring(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination(120)
-    got = sorted((r["measurement_uid"], r["probe_cc"], r["probe_asn"], r["anomaly"], r["platform"], r["software_name"], r["test_runtime"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [("u1", "IT", 1, "t", "unset", "unknown", 0.0), ("u5", "IT", 1, "f", "ios", "unknown", 0.0)]
-    batch = ingest.scored(spark.createDataFrame(bodies, "measurement_uid string, body string"))
-    assert sorted(r["scores_json"] for r in batch.collect()) == sorted(r["scores_json"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    parts = [
+        [web(UID.format("webconnectivity", 1), "the old block page"), web(UID.format("webconnectivity", 2), address="10.9.9.9"), (UID.format("openvpn", 3), record()), (UID.format("openvpn", 3), record()), ("u4", "{broken")],
+        [web(UID.format("webconnectivity", 5), "the old block page"), web(UID.format("webconnectivity", 6), "a new block page", server="blocker/2"), (UID.format("openvpn", 7), record(probe_cc="ZZ"))],
+        [web(UID.format("webconnectivity", 8), "the old block page"), (UID.format("openvpn", 9), json.dumps({"format": "json", "content": json.loads(record(test_keys={"success": True}))}))],
+        [web(UID.format("webconnectivity", 10), "a new block page, again"), ("u11", record(report_id=None))],
+    ]
+    state = {"page": "old block", "broken": False}
+
+    def load():
+        if state["broken"]:
+            raise OSError("away")
+        return prints(spark, state["page"])
+
+    want, sink = {t: [] for t in (scoring.FACTS, scoring.OPENVPN)}, f"{tmp_path}/out"
+
+    def arrive(i, expected, started=()):
+        (tmp_path / f"in/{i}.json").write_text("".join(json.dumps({"measurement_uid": u, "body": b}) + "\n" for u, b in parts[i]))
+        batch = spark.createDataFrame(sorted(set(parts[i])), "measurement_uid string, body string")
+        for table, rows in scoring.derived(batch, expected).items():
+            want[table] += of(rows)
+
+    def run(**more):
+        scoring.start(spark, f"{tmp_path}/in", sink, f"{tmp_path}/cp", load, once=True, **more).awaitTermination(240)
+
+    def same():
+        for table, rows in want.items():
+            assert of(scoring.read(spark, sink, table)) == sorted(rows)
+
+    arrive(0, prints(spark, "old block"))
+    run()
+    same()
+    assert {r["measurement_uid"][-1]: r["confirmed"] for r in scoring.read(spark, sink, scoring.FACTS).collect()} == {"1": "t", "2": "t", "3": "f"}
+    # the batch breaks after the facts were written: nothing of it is seen, and it is done again
+    state["page"] = "new block"
+    arrive(1, prints(spark, "new block"))
+    before, commit = dict(want), Ledger.commit
+    monkeypatch.setattr(Ledger, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(Ledger, "commit", commit)
+    assert scoring.read(spark, sink, scoring.FACTS).count() == 3 and before
+    run()
+    same()
+    assert {r["measurement_uid"][-1] for r in scoring.read(spark, sink, scoring.FACTS).where("confirmed = 't'").collect()} == {"1", "2", "6"}
+    # one stream over two batches; the fingerprints fail to load in between, so the copy stays
+    arrive(2, prints(spark, "new block"))
+    arrive(3, prints(spark, "new block"))
+    loads = []
+
+    def once_then_away():
+        loads.append(1)
+        state["broken"] = len(loads) > 1
+        return load()
+
+    scoring.start(spark, f"{tmp_path}/in", sink, f"{tmp_path}/cp", once_then_away, files=1, once=True, seconds=10, clock=itertools.count(0, 20).__next__).awaitTermination(240)
+    assert len(loads) >= 2
+    same()
+    assert scoring.read(spark, sink, scoring.POSTS).count() == 11
+    # fewer folders, the same rows; a batch that is repeated after that does nothing
+    assert scoring.compact(spark, sink) == 3 and scoring.compact(spark, sink) is None
+    assert len(Ledger(spark, sink).commits()) == 1
+    scoring.appended(Ledger(spark, sink), batch_of(spark, parts[0]), 0)
+    same()
+
+
+def batch_of(spark, rows):
+    return spark.createDataFrame(rows, "measurement_uid string, body string")
+
+
+def test_spooled_posts_have_their_hour(spark):
+    d = batch_of(spark, [(UID.format("tor", 1), "x"), ("u2", "y"), (None, None)])
+    assert sorted(map(tuple, d.select(*by_time()).collect()), key=str) == [("20240102", "03", "IT", "tor"), (None,) * 4, (None,) * 4]
+
+
+def test_files_appear_whole(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s")
+    store.put("a/b.json", "one")
+    store.put("a/b.json", "two")
+    assert store.get("a/b.json") == "one" and store.names("a") == ["b.json"] and store.names("none") == []
 
 
 def test_counters_stream_equals_batch(spark, tmp_path):
