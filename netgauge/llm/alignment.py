@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers cover the same bytes, and how often pairs do so in the corpus.
 
 Both tokenizers encode a text; each token is a range of its bytes. With
-pandas.merge_asof, keyed by document, each token's start finds the token of the
-other side that covers it. The union of both directions is all overlaps. Where
+pandas.merge_asof, keyed by document and byte, each token's start finds the token
+of the other side that covers it. The union of both directions is all overlaps. Where
 two tokens that overlap end together, a group ends; tokens of one group are
 linked, each with each.
 
@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -103,22 +104,21 @@ def tokenizers_of(a: bytes, b: bytes) -> tuple[Pieces, Pieces]:
 
 
 def token_frame(ids: list[list[int]], of: Pieces) -> pd.DataFrame:
-    """A row a token: doc, start, end, id; by document and start."""
+    """A row a token: doc, id, and its range of bytes. Ranges of a document begin where those of the one before end, so they are keyed by document."""
     n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-    doc, size = np.repeat(np.arange(len(ids)), n), of.lengths[flat]
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+    size = of.lengths[flat]
     end = np.cumsum(size)
-    first = np.concatenate([[0], end])[np.cumsum(n) - n]
-    end -= first[doc]
-    return pd.DataFrame({"doc": doc, "start": end - size, "end": end, "id": flat, "row": np.arange(len(flat))})
+    return pd.DataFrame({"start": end - size, "end": end, "doc": np.repeat(np.arange(len(ids)), n), "id": flat, "row": np.arange(len(flat))})
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """row_a, row_b of all tokens that overlap: each start looks up the covering token of the other side."""
-    a, b = (x.sort_values("start", kind="stable") for x in (a, b))
-    cover = lambda left, right: pd.merge_asof(left[["start", "doc", "row"]], right[["start", "doc", "row"]], on="start", by="doc", suffixes=("", "_other"))
-    down, up = cover(a, b), cover(b, a)
-    return pd.concat([down.rename(columns={"row": "row_a", "row_other": "row_b"}), up.rename(columns={"row": "row_b", "row_other": "row_a"})])[["row_a", "row_b"]].drop_duplicates()
+    """row_a, row_b of all tokens that overlap, each pair once: each start looks up the covering token of the other side."""
+    cover = lambda left, right: pd.merge_asof(left[["start", "row"]], right[["start", "row"]].assign(begin=right["start"]), on="start", suffixes=("", "_other"))
+    down = cover(a, b).rename(columns={"row": "row_a", "row_other": "row_b"})
+    up = cover(b, a).rename(columns={"row": "row_b", "row_other": "row_a"})
+    up = up[up["start"].to_numpy() > up["begin"].to_numpy()]  # tokens that start together have been found
+    return pd.concat([down[["row_a", "row_b"]], up[["row_a", "row_b"]]])
 
 
 def grouped(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -200,9 +200,11 @@ class Digits:
 def aligned(texts: list[str], a: Pieces, b: Pieces, digits: Digits) -> dict[str, list]:
     """Columns of a row for each text: n_a, n_b, n_groups, n_links, groups_sha256, pairs, links."""
     ids = [x.encode(texts) for x in (a, b)]
+    whole = [b" " + t.encode() for t in texts]
+    bytes_of = lambda p, x: p.bytes_of(np.fromiter(chain.from_iterable(x), np.int64))
+    same = all(bytes_of(p, x) == b"".join(whole) and [int(p.lengths[y].sum()) for y in x] == [len(w) for w in whole] for p, x in zip((a, b), ids, strict=True))
     for i, t in enumerate(texts):
-        whole = b" " + t.encode()
-        if not t or any(p.bytes_of(np.asarray(x[i], np.int64)) != whole for p, x in zip((a, b), ids, strict=True)):
+        if not t or not same and any(bytes_of(p, [x[i]]) != whole[i] for p, x in zip((a, b), ids, strict=True)):
             ids[0][i] = ids[1][i] = []
     left, right = token_frame(ids[0], a), token_frame(ids[1], b)
     group_a, group_b = grouped(left, right)
