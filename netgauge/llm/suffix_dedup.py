@@ -23,11 +23,13 @@ A byte goes if a LENGTH-byte string that covers it also starts anywhere else.
    small enough or its strings start in one column and are equal. So no group has
    to fit into one task, and a collision of group keys only makes a group larger.
 
-Defined cases: null and empty texts have 0 bytes; texts of fewer than LENGTH bytes
+Defined cases: null and empty texts have 0 bytes; a null doc_id is an id like
+others, and rows of equal doc_id are texts of their own; texts of fewer than LENGTH bytes
 lose nothing; repeated rows and equal texts repeat each other; further columns
 are ignored; an empty table gives an empty result. Strings are compared byte by
-byte; whole texts are told apart by 64-bit hashes, equal contexts by two (of
-their anchor and of themselves).
+byte; copies of whole texts are told by 128 bits of hashes, spans go back to
+their texts by 64, equal contexts are told by two hashes (of their anchor and of
+themselves).
 """
 
 from __future__ import annotations
@@ -244,8 +246,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     groups = contexts.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1")
     # Bytes of one occurrence of each context that has others beside it.
     wanted = contexts.join(groups, "anchor").groupBy("at.text_key").agg(F.collect_list(F.struct("anchor", "context", "at.pos", "size")).alias("wanted"))
-    one = docs.select("doc_id", F.xxhash64("text").alias("text_key")).groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(wanted.join(one, "text_key"), "doc_id").where(F.xxhash64("text") == F.col("text_key"))
+    # One row of each text is read, found by id and text together (a null id is an id like others), so many rows of one id don't meet.
+    row = lambda key: F.xxhash64("doc_id", key).alias("row")
+    one = docs.select("doc_id", F.xxhash64("text").alias("text_key")).groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select("text_key", row("text_key"))
+    texts = docs.select(row(F.xxhash64("text")), "text").join(wanted.join(one, "text_key"), "row").where(F.xxhash64("text") == F.col("text_key"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ts in text_batches(batches):
@@ -280,9 +284,11 @@ def removed_runs(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept, spans]."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    twice = docs.select(F.xxhash64("text").alias("text_key")).groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1")
-    facts = repeated_spans(docs).join(twice, "text_key", "full").select("text_key", "spans", F.col("copies").isNotNull().alias("copied"))
-    joined = keyed.join(facts, "text_key", "left").select("doc_id", "text", "spans", "copied")
+    twin = F.xxhash64(F.lit(1), "text")  # with the key, 128 bits tell copies
+    twice = docs.select(F.xxhash64("text").alias("text_key"), twin.alias("twin")).groupBy("text_key", "twin").agg(F.count("*").alias("copies")).where("copies > 1")
+    twice = twice.groupBy("text_key").agg(F.collect_list("twin").alias("twins"))  # one, but for unlike texts of one key
+    joined = keyed.join(repeated_spans(docs).join(twice, "text_key", "full"), "text_key", "left")
+    joined = joined.select("doc_id", "text", "spans", F.coalesce(F.array_contains("twins", twin), F.lit(False)).alias("copied"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     more = ", kept binary, spans array<struct<a:bigint,b:bigint>>" if with_bytes else ""
 

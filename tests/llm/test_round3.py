@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from netgauge.llm import alignment, entry, importance, line_dedup, monoid_bpe
+from netgauge.llm import alignment, entry, importance, line_dedup, monoid_bpe, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, weight long, score string"
 HARD = [
@@ -341,3 +341,33 @@ def test_gram_parities_bound_the_edits():
         sides = [line_dedup.gram_parities(line_dedup.Substrings(x), np.array([0]), np.array([len(x)])) for x in (a, b)]
         flips = sum(bin((int(x[0]) ^ int(y[0])) & (1 << 64) - 1).count("1") for x, y in zip(*sides, strict=True))
         assert flips <= 2 * line_dedup.GRAM * n - abs(len(a) - len(b))
+
+
+# ---- suffix dedup
+
+
+def plain_removed(texts, n=200):
+    """(bytes removed, kept) of each text by looking up every n-byte string."""
+    starts = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - n + 1):
+            if starts[t[i : i + n]] > 1:
+                gone[i : i + n] = True
+        out.append((int(gone.sum()), bytes(np.frombuffer(t, np.uint8)[~gone])))
+    return out
+
+
+def test_repeats_of_null_and_equal_ids(spark):
+    """Rows without an id and rows of one id are texts like others."""
+    rng = random.Random(3)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared, other = own(230), own(260)
+    texts = [own(300) + shared + own(300), own(400) + shared, own(100) + other + own(90), other + own(250), own(500), own(500)]
+    ids = [None, 2, None, 7, 7, 7]
+    texts += [texts[4], own(10) + shared[:200], None]
+    ids += [7, None, None]
+    want = Counter((i, n, hashlib.sha256(kept).hexdigest()) for i, (n, kept) in zip(ids, plain_removed([(t or "").encode() for t in texts]), strict=True))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(df).collect()) == want
