@@ -11,7 +11,7 @@ from netgauge.functions import legacy
 from netgauge.operators import links, lookup, priority
 from netgauge.plans import views
 from netgauge.plans.views import CZ, OB, M
-from netgauge.sources import archives
+from netgauge.sources import archives, bundles
 
 # ---- lookups ----
 
@@ -250,8 +250,14 @@ def l6_lowest_quotas(s: SparkSession, d: str) -> DataFrame:
 # ---- upkeep of archives ----
 
 
-BUNDLED = f"""{M}, l as (select measurement_uid, strftime(measurement_start_time, '%Y%m%d') as day, strftime(measurement_start_time, '%H') as hour, case when event_id % 50 < 30 then 'AA' else probe_cc end as cc, 't' as test, case when event_id % 9 = 0 then '{{}}' else '{{"uid":"' || measurement_uid || '","pad":"' || repeat('x', event_id % 40) || '"}}' end as value from m),
-o as (select *, coalesce(sum(strlen(value) + 1) over (partition by day, hour, cc, test order by measurement_uid rows between unbounded preceding and 1 preceding), 0) as before from l), n as (select *, cast(floor(before / 100) as bigint) as bundle from o)"""
+BUNDLED = f"""recursive {M}, l as (select measurement_uid, strftime(measurement_start_time, '%Y%m%d') as day, strftime(measurement_start_time, '%H') as hour, case when event_id % 50 < 30 then 'AA' else probe_cc end as cc, 't' as test, case when event_id % 9 = 0 then '{{}}' else '{{"uid":"' || measurement_uid || '","pad":"' || repeat('x', event_id % 40) || '"}}' end as value from m),
+o as (select *, coalesce(sum(strlen(value) + 1) over (partition by day, hour, cc, test order by measurement_uid rows between unbounded preceding and 1 preceding), 0) as before from l),
+g as (select distinct day, hour, cc, test from o),
+starts as (
+  select day, hour, cc, test, 0 as bundle, cast(0 as hugeint) as start from g
+  union all select s.day, s.hour, s.cc, s.test, s.bundle + 1, s.next from (
+    select s.*, (select min(o.before + strlen(o.value) + 1) from o where o.day = s.day and o.hour = s.hour and o.cc = s.cc and o.test = s.test and o.before + strlen(o.value) + 1 > s.start + 300) as next from starts s) s where s.next is not null),
+n as (select o.*, (select max(s.bundle) from starts s where s.day = o.day and s.hour = o.hour and s.cc = o.cc and s.test = o.test and s.start <= o.before) as bundle from o)"""
 
 
 def to_bundle(s: SparkSession, d: str) -> DataFrame:
@@ -261,18 +267,20 @@ def to_bundle(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {BUNDLED} select measurement_uid, day, hour, cc, bundle, value, cast(row_number() over (partition by day, hour, cc, test, bundle order by measurement_uid) - 1 as integer) as linenum from n")
 def w7_bundles_by_bytes(s: SparkSession, d: str) -> DataFrame:
-    return archives.bundled(to_bundle(s, d), 100).select("measurement_uid", "day", "hour", "cc", "bundle", "value", "linenum")
+    m = to_bundle(s, d)
+    lines, places = bundles.bundled(m.unionByName(m), 300)
+    return places.join(lines.select("row", "value"), "row").select("measurement_uid", "day", "hour", "cc", F.col("bundle").cast("int").alias("bundle"), "value", "linenum")
 
 
 @query(f"with {BUNDLED} select day, hour, cc, test, bundle, count(*) as n, sha256(string_agg(measurement_uid, chr(10) order by measurement_uid)) as name from n group by 1, 2, 3, 4, 5")
 def s12_bundle_names(s: SparkSession, d: str) -> DataFrame:
     m = to_bundle(s, d)
-    return archives.bundle_names(m.unionByName(m), 100)
+    return bundles.named(bundles.bundled(m.unionByName(m), 300)[1]).withColumn("bundle", F.col("bundle").cast("int"))
 
 
 @query(f"with {M} select measurement_uid from m where date_trunc('hour', measurement_start_time) + interval 2 hour <= timestamp '2024-01-20 12:30:00'")
 def s11_settled_hours(s: SparkSession, d: str) -> DataFrame:
-    return archives.settled(to_bundle(s, d), "2024-01-20 12:30:00").select("measurement_uid")
+    return bundles.settled(to_bundle(s, d), "2024-01-20 12:30:00").select("measurement_uid")
 
 
 @query(f"with {M} select event_id, input, domain from m where event_id > 300 and event_id < (select max(event_id) - 10 from m)")

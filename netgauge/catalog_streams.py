@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from netgauge.catalog import msm, query
 from netgauge.catalog_scores import MATCHED, prints, raw_web
+from netgauge.sources.store import shared_folder
 from netgauge.streaming import scoring
-from netgauge.streaming.sinks import shared_folder
 
 HEAD = """concat('{"test_name":"', test_name, '","report_id":"r","probe_asn":"AS1","probe_cc":"', lower(probe_cc), '","measurement_start_time":"2024-01-02 03:04:05","test_keys":')"""
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from netgauge import catalog
 from netgauge.operators import detector
-from netgauge.sources import archives
+from netgauge.sources import archives, bundles
+from netgauge.sources.store import Store
 from netgauge.streaming import ingest, scoring
-from netgauge.streaming.sinks import Ledger, Store, by_time
+from netgauge.streaming.sinks import Ledger, by_time
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,20 +168,68 @@ def test_counters_stream_equals_batch(spark, tmp_path):
         assert sorted(map(str, spark.table(f"counters{n}").collect())) == sorted(map(str, count(ingest.recent_web(fact, urls, now)).collect()))
 
 
+BODIES = "measurement_uid string, day string, hour string, cc string, test string, body string"
+
+
+def folded(rows, budget):
+    """The serial fold: a bundle closes at the line that brings it over the budget. -> uid: (group, bundle, line)"""
+    out, state = {}, {}
+    for uid, *group, body in sorted({r[0]: r for r in sorted(rows, reverse=True)}.values(), key=lambda r: (r[1:5], r[0])):
+        bundle, line, size = state.get(tuple(group), (0, 0, 0))
+        out[uid] = (*group, bundle, line)
+        size += len(body.encode()) + 1
+        state[tuple(group)] = (bundle + 1, 0, 0) if size > budget else (bundle, line + 1, size)
+    return out
+
+
+@pytest.mark.parametrize("budget,block", [(1, 1), (300, 1), (300, 2), (2000, 3), (10**9, 8)])
+def test_cuts_equal_the_serial_fold(spark, monkeypatch, budget, block):
+    """Hours of one line and of thousands, lines longer than a bundle and than a block of bundles."""
+    monkeypatch.setattr(bundles, "BLOCK", block)
+    rng = random.Random(budget + block)
+    rows = [(f"u{i:05d}", "20240102", rng.choice(["03"] * 30 + ["04", "05"]), rng.choice(["IT", "IT", "FR"]), "tor", json.dumps({"x": "y" * (rng.choice([0, 5, 40, 90]) if rng.random() < 0.99 else rng.choice([700, 3000, 9000]))})) for i in range(3000)]
+    rows += [(f"v{i}", "20240103", "00", "DE", "t", json.dumps({"n": i})) for i in range(3)]
+    places = bundles.bundled(spark.createDataFrame(rows, BODIES), budget)[1]
+    got = {r["measurement_uid"]: (r["day"], r["hour"], r["cc"], r["test"], r["bundle"], r["linenum"]) for r in places.collect()}
+    assert got == folded(rows, budget)
+    assert bundles.bundled(spark.createDataFrame([], BODIES), budget)[1].count() == 0
+
+
 def test_bundles_and_locators(spark, tmp_path):
-    """Bundles by bytes come back by locator; what doesn't parse is an empty record with its place; bundles that nobody asks for aren't read."""
-    bodies = [(f"u{i}", "20240102", f"{i % 2:02d}", "IT", "openvpn", "{broken" if i == 3 else record(n=i)) for i in range(9)]
-    d = spark.createDataFrame(bodies, "measurement_uid string, day string, hour string, cc string, test string, body string")
-    at = archives.write_bundles(d.union(d), f"{tmp_path}/raw", budget=300)
-    assert at.count() == 9 and {r["linenum"] for r in at.collect()} == {0, 1, 2}
-    back = {r["measurement_uid"]: r["body"] for r in archives.bodies(spark, f"{tmp_path}/raw", at.where("measurement_uid <> 'u0'")).collect()}
-    assert back == {u: "{}" if u == "u3" else b for u, *_, b in bodies if u != "u0"}
-    assert archives.archive(spark, f"{tmp_path}/raw", "20240102", "20240103", ["IT"]).count() == 9
-    assert archives.json_lines(spark, f"{tmp_path}/raw/*/*/*/*/*").count() == 9
-    (tmp_path / "raw/day=20240102/hour=00/cc=IT/test=openvpn/bundle=99").mkdir()
-    (tmp_path / "raw/day=20240102/hour=00/cc=IT/test=openvpn/bundle=99/part-0.txt.gz").write_bytes(b"not gzip")
-    one = at.where("measurement_uid = 'u5'")
-    assert [r["body"] for r in archives.bodies(spark, f"{tmp_path}/raw", spark.createDataFrame(one.collect(), one.schema)).collect()] == [record(n=5)]
+    """Bundles come back by locator; what doesn't parse is an empty record with its place; bundles that nobody asks for aren't read; doing it again changes nothing."""
+    rows = [(f"u{i}", "20240102", f"{i % 2:02d}", "IT", "openvpn", "{broken" if i == 3 else record(n=i)) for i in range(9)]
+    d = spark.createDataFrame(rows + [("u5", "20240102", "01", "IT", "openvpn", record(n="other"))], BODIES)
+    path = f"{tmp_path}/raw"
+    at = bundles.write_bundles(d.union(d).repartition(5), path, budget=300)
+    where = {r["measurement_uid"]: (r["s3path"], r["linenum"]) for r in at.collect()}
+    assert at.count() == 9 and {n for _, n in where.values()} == {0, 1, 2} and at.where("report_id = 'r'").count() == 8
+    back = {r["measurement_uid"]: r["body"] for r in bundles.bodies(spark, path, at.where("measurement_uid <> 'u0'")).collect()}
+    assert back.pop("u5") in (record(n=5), record(n="other"))
+    assert back == {u: "{}" if u == "u3" else b for u, *_, b in rows if u not in ("u0", "u5")}
+    files = {p.relative_to(path): p.read_bytes() for p in (tmp_path / "raw").rglob("*.gz")}
+    assert {str(p) for p in files} == {p for p, _ in where.values()} and not (tmp_path / "raw/_attempt-").exists() and not list(tmp_path.rglob("_attempt*"))
+    again = bundles.write_bundles(d.repartition(3), path, budget=300)
+    assert {r["measurement_uid"]: (r["s3path"], r["linenum"]) for r in again.collect()} == where
+    assert {p.relative_to(path): p.read_bytes() for p in (tmp_path / "raw").rglob("*.gz")} == files
+    assert archives.archive(spark, path, "20240102", "20240103", ["IT"]).count() == 9
+    (tmp_path / "raw/day=20240102/hour=00/cc=IT/test=openvpn/000099-x.jsonl.gz").write_bytes(b"not gzip")
+    one = at.where("measurement_uid = 'u7'")
+    assert [r["body"] for r in bundles.bodies(spark, path, spark.createDataFrame(one.collect(), one.schema)).collect()] == [record(n=7)]
+
+
+def test_attempts_leave_nothing(tmp_path):
+    """Files of an attempt that failed or came twice never get their name."""
+    import pyarrow as pa
+
+    rows = lambda *names: iter([pa.RecordBatch.from_pydict({"file": list(names), "value": ["x"] * len(names)})])
+    w = bundles.BundleWriter(f"file://{tmp_path}/raw", "a1")
+    w.write(rows("day=1/a.gz", "day=1/b.gz"))  # this attempt's message is lost
+    good = w.write(rows("day=1/a.gz", "day=1/b.gz"))
+    w.commit([good, None])
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.gz")) == ["raw/day=1/a.gz", "raw/day=1/b.gz"] and not (tmp_path / "raw/_attempt-").exists() and not list(tmp_path.rglob("_attempt*"))
+    w = bundles.BundleWriter(f"file://{tmp_path}/raw", "a2")
+    w.abort([w.write(rows("day=1/c.gz"))])
+    assert len(list(tmp_path.rglob("*.gz"))) == 2 and not (tmp_path / "raw/_attempt-a2").exists()
 
 
 def test_posts_and_secrets(spark, tmp_path):
