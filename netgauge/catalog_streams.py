@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netgauge.catalog import msm, query
+from netgauge.catalog import SERIES, msm, query, series
 from netgauge.catalog_scores import MATCHED, prints, raw_web
 from netgauge.sources.store import shared_folder
-from netgauge.streaming import scoring
+from netgauge.streaming import feeds, scoring
 
 HEAD = """concat('{"test_name":"', test_name, '","report_id":"r","probe_asn":"AS1","probe_cc":"', lower(probe_cc), '","measurement_start_time":"2024-01-02 03:04:05","test_keys":')"""
 
@@ -36,3 +36,16 @@ def t1_scored_stream(s: SparkSession, d: str) -> DataFrame:
     vpn = scoring.read(s, f"{root}/out", scoring.OPENVPN).select("measurement_uid", F.lit(True).alias("openvpn"))
     facts = scoring.read(s, f"{root}/out", scoring.FACTS).join(vpn, "measurement_uid", "left")
     return facts.select("measurement_uid", "confirmed", "anomaly", "msm_failure", "blocking_general", "blocking_type", F.coalesce("openvpn", F.lit(False)).alias("openvpn"))
+
+
+@query(f"""{SERIES}, b as (select *, coalesce(last_value(case when mean > 0.10 then true when mean < 0.05 then false end ignore nulls) over (partition by probe_cc, input order by ts, uid rows unbounded preceding), false) as blocked from e),
+c as (select *, coalesce(lag(blocked) over (partition by probe_cc, input order by ts, uid), false) as before from b),
+f as (select probe_cc, input, uid, round(mean, 6) as mean, blocked, row_number() over (partition by probe_cc order by ts desc, uid desc) as rank from c where blocked <> before and uid % 5 <> 0)
+select * from f where rank <= 1000""")
+def w8_event_feeds(s: SparkSession, d: str) -> DataFrame:
+    """A stream of values becomes change events, and each country's feed of the latest of those that have a report."""
+    root, keys = shared_folder(s), ["probe_cc", "input"]
+    rows = series(s, d).select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.col("uid").cast("long").alias("uid"), F.col("x").cast("double").alias("x"), F.expr("case when uid % 5 <> 0 then concat('r', uid) end").alias("report_id"))
+    rows.write.parquet(f"{root}/in")
+    feeds.start(s, s.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/state", keys, once=True).awaitTermination()
+    return feeds.feeds(s, f"{root}/out", keys).select(*keys, "uid", F.round("mean", 6).alias("mean"), "blocked", "rank")

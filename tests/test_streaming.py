@@ -11,7 +11,7 @@ from netgauge import catalog
 from netgauge.operators import detector
 from netgauge.sources import archives, bundles
 from netgauge.sources.store import Store
-from netgauge.streaming import ingest, scoring
+from netgauge.streaming import feeds, ingest, scoring
 from netgauge.streaming.sinks import Ledger, by_time
 
 SF = "/root/testdata/sf0.001"
@@ -260,3 +260,61 @@ def test_lists(spark, tmp_path):
     assert sorted((r["url"], r["cc"]) for r in archives.url_lists(spark, f"{tmp_path}/lists", least=1).collect()) == [("http://a.org/", "ZZ"), ("http://b.org/", "IT")]
     (tmp_path / "asn.json").write_text('{"1": [["Org", "US", "20200101", "A", "x"], ["Old", "US", "20100101", "A", "x"]]}')
     assert archives.asn_names(spark, f"{tmp_path}/asn.json").count() == 2
+
+
+KEYS = ["probe_cc", "input"]
+
+
+def series_with_reports(spark):
+    s = catalog.series(spark, SF)
+    return s.select("probe_cc", "input", F.col("ts").cast("timestamp").alias("ts"), F.col("uid").cast("long").alias("uid"), F.col("x").cast("double").alias("x"), F.when(F.col("uid") % 7 != 0, F.concat(F.lit("r"), "uid")).alias("report_id"))
+
+
+def plain_feed(rows, country=None):
+    told = [r for r in rows if r["input"] and r["report_id"] and country in (None, r["probe_cc"])]
+    return [(r["ts"], r["uid"], r["probe_cc"], r["input"], r["blocked"]) for r in sorted(told, key=lambda r: (r["ts"], r["uid"]), reverse=True)]
+
+
+def test_feeds_and_snapshots_from_state(spark, tmp_path, monkeypatch):
+    """Changes, monthly means and feeds equal the batch over a restart, and over a new checkpoint that begins with a snapshot and reads weeks again."""
+    monkeypatch.setattr(feeds, "FEED", 5)
+    monkeypatch.setattr(feeds.feed, "__defaults__", (5,))
+    # four months: the series, moved on month by month
+    one = series_with_reports(spark)
+    s = one
+    for k in range(1, 4):
+        s = s.unionByName(one.where(f"uid % {k + 1} = 0").withColumns({"ts": F.expr(f"ts + interval {31 * k} days"), "uid": F.col("uid") + k * 1_000_000}))
+    s = spark.createDataFrame(s.collect(), s.schema)
+    means = detector.moving_average(s, KEYS)
+    changes = detector.changes(means, KEYS).collect()
+    assert len(changes) > 10
+    sink, cut = f"{tmp_path}/out", "2024-02-20"
+
+    def arrive(name, rows):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    def run(name, state, to, restored=None):
+        feeds.start(spark, spark.readStream.schema(s.schema).parquet(f"{tmp_path}/{name}"), to, state, KEYS, restored, once=True).awaitTermination(240)
+
+    def same(to, state, want_changes):
+        got = feeds.table(spark, to, feeds.CHANGES, KEYS).collect()
+        as_set = lambda rows: sorted((r["probe_cc"], r["input"], r["ts"], r["uid"], r["blocked"]) for r in rows)
+        assert as_set(got) == as_set(want_changes)
+
+    arrive("in", s.where(F.col("ts") < cut))
+    run("in", f"{tmp_path}/cp", sink)
+    kept = feeds.state_of(spark, f"{tmp_path}/cp")
+    kept = spark.createDataFrame(kept.collect(), kept.schema)  # the snapshot, as of the cut
+    arrive("in", s.where(F.col("ts") >= cut))
+    run("in", f"{tmp_path}/cp", sink)
+    same(sink, f"{tmp_path}/cp", changes)
+    for month in ("2024-02-01", "2024-03-01", "2024-04-01", "2024-06-01"):
+        want = {(r["probe_cc"], r["input"]): round(r["mean"], 9) for r in detector.snapshot(means, KEYS, month).collect()}
+        assert {(r["probe_cc"], r["input"]): round(r["mean"], 9) for r in feeds.snapshot(spark, sink, f"{tmp_path}/cp", month, KEYS).collect()} == want
+    assert plain_feed(feeds.overall(spark, sink, KEYS, 5).collect()) == plain_feed(changes)[:5]
+    for cc in {r["probe_cc"] for r in changes}:
+        assert plain_feed(feeds.feeds(spark, sink, KEYS).collect(), cc) == plain_feed(changes, cc)[:5]
+    # a new checkpoint from the snapshot, with six weeks read again: no event twice, none missed
+    arrive("again", s.where(F.col("ts") >= F.expr(f"timestamp '{cut}' - interval 42 days")))
+    run("again", f"{tmp_path}/cp2", f"{tmp_path}/out2", kept)
+    same(f"{tmp_path}/out2", f"{tmp_path}/cp2", [r for r in changes if str(r["ts"]) >= cut])
