@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netgauge.functions import legacy, scalar, scoring
 from netgauge.operators import counters, detector, priority, versioned
+from netgauge.operators.quantiles import beside, quantiles
 from netgauge.plans import views
 from netgauge.plans.views import AM, AS_OF, CZ, OB, RL, M
 
@@ -169,8 +170,9 @@ def a17_circumvention_by_country(s: SparkSession, d: str) -> DataFrame:
   from m where runtime is not null group by 1, 2, 3) select day, probe_cc, test_name, round(p50, 6) as p50, round(p90, 6) as p90, n from r""")
 def a18_runtime_quantiles(s: SparkSession, d: str) -> DataFrame:
     m = msm(s, d).withColumn("runtime", F.get_json_object("scores", "$.extra.test_runtime").cast("double")).where("runtime is not null")
-    q = m.groupBy(day().alias("day"), "probe_cc", "test_name").agg(F.percentile("runtime", F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.count("*").alias("n"))
-    return q.select("day", "probe_cc", "test_name", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p90"), "n")
+    m, keys = m.select(day().alias("day"), "probe_cc", "test_name", "runtime"), ["day", "probe_cc", "test_name"]
+    q = quantiles(m, keys, [("p50", "runtime", 0.5), ("p90", "runtime", 0.9)])
+    return beside(q, m.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(*keys, F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "n")
 
 
 @query(f"""with {M} select cast(measurement_start_time as date) as day, probe_cc, count(*) filter (where anomaly = 't') as anomalies, count(*) as measurements,

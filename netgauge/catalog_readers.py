@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netgauge.catalog import DAYS, calendar, day, msm, query
 from netgauge.functions import scalar
 from netgauge.operators import counters, readers
+from netgauge.operators.quantiles import beside, quantiles
 from netgauge.plans import views
 from netgauge.plans.views import AS_OF, CZ, OB, M
 
@@ -224,10 +225,11 @@ def a18_runtime_grid(s: SparkSession, d: str) -> DataFrame:
     """The quantiles on the whole grid of days, countries and tests, 0 where there are none; each side is a list of names."""
     m = msm(s, d).where("probe_cc in ('AZ', 'BY')").withColumn("runtime", F.get_json_object("scores", "$.extra.test_runtime").cast("double")).where("runtime is not null")
     keys = ["day", "probe_cc", "test_name"]
-    g = m.groupBy(day().alias("day"), "probe_cc", "test_name").agg(F.percentile("runtime", F.array(F.lit(0.5), F.lit(0.9))).alias("q"), F.count("*").alias("n"))
+    m = m.select(day().alias("day"), "probe_cc", "test_name", "runtime")
+    g = beside(quantiles(m, keys, [("p50", "runtime", 0.5), ("p90", "runtime", 0.9)]), m.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     grid = g.select("day").distinct().crossJoin(g.select("probe_cc").distinct()).crossJoin(g.select("test_name").distinct())
-    value = lambda i: F.round(F.coalesce(F.col("q")[i], F.lit(0.0)), 6)
-    return grid.join(g, keys, "left").select(*keys, value(0).alias("p50"), value(1).alias("p90"), F.coalesce("n", F.lit(0)).alias("n"))
+    value = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    return grid.join(g, keys, "left").select(*keys, value("p50"), value("p90"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""with {M}, {CZ} select date_trunc('week', measurement_start_time + interval 1 day) - interval 1 day as week, probe_cc, probe_asn, input, count(*) as msmt_cnt from m join (select distinct url from cz) u on url = input

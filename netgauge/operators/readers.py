@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgauge.functions.scalar import bucket
+from netgauge.operators.quantiles import beside, quantiles
+from netgauge.sources.store import written
 
 #: Columns that a list of measurements may be ordered by.
 MEASUREMENT_ORDERS = ("measurement_start_time", "input", "probe_cc", "probe_asn", "test_name")
@@ -162,12 +164,15 @@ def likelihoods(an: DataFrame, keys: list[str]) -> DataFrame:
     """
     dns = F.when(F.col("top_dns_failure").isin("android_dns_cache_no_data", "dns_nxdomain_error"), "nxdomain").otherwise(F.coalesce("top_dns_failure", F.lit("got_answer")))
     an = an.withColumns({"_dns": without_detail(dns), "_tcp": without_detail(F.col("top_tcp_failure")), "_tls": without_detail(F.col("top_tls_failure"))})
-    quantiles = [F.percentile(f"{p}_{o}", F.lit(0.95)).alias(f"{p}_{o}") for p in PROTOCOLS for o in OUTCOMES]
-    labels = an.groupBy(*keys, "top_probe_analysis").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.min_by("top_probe_analysis", F.struct(-F.col("c"), F.col("top_probe_analysis"))).alias("probe_analysis"))
-    out = an.groupBy(*keys).agg(F.count("*").alias("count"), *quantiles).join(labels, keys)
-    for p in PROTOCOLS:
-        first = top_weighted(an, keys, f"_{p}", F.floor(F.col(f"{p}_blocked") * 100 + 1e-7), 1).select(*keys, F.col(f"_{p}").alias(f"{p}_blocked_outcome"))
-        out = out.join(first, keys, "left").withColumn(f"{p}_blocked_outcome", F.coalesce(f"{p}_blocked_outcome", F.lit("")))
+    targets = [(f"{p}_{o}", f"{p}_{o}", 0.95) for p in PROTOCOLS for o in OUTCOMES]
+    # All that is counted comes from one grouped scan: a row for each label and combination of failures.
+    counted = written(an.groupBy(*keys, "top_probe_analysis", *[f"_{p}" for p in PROTOCOLS]).agg(F.count("*").alias("c"), *[F.sum(F.floor(F.col(f"{p}_blocked") * 100 + 1e-7)).alias(f"{p}_weight") for p in PROTOCOLS]))
+    labels = counted.groupBy(*keys, "top_probe_analysis").agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum("c").alias("count"), F.min_by("top_probe_analysis", F.struct(-F.col("c"), F.col("top_probe_analysis"))).alias("probe_analysis"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("protocol"), F.col(f"_{p}").alias("failure"), F.col(f"{p}_weight").alias("weight")) for p in PROTOCOLS])).alias("f")
+    weighed = counted.select(*keys, each).where("f.failure is not null").groupBy(*keys, "f.protocol", "f.failure").agg(F.sum("f.weight").alias("weight"))
+    first = [F.min(F.when(F.col("protocol") == p, F.struct((-F.col("weight")).alias("w"), "failure")))["failure"].alias(f"{p}_blocked_outcome") for p in PROTOCOLS]
+    out = beside(quantiles(an, keys, targets), labels, keys)
+    out = beside(out, weighed.groupBy(*keys).agg(*first), keys, "left").withColumns({f"{p}_blocked_outcome": F.coalesce(f"{p}_blocked_outcome", F.lit("")) for p in PROTOCOLS})
     protocols = F.array(*[F.struct((-F.col(f"{p}_blocked")).alias("o"), F.lit(i).alias("i"), F.concat(F.lit(f"{p}."), f"{p}_blocked_outcome").alias("name"), F.col(f"{p}_blocked").alias("blocked")) for i, p in enumerate(PROTOCOLS)])
     likely = F.transform(F.array_sort(F.filter(protocols, lambda x: x["blocked"] > 0.5)), lambda x: F.struct(x["name"].alias("name"), x["blocked"].alias("blocked")))
     none = F.struct(F.lit("none").alias("name"), F.lit(0.0).alias("blocked"))
