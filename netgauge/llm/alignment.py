@@ -103,13 +103,24 @@ def tokenizers_of(a: bytes, b: bytes) -> tuple[Pieces, Pieces]:
     return ByteLevel(a), WordPieces(b)
 
 
-def token_frame(ids: list[list[int]], of: Pieces) -> pd.DataFrame:
-    """A row a token: doc, id, and its range of bytes. Ranges of a document begin where those of the one before end, so they are keyed by document."""
+def tokens_of(texts: list[str], whole: list[bytes], of: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, the number of each text's, and whether its tokens' bytes are the whole text."""
+    ids = of.encode(texts)
     n = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+    ends = np.concatenate([[0], np.cumsum(of.lengths[flat])])[np.concatenate([[0], np.cumsum(n)])]
+    data, size = of.bytes_of(flat), np.fromiter(map(len, whole), np.int64, len(whole))
+    good = np.diff(ends) == size
+    if not good.all() or data != b"".join(whole):
+        good &= np.asarray([data[a:b] == w for a, b, w in zip(ends[:-1].tolist(), ends[1:].tolist(), whole, strict=True)], bool)
+    return flat, n, good
+
+
+def token_frame(flat: np.ndarray, n: np.ndarray, of: Pieces) -> pd.DataFrame:
+    """A row a token: doc, id, and its range of bytes. Ranges of a document begin where those of the one before end, so they are keyed by document."""
     size = of.lengths[flat]
     end = np.cumsum(size)
-    return pd.DataFrame({"start": end - size, "end": end, "doc": np.repeat(np.arange(len(ids)), n), "id": flat, "row": np.arange(len(flat))})
+    return pd.DataFrame({"start": end - size, "end": end, "doc": np.repeat(np.arange(len(n)), n), "id": flat, "row": np.arange(len(flat))})
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -199,14 +210,11 @@ class Digits:
 
 def aligned(texts: list[str], a: Pieces, b: Pieces, digits: Digits) -> dict[str, list]:
     """Columns of a row for each text: n_a, n_b, n_groups, n_links, groups_sha256, pairs, links."""
-    ids = [x.encode(texts) for x in (a, b)]
     whole = [b" " + t.encode() for t in texts]
-    bytes_of = lambda p, x: p.bytes_of(np.fromiter(chain.from_iterable(x), np.int64))
-    same = all(bytes_of(p, x) == b"".join(whole) and [int(p.lengths[y].sum()) for y in x] == [len(w) for w in whole] for p, x in zip((a, b), ids, strict=True))
-    for i, t in enumerate(texts):
-        if not t or not same and any(bytes_of(p, [x[i]]) != whole[i] for p, x in zip((a, b), ids, strict=True)):
-            ids[0][i] = ids[1][i] = []
-    left, right = token_frame(ids[0], a), token_frame(ids[1], b)
+    sides = [tokens_of(texts, whole, p) for p in (a, b)]
+    good = sides[0][2] & sides[1][2] & np.fromiter(map(bool, texts), bool, len(texts))
+    (flat_a, n_a), (flat_b, n_b) = ((flat[np.repeat(good, n)], np.where(good, n, 0)) for flat, n, _ in sides)
+    left, right = token_frame(flat_a, n_a, a), token_frame(flat_b, n_b, b)
     group_a, group_b = grouped(left, right)
     groups = int(group_a[-1]) + 1 if len(group_a) else 0
     doc = np.zeros(groups, np.int64)
@@ -219,7 +227,7 @@ def aligned(texts: list[str], a: Pieces, b: Pieces, digits: Digits) -> dict[str,
     of, pair, n = linked_pairs(doc, id_a, group_a, id_b, group_b)
     ends = np.searchsorted(of, np.arange(len(texts) + 1))
     lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64())) for x in (pair, n)]
-    return {"n_a": [len(x) for x in ids[0]], "n_b": [len(x) for x in ids[1]], "n_groups": n_groups, "n_links": n_links, "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in written_], "pairs": lists[0], "links": lists[1]}
+    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": [hashlib.sha256(x).hexdigest() if x else "" for x in written_], "pairs": lists[0], "links": lists[1]}
 
 
 FACTS = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string()}
