@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netgauge.sources.store import written
+
 #: Characters of the grams by which patterns are sought in bodies, and patterns up to which they are broadcast (more are shuffled).
 GRAM, BROADCAST_PATTERNS = 6, 50_000
 
@@ -76,14 +78,46 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, ((F.get(p, F.lit(0)) * 256 + F.get(p, F.lit(1))) * 256 + F.get(p, F.lit(2))) * 256 + F.get(p, F.lit(3)))
 
 
+def address_key(ip: Column) -> Column:
+    """An address of either family -> text that sorts as the addresses do, IPv4 before IPv6; IPv6 forms of an IPv4 address are that one; null if it is neither."""
+    ip = F.lower(F.trim(ip))
+    hex_ = lambda n, width: F.lpad(F.lower(F.hex(n)), width, "0")
+    four = ip_number(ip)
+    tail = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    low = ip_number(tail)
+    text = F.when(tail == "", ip).otherwise(F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), hex_(F.shiftright(low, 16), 4), F.lit(":"), hex_(low.bitwiseAND(F.lit(65535)), 4)))
+    sides = F.split(text, "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = ((F.size(sides) == 1) & (missing == 0)) | ((F.size(sides) == 2) & (missing >= 1))
+    ok = text.rlike("^[0-9a-f:]+$") & ~text.rlike("^:[^:]|[^:]:$|:::|[0-9a-f]{5}") & whole
+    six = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right), lambda g: F.lpad(g, 4, "0")), "")
+    mapped = six.startswith("0" * 20 + "ffff")
+    return F.when(four.isNotNull(), F.concat(F.lit("4"), hex_(four, 8))).when(ok, F.when(mapped, F.concat(F.lit("4"), F.substring(six, 25, 8))).otherwise(F.concat(F.lit("6"), six)))
+
+
 def located(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """rows(ip), ranges(first, last, cc, asn, org; disjoint) -> geo_cc, geo_asn, geo_org: ZZ, 0 and '' where no range holds the address.
+    """rows(ip), ranges(first, last, cc, asn, org; disjoint; addresses, or numbers of IPv4) -> geo_cc, geo_asn, geo_org: ZZ, 0 and '' where no range holds the address.
 
-    Both sides meet by the upper 16 bits, of which a range has as many as it spans.
+    The ranges' starts and the different addresses are put in one order, dealt by
+    range; an address belongs to the last start before it, if that range reaches it.
+    The range that is open at a partition's edge is carried over. So a range is one
+    row, however long it is.
     """
-    spans = ranges.select("first", "last", F.col("cc").alias("_cc"), F.col("asn").alias("_asn"), F.col("org").alias("_org"), F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))).alias("_part"))
-    asked = rows.select(ip).distinct().withColumn("_n", ip_number(F.col(ip))).where("_n is not null").withColumn("_part", F.shiftright("_n", 16))
-    hit = asked.join(spans, "_part").where("_n between first and last").select(F.col(ip).alias("_ip"), "_cc", "_asn", "_org")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(c)), 8, "0"))) if dict(ranges.dtypes)[c] != "string" else address_key(F.col(c))
+    starts = ranges.select(key("first").alias("key"), F.lit(None).cast("string").alias("_ip"), F.struct(key("last").alias("last"), F.col("cc").alias("_cc"), F.col("asn").alias("_asn"), F.col("org").alias("_org")).alias("range"))
+    asked = rows.select(F.col(ip).alias("_ip")).distinct().select(address_key(F.col("_ip")).alias("key"), "_ip").where("key is not null")
+    both = starts.where("key is not null").unionByName(asked, allowMissingColumns=True)
+    order = ["key", F.col("_ip").asc_nulls_first()]
+    dealt = written(both.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = dealt.groupBy("part").agg(F.max_by("range", F.when(F.col("range").isNotNull(), F.col("key"))).alias("range"))  # a row a partition
+    carried = last.select("part", F.last("range", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    found = dealt.withColumn("range", F.last("range", ignorenulls=True).over(before)).where("_ip is not null").join(F.broadcast(carried), "part", "left")
+    r = F.coalesce("range", "carried")
+    hit = found.withColumn("range", r).where((F.col("key") <= F.col("range.last")) & (F.substring("key", 1, 1) == F.substring("range.last", 1, 1))).select("_ip", "range._cc", "range._asn", "range._org")
     out = rows.join(hit, rows[ip] == hit["_ip"], "left")
     return out.select(*[rows[c] for c in rows.columns], F.coalesce("_cc", F.lit("ZZ")).alias("geo_cc"), F.coalesce("_asn", F.lit(0)).alias("geo_asn"), F.coalesce("_org", F.lit("")).alias("geo_org"))
 

@@ -30,6 +30,43 @@ def test_located_keeps_rows(spark):
     assert got == {1: ("IT", 7), 2: ("FR", 8), 3: ("ZZ", 0), 4: ("ZZ", 0), 5: ("IT", 7)}
 
 
+def test_addresses_sort_as_they_are(spark):
+    """Keys are Python's addresses, in any form, and null where Python refuses."""
+    import ipaddress
+    import random
+
+    rng = random.Random(1)
+    texts = ["::", "::1", "1::", "2001:DB8::1", "::ffff:1.2.3.4", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "1::8", "1:2:3:4:5:6:7", ":::", "1::2::3", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "12345::", "g::", "::ffff:1.2.3.256", "1.2.3.4", "255.255.255.255", "1:2:3:4:5:6:7::", "", "x"]
+    texts += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128) & rng.getrandbits(128))) for _ in range(200)] + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(50)]
+    got = {r["ip"]: r["k"] for r in spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", lookup.address_key(F.col("ip")).alias("k")).collect()}
+    for t in texts:
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            assert got[t] is None, t
+            continue
+        a = getattr(a, "ipv4_mapped", None) or a
+        assert got[t] == f"{a.version}{int(a):0{a.max_prefixlen // 4}x}", t
+
+
+def test_located_in_ranges_of_any_length(spark):
+    """The whole of a family is one range; ranges go on over partitions; families don't mix."""
+    import ipaddress
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, str(ipaddress.IPv4Address(rng.getrandbits(32)) if i % 2 else ipaddress.IPv6Address(rng.getrandbits(128)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, ip string")
+    ranges = lambda *r: spark.createDataFrame(list(r), "first string, last string, cc string, asn long, org string")
+    got = {r["id"]: r["geo_cc"] for r in lookup.located(df, ranges(("0.0.0.0", "255.255.255.255", "AA", 1, ""))).collect()}
+    assert got == {i: "AA" if i % 2 else "ZZ" for i, _ in rows}
+    cut = [0, 1 << 125, 1 << 126, (1 << 126) + 5, 1 << 127, 1 << 128]
+    r = [(str(ipaddress.IPv6Address(a)), str(ipaddress.IPv6Address(z - 1)), f"C{k}", k, "") for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if k != 2]
+    got = {x["id"]: x["geo_asn"] for x in lookup.located(df, ranges(*r)).collect()}
+    want = {i: 0 if i % 2 else next((k for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a <= int(ipaddress.ip_address(ip)) < z and k != 2), 0) for i, ip in rows}
+    assert got == want
+
+
 def test_body_matches(spark):
     bodies = spark.createDataFrame([("a", "blocked by law, blocked"), ("b", None), ("c", "")], "uid string, body string")
     prints = spark.createDataFrame([("one", "blocked"), ("two", "locked by"), ("empty", "")], "name string, pattern string")
