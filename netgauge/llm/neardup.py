@@ -15,9 +15,12 @@ it stands, and a region costs one comparison a member.)
 What a dense region may hold beyond that is made up for in a last pass: of each
 region of MIN_DEPTH values with more than NEAR + 1 nodes, all those that are not
 yet in one component are compared with one another on their full sets, in blocks
-of bounded size that give no more rows than they take. A region of one component
-costs nothing here; in others the blocks of the largest component don't meet one
-another. So a pair is compared if it shares MIN_DEPTH values in any tree, however
+of bounded numbers and shingles that give no more rows than they take. Before that,
+nodes go that can't be linked to another component: two linked sets share one of
+the rarest quarter of either's shingles, so a node none of whose rarest shingles
+another component has among its own is left out. Texts that share boilerplate only
+are thus never sent. A region of one component costs nothing here; in others the
+blocks of the largest component don't meet one another. So a pair is compared if it shares MIN_DEPTH values in any tree, however
 crowded.
 
 The other candidates are confirmed on their full sets in two rounds: first one
@@ -49,8 +52,10 @@ SHINGLE, SIMILARITY = 5, 75
 TREES, MIN_DEPTH, MAX_DEPTH, NEAR = 24, 3, 5, 8
 #: Marks the rows of regions whose longest, or shortest, prefix is shared by more than NEAR others.
 DENSE, CROWDED = 2, 3
-#: Nodes of a block in a crowded region, and columns of a matrix of shingles.
-BLOCK, COLUMNS = 512, 4096
+#: Nodes and shingles of a block in a crowded region, and columns of a matrix of shingles.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1_000_000, 4096
+#: Classes of shingles whose frequencies put them in order, rare ones first.
+CLASSES = 1 << 18
 #: Comparisons with one node that a task makes; more are split.
 HUB = 256
 
@@ -264,6 +269,43 @@ def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which a set that is similar enough has one among its own."""
+    order = np.lexsort((shingles, counts[(shingles % np.uint64(CLASSES)).astype(np.int64)]))
+    return shingles[order[: len(shingles) - -(-SIMILARITY * len(shingles) // 100) + 1]]
+
+
+def linkable(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """nodes(node, c), texts(node, text) -> node, n (shingles) of those that share one of their rarest shingles with another component. Only CLASSES sums reach the driver."""
+    own = texts.join(nodes, "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = Shingler(), np.zeros(CLASSES, np.int64)
+        for _, ts in text_batches(batches):
+            flat = np.concatenate([np.zeros(0, np.uint64), *map(of, ts)]) % np.uint64(CLASSES)
+            total += np.bincount(flat.astype(np.int64), minlength=CLASSES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["class", "n"])
+
+    counts = np.zeros(CLASSES, np.int64)
+    for r in own.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        counts[r["class"]] = r["n"]
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler()
+        for part, ts in text_batches(batches):
+            sets = [of(t) for t in ts]
+            few = [rarest(x, counts).view(np.int64) for x in sets]
+            at = np.repeat(np.arange(len(few)), [len(x) for x in few])
+            node, c = (part.column(part.schema.get_field_index(k)).take(pa.array(at)) for k in ("node", "c"))
+            size = np.asarray([len(x) for x in sets], np.int64)[at]
+            yield pa.RecordBatch.from_arrays([node, c, pa.array(size), pa.array(np.concatenate([np.zeros(0, np.int64), *few]))], ["node", "c", "n", "shingle"])
+
+    tokens = written(own.select("node", "c", "text").mapInArrow(rare, "node long, c long, n long, shingle long"))
+    shared = tokens.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
+    return tokens.join(shared, "shingle", "left_semi").select("node", "n").distinct()
+
+
 def crowded_links(crowd: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between nodes that share a crowded region but no component, on full sets.
 
@@ -274,10 +316,16 @@ def crowded_links(crowd: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFr
     """
     spark = crowd.sparkSession
     c = crowd.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    sizes = c.groupBy("k1", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("k1").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("components")).where("components > 1")
-    mixed = mixed.select("k1", F.col("m.c").alias("top"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("nl"), F.ceil((F.col("size") - F.col("m.n")) / BLOCK).cast("int").alias("nr"))
-    rows = written(c.join(mixed, "k1"))
+    several = c.groupBy("k1").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k1")
+    c = written(c.join(several, "k1"))
+    if c.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    c = written(c.join(linkable(c.select("node", "c").distinct(), texts), "node"))
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    sizes = c.groupBy("k1", "c").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    mixed = sizes.groupBy("k1").agg(F.max(F.struct("size", "c", "shingles")).alias("m"), F.sum("size").alias("size"), F.sum("shingles").alias("every"), F.count("*").alias("components")).where("components > 1")
+    mixed = mixed.select("k1", F.col("m.c").alias("top"), blocks(F.col("m.size"), F.col("m.shingles")).alias("nl"), blocks(F.col("size") - F.col("m.size"), F.col("every") - F.col("m.shingles")).alias("nr"))
+    rows = written(c.drop("n").join(mixed, "k1"))
     if rows.isEmpty():
         return spark.createDataFrame([], "a long, b long")
     block = F.when(F.col("c") == F.col("top"), F.pmod(F.xxhash64("node"), F.col("nl"))).otherwise(F.col("nl") + F.pmod(F.xxhash64("node"), F.col("nr"))).cast("int")

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from netgauge.llm import alignment, entry, importance, line_dedup, monoid_bpe, suffix_dedup
+from netgauge.llm import alignment, entry, importance, line_dedup, monoid_bpe, neardup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, weight long, score string"
 HARD = [
@@ -371,3 +371,33 @@ def test_repeats_of_null_and_equal_ids(spark):
     want = Counter((i, n, hashlib.sha256(kept).hexdigest()) for i, (n, kept) in zip(ids, plain_removed([(t or "").encode() for t in texts]), strict=True))
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.deduplicated(df).collect()) == want
+
+
+# ---- near-dedup: who can be linked
+
+
+def test_rarest_shingles_meet():
+    """Of two sets that are similar enough, each has one of the other's rarest among its own."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 5, neardup.CLASSES)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        drop = int(rng.integers(0, max(1, len(x) // 4) + 1))
+        y = np.unique(np.concatenate([x[drop:], rng.integers(0, 1 << 62, int(rng.integers(0, 4)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= neardup.SIMILARITY * (len(x) + len(y) - both):
+            assert len(np.intersect1d(neardup.rarest(x, counts), neardup.rarest(y, counts)))
+
+
+def test_boilerplate_is_never_sent(spark):
+    """Pages that share most words but too few shingles can't be linked; a near copy among them can."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    boiler = [word() for _ in range(300)]
+    texts = [" ".join(boiler + [word() for _ in range(130)]) for _ in range(200)]
+    texts.append(texts[0].rsplit(" ", 3)[0])
+    nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, c long")
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    assert {r["node"] for r in neardup.linkable(nodes, rows).collect()} == {0, 200}
+    assert neardup.linkable(nodes.withColumn("c", nodes["node"] * 0), rows).count() == 0
