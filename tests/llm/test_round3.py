@@ -401,3 +401,16 @@ def test_boilerplate_is_never_sent(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
     assert {r["node"] for r in neardup.linkable(nodes, rows).collect()} == {0, 200}
     assert neardup.linkable(nodes.withColumn("c", nodes["node"] * 0), rows).count() == 0
+
+
+def test_bags_leave_out_nothing_near():
+    rng = random.Random(12)
+    pairs, t = [], []
+    for _ in range(500):
+        a = "".join(rng.choice("abcdef éß") for _ in range(rng.randint(60, 300)))
+        b = edited(rng, a, rng.randint(0, 25))
+        pairs.append((a, b) if len(a) >= len(b) else (b, a))
+        t.append(rng.randint(3, 20))
+    near = np.asarray([line_dedup.distance_within(a, b, k) for (a, b), k in zip(pairs, t, strict=True)])
+    ok = line_dedup.possible(pairs, np.asarray(t))
+    assert not (near & ~ok).any() and (~near & ~ok).any()
