@@ -17,7 +17,8 @@ from netgauge.streaming.sinks import Ledger
 #: Events that a feed keeps.
 FEED = 1000
 CHANGES, MEANS, FEEDS = "changes", "means", "feeds"
-#: State stores that can hold the state of these operators.
+#: The state store that can hold the state of these operators.
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "mean double, blocked boolean, ts timestamp, uid long, known_ts timestamp, known_uid long"
 KIND_CHANGE, KIND_MEAN = "change", "mean"
@@ -113,7 +114,6 @@ def start(spark: SparkSession, values: DataFrame, sink: str, checkpoint: str, ke
     overall feed is the latest of all countries' (what is among the latest of all is
     among those of its country).
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     ledger = Ledger(spark, sink)
 
     def append(batch: DataFrame, number: int) -> None:
@@ -126,8 +126,16 @@ def start(spark: SparkSession, values: DataFrame, sink: str, checkpoint: str, ke
         ledger.stage(number, FEEDS, feed(before.select(*changes.columns).unionByName(changes), keys).withColumn("version", F.lit(number)))
         ledger.commit(number, (CHANGES, MEANS, FEEDS))
 
-    writer = averages(values, keys, restored).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    before = spark.conf.get(PROVIDER_KEY, None)
+    spark.conf.set(PROVIDER_KEY, PROVIDER)  # for this query alone, which keeps the settings it starts with
+    try:
+        writer = averages(values, keys, restored).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER_KEY)
+        else:
+            spark.conf.set(PROVIDER_KEY, before)
 
 
 def table(spark: SparkSession, sink: str, name: str, keys: list[str]) -> DataFrame:
