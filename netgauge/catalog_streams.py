@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from netgauge.catalog import SERIES, msm, query, series
 from netgauge.catalog_scores import MATCHED, prints, raw_web
+from netgauge.plans.views import M
 from netgauge.sources.store import shared_folder
-from netgauge.streaming import feeds, scoring
+from netgauge.streaming import feeds, scoring, summing
 
 HEAD = """concat('{"test_name":"', test_name, '","report_id":"r","probe_asn":"AS1","probe_cc":"', lower(probe_cc), '","measurement_start_time":"2024-01-02 03:04:05","test_keys":')"""
 
@@ -49,3 +50,17 @@ def w8_event_feeds(s: SparkSession, d: str) -> DataFrame:
     rows.write.parquet(f"{root}/in")
     feeds.start(s, s.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/state", keys, once=True).awaitTermination()
     return feeds.feeds(s, f"{root}/out", keys).select(*keys, "uid", F.round("mean", 6).alias("mean"), "blocked", "rank")
+
+
+@query(f"""with {M} select date_trunc('week', measurement_start_time + interval 1 day) - interval 1 day as week, probe_cc, probe_asn, input, count(*) as msmt_cnt from m where test_name = 'web_connectivity' group by 1, 2, 3, 4""")
+def c3_merged_counters(s: SparkSession, d: str) -> DataFrame:
+    """Partial sums of several batches, merged once in between, added up."""
+    root = shared_folder(s)
+    rows = msm(s, d).where("test_name = 'web_connectivity'").select(F.col("measurement_start_time").cast("timestamp").alias("measurement_start_time"), "probe_cc", F.col("probe_asn").cast("long").alias("probe_asn"), "input", "event_id")
+    for k in range(3):  # three arrivals that hold all rows
+        rows.where(F.col("event_id") % 3 == k).drop("event_id").write.mode("append").parquet(f"{root}/in")
+        stream = s.readStream.schema(rows.drop("event_id").schema).parquet(f"{root}/in")
+        summing.start(s, stream, f"{root}/out", f"{root}/state", "week", once=True).awaitTermination()
+        if k == 1:
+            summing.merge(s, f"{root}/out", "week")
+    return summing.read(s, f"{root}/out", "week").withColumn("week", F.col("week").cast("timestamp_ntz"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +55,14 @@ class Ledger:
         folders = [f"{self.store.root}/{c['folders'][table]}" for c in self.commits().values() if table in c["folders"]]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def compact(self, schemas: dict[str, StructType | str]) -> int | None:
-        """All that is committed becomes one folder a table; readers see the old folders or the new ones. Gives the last batch's number."""
+    def compact(self, schemas: dict[str, StructType | str], fold: Callable[[str, DataFrame], DataFrame] = lambda _, rows: rows) -> int | None:
+        """All that is committed becomes one folder a table, of fold(table, rows); readers see the old folders or the new ones. Gives the last batch's number."""
         commits = self.commits()
         if sum(not c["compacted"] for c in commits.values()) < 2:
             return None
         last, version = max(commits), uuid.uuid4().hex[:12]
         for table, schema in schemas.items():
-            self.read(table, schema).write.parquet(f"{self.store.root}/{table}/upto={last}-{version}")
+            fold(table, self.read(table, schema)).write.parquet(f"{self.store.root}/{table}/upto={last}-{version}")
         self.store.put(f"_commits/upto-{last}.json", json.dumps({"folders": {t: f"{t}/upto={last}-{version}" for t in schemas}}))
         for n, c in commits.items():
             self.store.delete(f"_commits/{'upto' if c['compacted'] else 'batch'}-{n}.json")

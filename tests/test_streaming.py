@@ -11,7 +11,7 @@ from netgauge import catalog
 from netgauge.operators import detector
 from netgauge.sources import archives, bundles
 from netgauge.sources.store import Store
-from netgauge.streaming import feeds, ingest, scoring
+from netgauge.streaming import feeds, ingest, scoring, summing
 from netgauge.streaming.sinks import Ledger, by_time
 
 SF = "/root/testdata/sf0.001"
@@ -318,3 +318,35 @@ def test_feeds_and_snapshots_from_state(spark, tmp_path, monkeypatch):
     arrive("again", s.where(F.col("ts") >= F.expr(f"timestamp '{cut}' - interval 42 days")))
     run("again", f"{tmp_path}/cp2", f"{tmp_path}/out2", kept)
     same(f"{tmp_path}/out2", f"{tmp_path}/cp2", [r for r in changes if str(r["ts"]) >= cut])
+
+
+def test_counters_are_equal_at_any_state_of_merging(spark, tmp_path, monkeypatch):
+    """Stream, batch and replay; merges at any time; a batch that breaks before its commit and comes again; rows that are years late."""
+    fact = catalog.msm(spark, SF).select(F.col("measurement_start_time").cast("timestamp").alias("measurement_start_time"), "probe_cc", F.col("probe_asn").cast("long").alias("probe_asn"), "input")
+    fact = fact.unionByName(fact.limit(50).withColumn("measurement_start_time", F.expr("measurement_start_time - interval 900 days")))
+    rows = fact.collect()
+    sink = f"{tmp_path}/out"
+
+    def same(sink_, n):
+        want = summing.typed(summing.partial(spark.createDataFrame(rows[:n], fact.schema), "day"), "day")
+        assert sorted(map(str, summing.read(spark, sink_).collect())) == sorted(map(str, want.collect()))
+
+    def run(sink_, state):
+        summing.start(spark, spark.readStream.schema(fact.schema).parquet(f"{tmp_path}/in"), sink_, f"{tmp_path}/{state}", once=True).awaitTermination(120)
+
+    cuts = [0, 200, 500, 900, len(rows)]
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        spark.createDataFrame(rows[a:z], fact.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if k == 2:
+            commit = Ledger.commit
+            monkeypatch.setattr(Ledger, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(Exception, match="lost"):
+                run(sink, "cp")
+            same(sink, a)
+            monkeypatch.setattr(Ledger, "commit", commit)
+        run(sink, "cp")
+        same(sink, z)
+        summing.merge(spark, sink)
+        same(sink, z)
+    run(f"{tmp_path}/again", "cp2")  # the whole once more, in one batch
+    same(f"{tmp_path}/again", len(rows))
