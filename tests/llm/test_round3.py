@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from netgauge.llm import alignment, entry, importance, line_dedup, monoid_bpe, neardup, suffix_dedup
+from netgauge.llm import alignment, entry, importance, langid, line_dedup, monoid_bpe, neardup, quality, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, weight long, score string"
 HARD = [
@@ -414,3 +414,33 @@ def test_bags_leave_out_nothing_near():
     near = np.asarray([line_dedup.distance_within(a, b, k) for (a, b), k in zip(pairs, t, strict=True)])
     ok = line_dedup.possible(pairs, np.asarray(t))
     assert not (near & ~ok).any() and (~near & ~ok).any()
+
+
+# ---- language and quality: very long texts, columns of clashing names
+
+
+def test_long_texts_and_clashing_columns_change_no_prediction(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    long = " ".join(r["text"] for r in docs.where("lang = 'en'").limit(20).collect()) * 60
+    assert len(long) > 1_000_000
+    more = docs.unionByName(spark.createDataFrame([(900_001, long, "en"), (900_002, None, None), (900_003, "", "en")], docs.schema))
+    odd = more.withColumns({c: F.lit("x") for c in ("score", "label", "quality", "held_out", "lang_pred", "predicted", "n_words", "row", "v", "h")})
+    model = langid.train(more)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, model).select("doc_id", "lang_pred", "score").collect()}
+    assert got == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(more.select("doc_id", "text"), model).select("doc_id", "lang_pred", "score").collect()}
+    assert got[900_001][0] == "en" and got[900_002][0] == got[900_003][0] == langid.UND
+    plain = {r["doc_id"]: (round(r["score"], 9), r["predicted"]) for r in quality.scored(more.select("doc_id", "text"), labels).collect()}
+    assert {r["doc_id"]: (round(r["score"], 9), r["predicted"]) for r in quality.scored(odd, labels).collect()} == plain
+    assert set(plain) == {r["doc_id"] for r in more.collect()} and all(0 <= s <= 1 for s, _ in plain.values())
+
+
+def test_pipeline_loses_no_line_of_rows_of_one_id(spark):
+    """What stands nowhere else in the corpus is still there after line dedup, whatever ids its row shares."""
+    own = ["the quick brown fox went over a lazy dog", "seven grey wizards brewed strong coffee at dawn", "harbour lights are dim when fog comes in", "nobody ever counted all of those pebbles", "a violin lay broken below dusty stairs"]
+    shared = "a line that all have in this small corpus"
+    docs = [(9, own[0] + "\n" + shared), (9, own[1] + "\n" + shared), (None, own[2] + "\n" + shared), (None, own[3]), (3, own[4]), (3, own[4])]
+    kept = Counter(line for r in line_dedup.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect() for line in r["text"].split("\n"))
+    assert kept == Counter([*own, shared])
