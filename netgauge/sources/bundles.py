@@ -13,9 +13,10 @@ marks its cuts.
 
 from __future__ import annotations
 
-import gzip
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from netgauge.sources.blocks import BLOCK_BYTES, MOST, BlockFile, found_lines
 from netgauge.sources.store import written
 
 #: Bytes of lines after which a bundle is full.
@@ -33,6 +35,8 @@ PARTS = ["day", "hour", "cc", "test"]
 BLOCK = 8
 #: An offset that no bundle begins at.
 NOWHERE = -1
+#: Characters of bodies that a fetch gives on at once.
+OUT_CHARS = 2_000_000
 
 
 def lines(measurements: DataFrame) -> DataFrame:
@@ -204,6 +208,12 @@ def file_of(name: Column) -> Column:
     return F.concat(folder, F.lit("/"), F.lpad(F.col("bundle").cast("string"), 6, "0"), F.lit("-"), F.substring(name, 1, 32), F.lit(".jsonl.gz"))
 
 
+def opened(path: str) -> tuple[object, str]:
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 class Moved(WriterCommitMessage):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
@@ -212,13 +222,11 @@ class Moved(WriterCommitMessage):
 class BundleWriter(DataSourceArrowWriter):
     """Two phases: tasks write files under names of their attempt, the commit gives those of successful attempts their own names."""
 
-    def __init__(self, path: str, attempt: str):
-        self.path, self.attempt = path.rstrip("/"), attempt
+    def __init__(self, path: str, attempt: str, block: int = BLOCK_BYTES):
+        self.path, self.attempt, self.block = path.rstrip("/"), attempt, block
 
     def files(self) -> tuple[object, str]:
-        from pyarrow.fs import FileSystem
-
-        return FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        return opened(self.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = self.files()
@@ -228,22 +236,16 @@ class BundleWriter(DataSourceArrowWriter):
             for name, value in zip(b.column(b.schema.get_field_index("file")).to_pylist(), b.column(b.schema.get_field_index("value")).to_pylist(), strict=True):
                 if not done or done[-1][1] != name:
                     if out:
-                        self.close(*out)
+                        out.close()
                     if not done:
                         fs.create_dir(folder)
                     done.append((f"{folder}/{len(done)}", name))
-                    raw = fs.open_output_stream(done[-1][0], compression=None)
-                    out = gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0), raw
-                out[0].write(value.encode() + b"\n")
+                    out = BlockFile(fs.open_output_stream(done[-1][0], compression=None), self.block)
+                out.add(value.encode())
         if out:
-            self.close(*out)
+            out.close()
         return Moved(done)
 
-    @staticmethod
-    def close(packed: gzip.GzipFile, raw: object) -> None:
-        packed.close()
-        raw.close()
-
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = self.files()
         made = set()
@@ -265,17 +267,17 @@ class BundleWriter(DataSourceArrowWriter):
 
 
 class BundleFiles(DataSource):
-    """Rows (file, value), sorted by file within a partition, each file within one partition -> gzipped lines."""
+    """Rows (file, value), sorted by file within a partition, each file within one partition -> gzipped lines in blocks."""
 
     @classmethod
     def name(cls) -> str:
         return "bundle_files"
 
     def writer(self, schema: object, overwrite: bool) -> BundleWriter:
-        return BundleWriter(self.options["path"], self.options["attempt"])
+        return BundleWriter(self.options["path"], self.options["attempt"], int(self.options["block"]))
 
 
-def write_bundles(measurements: DataFrame, path: str, budget: int = BUNDLE_BYTES) -> DataFrame:
+def write_bundles(measurements: DataFrame, path: str, budget: int = BUNDLE_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
     """Writes the bundles' files below path; returns the locators (measurement_uid, report_id, input, s3path, linenum) of what was written.
 
     The same measurements give the same files and locators, in whatever order and
@@ -286,7 +288,7 @@ def write_bundles(measurements: DataFrame, path: str, budget: int = BUNDLE_BYTES
     stored, places = bundled(measurements, budget)
     where = written(places.join(named(places).select(*PARTS, "bundle", "name"), [*PARTS, "bundle"]).select("row", "measurement_uid", file_of(F.col("name")).alias("file"), "linenum"))
     rows = stored.select("row", "value").join(where.select("row", "file", "linenum"), "row").repartition("file").sortWithinPartitions("file", "linenum").select("file", "value")
-    rows.write.format("bundle_files").option("attempt", uuid.uuid4().hex).option("path", path).mode("append").save()
+    rows.write.format("bundle_files").option("attempt", uuid.uuid4().hex).option("path", path).option("block", max(block, budget // (MOST // 2))).mode("append").save()
     v = F.try_parse_json("value")
     head = stored.select("row", *[F.coalesce(F.try_variant_get(v, f"$.{c}", "string"), F.lit("")).alias(c) for c in ("report_id", "input")])
     return where.join(head, "row").select("measurement_uid", "report_id", "input", F.col("file").alias("s3path"), "linenum")
@@ -298,16 +300,44 @@ def settled(measurements: DataFrame, as_of: str) -> DataFrame:
     return measurements.where(hour + F.expr("interval 2 hours") <= F.lit(as_of).cast("timestamp"))
 
 
-#: Bundles up to which a fetch names their files one by one; for more, all bundles are read and joined.
-NAMED_BUNDLES = 10_000
+def bodies(spark: SparkSession, path: str, locators: DataFrame) -> DataFrame:
+    """locators(measurement_uid, s3path, linenum) -> measurement_uid, body: the lines they point to.
 
+    Locators meet at their bundle; of each bundle its index and the blocks with
+    wanted lines are read, once each. Locators beyond a bundle's last line, or
+    with a null, give no row; a bundle that isn't there is an error.
+    """
 
-def bodies(spark: SparkSession, path: str, locators: DataFrame) -> DataFrame:
-    """locators(measurement_uid, s3path, linenum) -> the lines they point to; bundles that none points to aren't read. A bundle is bounded in bytes, so one task splits it."""
-    files = [r["s3path"] for r in locators.select("s3path").distinct().limit(NAMED_BUNDLES + 1).collect()]
-    if not files:
-        return locators.select("measurement_uid", F.lit(None).cast("string").alias("body")).where("false")
-    text = spark.read.text([f"{path}/{x}" for x in files] if len(files) <= NAMED_BUNDLES else f"{path}/day=*/*/*/*/*.gz", wholetext=True)
-    where = F.regexp_extract(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "(" + "/".join(f"{k}=[^/]+" for k in PARTS) + "/[^/]+)$", 1)
-    found = text.select(where.alias("s3path"), F.posexplode(F.split("value", "\n")).alias("linenum", "body"))
-    return locators.join(found, ["s3path", "linenum"]).select("measurement_uid", "body")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(path.rstrip("/"))
+        for name, rows in runs(batches):
+            with fs.open_input_file(f"{root}/{name}") as file:
+                uids: deque[str] = deque()
+                out: list[tuple[str, str]] = []
+                held = 0
+
+                def numbers_of(rows: Iterator[tuple[str, int]] = rows, uids: deque[str] = uids) -> Iterator[int]:
+                    for uid, n in rows:
+                        uids.append(uid)
+                        yield n
+
+                for line in found_lines(file, numbers_of()):
+                    uid = uids.popleft()
+                    if line is not None:
+                        out.append((uid, line))
+                        held += len(line)
+                    if held > OUT_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["measurement_uid", "body"])
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["measurement_uid", "body"])
+
+    wanted = locators.select(F.col("measurement_uid").cast("string"), "s3path", F.col("linenum").cast("long").alias("linenum")).where("s3path is not null and linenum >= 0")
+    return wanted.repartition("s3path").sortWithinPartitions("s3path", "linenum").mapInArrow(run, "measurement_uid string, body string")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[tuple[str, int]]]]:
+    """Batches of (uid, file, line) in order of file -> each file with its (uid, line), as they come."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for name, some in groupby(rows, key=lambda r: r[1]):
+        yield name, ((uid, n) for uid, _, n in some)

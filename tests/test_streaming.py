@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,74 @@ def test_bundles_and_locators(spark, tmp_path):
     assert [r["body"] for r in bundles.bodies(spark, path, spark.createDataFrame(one.collect(), one.schema)).collect()] == [record(n=7)]
 
 
+class Counted:
+    """An open file that counts the bytes read from it."""
+
+    def __init__(self, file):
+        self.file, self.bytes, self.reads = file, 0, 0
+
+    def size(self):
+        return self.file.size()
+
+    def read_at(self, n, at):
+        out = self.file.read_at(n, at)
+        self.bytes, self.reads = self.bytes + len(out), self.reads + 1
+        return out
+
+
+@pytest.mark.parametrize("n,block", [(0, 100), (1, 100), (50, 1), (3000, 1), (3000, 5000), (9000, 1), (200, 10**9)])
+def test_lines_by_block(tmp_path, n, block):
+    """Any gzip reader sees the lines; k lines cost the end of the file and at most k blocks; files without an index are read through."""
+    import gzip
+
+    from pyarrow.fs import LocalFileSystem
+
+    from netgauge.sources import blocks
+
+    rng, fs = random.Random(n + block), LocalFileSystem()
+    lines = ["".join(rng.choice("abcdeü字 \r\t\x85") for _ in range(rng.choice([0, 1, 30, 200]))) for _ in range(n)]
+    for name in ("a", "b"):
+        out = blocks.BlockFile(fs.open_output_stream(f"{tmp_path}/{name}", compression=None), block)
+        for x in lines:
+            out.add(x.encode())
+        out.close()
+    packed = (tmp_path / "a").read_bytes()
+    plain = "".join(f"{x}\n" for x in lines).encode()
+    assert packed == (tmp_path / "b").read_bytes() and gzip.decompress(packed) == plain
+    (tmp_path / "plain").write_bytes(gzip.compress(plain[:1000]) + gzip.compress(plain[1000:]))
+    for some in ([], list(range(n)), sorted(rng.choices(range(n + 3), k=4)), [n, n, n + 7]):
+        want = [lines[i] if i < n else None for i in some]
+        with fs.open_input_file(f"{tmp_path}/a") as f:
+            counted = Counted(f)
+            assert list(blocks.found_lines(counted, some)) == want
+            first, places, end = blocks.index_of(f, f.size())
+            widest = max(np.diff([*places, end]), default=0)
+            assert len(first) <= blocks.MOST and counted.reads <= 2 + len(set(some))
+            assert counted.bytes <= blocks.TAIL + 16 * len(first) + 46 + len(set(some)) * widest
+        with fs.open_input_file(f"{tmp_path}/plain") as f:
+            assert list(blocks.found_lines(f, some)) == want
+    for wrong in (b"", b"not gzip", packed[:-1], packed[: len(packed) // 2]):
+        (tmp_path / "w").write_bytes(wrong)
+        with fs.open_input_file(f"{tmp_path}/w") as f:
+            assert blocks.index_of(f, len(wrong)) is None
+
+
+def test_lines_of_many_bundles(spark, tmp_path):
+    """Locators of several bundles in any order, twice, without a line, with nulls; a bundle of many blocks; Spark reads the files as any others."""
+    rows = [(f"u{i:04d}", "20240102", f"{i % 3:02d}", "IT", "tor", json.dumps({"n": i, "x": "é" * (i % 50)}, ensure_ascii=False)) for i in range(2000)]
+    path = f"{tmp_path}/raw"
+    at = bundles.write_bundles(spark.createDataFrame(rows, BODIES), path, budget=40_000, block=500)
+    assert spark.read.option("basePath", path).text(path).count() == 2000
+    want = sorted((r[0], r[5]) for r in rows)
+    assert sorted(map(tuple, bundles.bodies(spark, path, at.union(at).repartition(7)).collect())) == sorted(want + want)
+    one = at.where("measurement_uid = 'u0007'").first()
+    odd = spark.createDataFrame([("far", one["s3path"], 10**6), ("null", None, 1), ("none", one["s3path"], None), ("low", one["s3path"], -1), ("u0007", one["s3path"], one["linenum"])], "measurement_uid string, s3path string, linenum int")
+    assert list(map(tuple, bundles.bodies(spark, path, odd).collect())) == [("u0007", rows[7][5])]
+    assert bundles.bodies(spark, path, odd.where("false")).count() == 0
+    with pytest.raises(Exception, match="gone"):
+        bundles.bodies(spark, path, odd.where("measurement_uid = 'u0007'").withColumn("s3path", F.lit("gone.gz"))).collect()
+
+
 def test_attempts_leave_nothing(tmp_path):
     """Files of an attempt that failed or came twice never get their name."""
     import pyarrow as pa
