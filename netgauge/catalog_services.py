@@ -12,6 +12,7 @@ from netgauge.operators import links, lookup, priority
 from netgauge.plans import views
 from netgauge.plans.views import CZ, OB, M
 from netgauge.sources import archives, bundles
+from netgauge.sources.store import shared_folder
 
 # ---- lookups ----
 
@@ -304,3 +305,48 @@ def s18_rows_to_sync(s: SparkSession, d: str) -> DataFrame:
     m = msm(s, d).withColumn("input", F.nullif("input", F.lit("")))
     until = m.agg(F.max("event_id") - 10).first()[0]
     return archives.newer_rows(m, "event_id", 300, until).select("event_id", "input", "domain")
+
+
+@query(f"with {BUNDLED} select measurement_uid, value as body from l")
+def s20_bodies_by_locator(s: SparkSession, d: str) -> DataFrame:
+    """Bundled by day and country, then every line is fetched by its locator."""
+    path, m = shared_folder(s), to_bundle(s, d).withColumn("hour", F.lit("00"))
+    return bundles.bodies(s, path, bundles.write_bundles(m, path))
+
+
+@query(f"with {M} select measurement_uid, probe_cc, strftime(measurement_start_time, '%Y%m') as yyyymm from m")
+def s13_exported_months(s: SparkSession, d: str) -> DataFrame:
+    """Exported by month and read again."""
+    path = shared_folder(s)
+    archives.export_months(msm(s, d).select("measurement_uid", "probe_cc", "measurement_start_time"), path)
+    return s.read.option("header", True).schema("measurement_uid string, probe_cc string, measurement_start_time string, yyyymm string").csv(path).select("measurement_uid", "probe_cc", "yyyymm")
+
+
+@query(f"with {M} select measurement_uid, probe_cc, true as fits from m")
+def s14_exported_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Exported in files of 1000 rows at most and read again, with whether each row's file keeps to that."""
+    path = shared_folder(s)
+    archives.export_chunks(msm(s, d).select("measurement_uid", "probe_cc"), path, 1000)
+    rows = s.read.option("header", True).schema("measurement_uid string, probe_cc string").csv(path).select("*", F.col("_metadata.file_name").alias("file"))
+    full = rows.groupBy("file").agg((F.count("*") <= 1000).alias("fits"))
+    return rows.join(full, "file").select("measurement_uid", "probe_cc", "fits")
+
+
+@query(f"with {M} select probe_cc as cc, count(*) as n, count(distinct probe_asn) as networks from m group by 1")
+def s16_exported_result(s: SparkSession, d: str) -> DataFrame:
+    """A result as CSV, its columns in alphabetical order, read again by position."""
+    path = shared_folder(s)
+    archives.export_result(msm(s, d).groupBy(F.col("probe_cc").alias("cc")).agg(F.countDistinct("probe_asn").alias("networks"), F.count("*").alias("n")), path)
+    return s.read.option("header", True).schema("cc string, n long, networks long").csv(path)
+
+
+@query(f"with {CZ} select url, cc, category_code from cz")
+def s17_swapped_list(s: SparkSession, d: str) -> DataFrame:
+    """A list becomes current; one with too few rows is refused and leaves it so."""
+    path, urls = shared_folder(s), views.url_list(s, d).select("url", "cc", "category_code")
+    archives.swapped(urls, path, 1, 1 << 40)
+    try:
+        archives.swapped(urls.where("false"), path, 1, 1 << 40)
+    except ValueError:
+        pass
+    return archives.current(s, path)
