@@ -86,11 +86,12 @@ from m left join r on event_id % 4 <> 3 and {IP} between r.a and r.z""")
 def j15_both_families(s: SparkSession, d: str) -> DataFrame:
     """IPv4, IPv6 and IPv4 in IPv6's form, against ranges of both families, one of which spans most of the space."""
     r = views.read(s, d, "supplier").select(F.expr("s_suppkey * 500000 + 1000").alias("a"), F.expr("s_suppkey * 500000 + 420000").alias("z"), F.concat(F.lit("C"), "s_nationkey").alias("cc"), F.col("s_suppkey").alias("asn"))
-    dotted = lambda n: F.concat_ws(".", *[F.shiftright(n, b).bitwiseAND(F.lit(255)).cast("string") for b in (24, 16, 8, 0)])
-    long = lambda n: F.concat(F.lit("2001:DB8::"), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535))))
-    side = lambda text, cc: r.select(text(F.col("a")).alias("first"), text(F.col("z")).alias("last"), cc.alias("cc"), F.col("asn").cast("long").alias("asn"), F.lit("").alias("org"))
+    # IPv4 has no address for numbers of more than 32 bits; IPv6 has one for all.
+    dotted = lambda n: F.when(n < 1 << 32, F.concat_ws(".", *[F.shiftright(n, b).bitwiseAND(F.lit(255)).cast("string") for b in (24, 16, 8, 0)]))
+    long = lambda n: F.concat(F.lit("2001:DB8::"), F.concat_ws(":", *[F.hex(F.shiftright(n, b).bitwiseAND(F.lit(65535))) for b in (48, 32, 16, 0)]))
+    side = lambda text, cc, z: r.select(text(F.col("a")).alias("first"), text(z).alias("last"), cc.alias("cc"), F.col("asn").cast("long").alias("asn"), F.lit("").alias("org"))
     most = s.createDataFrame([("3000::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "XX", 64496, "")], "first string, last string, cc string, asn long, org string")
-    ranges = side(dotted, F.col("cc")).unionByName(side(long, F.concat(F.lit("V"), "cc"))).unionByName(most)
+    ranges = side(dotted, F.col("cc"), F.least("z", F.lit((1 << 32) - 1))).unionByName(side(long, F.concat(F.lit("V"), "cc"), F.col("z"))).unionByName(most)
     n = F.expr(IP)
     ip = F.when(F.expr("event_id % 4 = 0"), dotted(n)).when(F.expr("event_id % 4 = 1"), long(n)).when(F.expr("event_id % 4 = 2"), F.concat(F.lit("::ffff:"), dotted(n))).otherwise(F.concat(F.lit("fe80::"), F.hex(F.expr("event_id % 65536")), F.lit(":1")))
     return lookup.located(msm(s, d).select("event_id", "measurement_uid", ip.alias("ip")), ranges).select("measurement_uid", "geo_cc", "geo_asn")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,30 +73,52 @@ def first_policy(keys: DataFrame, policy: DataFrame) -> DataFrame:
     return pairs.join(best, ["probe_cc", "probe_asn"], "left").select("probe_cc", "probe_asn", "rule.*")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ip_number(ip: Column) -> Column:
     """Dotted IPv4 -> number; null if it isn't one."""
     p = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("long"))
-    ok = (F.size(p) == 4) & F.forall(p, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
-    return F.when(ok, ((F.get(p, F.lit(0)) * 256 + F.get(p, F.lit(1))) * 256 + F.get(p, F.lit(2))) * 256 + F.get(p, F.lit(3)))
+    ok = lambda p: (F.size(p) == 4) & F.forall(p, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
+    return let(p, lambda p: F.when(ok(p), ((F.get(p, F.lit(0)) * 256 + F.get(p, F.lit(1))) * 256 + F.get(p, F.lit(2))) * 256 + F.get(p, F.lit(3))))
+
+
+def hexed(n: Column, width: int) -> Column:
+    return F.lpad(F.lower(F.hex(n)), width, "0")
+
+
+def six_digits(text: Column) -> Column:
+    """An IPv6 address in lower case, without dots -> its 32 digits; null if it isn't one."""
+    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+
+    def of(sides: Column) -> Column:
+        left, right = (groups(F.get(sides, F.lit(k))) for k in range(2))
+        return let(F.struct(left.alias("left"), right.alias("right"), F.size(sides).alias("n")), of_sides)
+
+    def of_sides(s: Column) -> Column:
+        missing = 8 - F.size(s["left"]) - F.size(s["right"])
+        whole = ((s["n"] == 1) & (missing == 0)) | ((s["n"] == 2) & (missing >= 1))
+        every = F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"])
+        return F.when(whole, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    ok = text.rlike("^[0-9a-f:]+$") & ~text.rlike("^:[^:]|[^:]:$|:::|[0-9a-f]{5}")
+    return F.when(ok, let(F.split(text, "::"), of))
 
 
 def address_key(ip: Column) -> Column:
     """An address of either family -> text that sorts as the addresses do, IPv4 before IPv6; IPv6 forms of an IPv4 address are that one; null if it is neither."""
-    ip = F.lower(F.trim(ip))
-    hex_ = lambda n, width: F.lpad(F.lower(F.hex(n)), width, "0")
-    four = ip_number(ip)
-    tail = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    low = ip_number(tail)
-    text = F.when(tail == "", ip).otherwise(F.concat(F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)), hex_(F.shiftright(low, 16), 4), F.lit(":"), hex_(low.bitwiseAND(F.lit(65535)), 4)))
-    sides = F.split(text, "::")
-    groups = lambda side: F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
-    missing = 8 - F.size(left) - F.size(right)
-    whole = ((F.size(sides) == 1) & (missing == 0)) | ((F.size(sides) == 2) & (missing >= 1))
-    ok = text.rlike("^[0-9a-f:]+$") & ~text.rlike("^:[^:]|[^:]:$|:::|[0-9a-f]{5}") & whole
-    six = F.array_join(F.transform(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right), lambda g: F.lpad(g, 4, "0")), "")
-    mapped = six.startswith("0" * 20 + "ffff")
-    return F.when(four.isNotNull(), F.concat(F.lit("4"), hex_(four, 8))).when(ok, F.when(mapped, F.concat(F.lit("4"), F.substring(six, 25, 8))).otherwise(F.concat(F.lit("6"), six)))
+
+    def long(ip: Column) -> Column:
+        tail = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+        head = lambda tail: F.substring(ip, F.lit(1), F.length(ip) - F.length(tail))
+        plain = let(tail, lambda tail: F.when(tail == "", ip).otherwise(let(ip_number(tail), lambda n: F.concat(head(tail), hexed(F.shiftright(n, 16), 4), F.lit(":"), hexed(n.bitwiseAND(F.lit(65535)), 4)))))
+        mapped = lambda six: six.startswith("0" * 20 + "ffff")
+        return let(let(plain, six_digits), lambda six: F.when(mapped(six), F.concat(F.lit("4"), F.substring(six, 25, 8))).otherwise(F.concat(F.lit("6"), six)))
+
+    either = lambda ip: let(ip_number(ip), lambda four: F.when(four.isNotNull(), F.concat(F.lit("4"), hexed(four, 8))).otherwise(long(ip)))
+    return let(F.lower(F.trim(ip)), either)
 
 
 def located(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
@@ -106,10 +130,14 @@ def located(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     row, however long it is.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(c)), 8, "0"))) if dict(ranges.dtypes)[c] != "string" else address_key(F.col(c))
-    starts = ranges.select(key("first").alias("key"), F.lit(None).cast("string").alias("_ip"), F.struct(key("last").alias("last"), F.col("cc").alias("_cc"), F.col("asn").alias("_asn"), F.col("org").alias("_org")).alias("range"))
+    top = (1 << 32) - 1  # numbers beyond have no address: what lies there is no range, what reaches there ends here
+    number = lambda n: F.concat(F.lit("4"), hexed(n, 8))
+    text = lambda c: dict(ranges.dtypes)[c] == "string"
+    first = address_key(F.col("first")) if text("first") else F.when(F.col("first") <= top, number(F.greatest("first", F.lit(0))))
+    end = address_key(F.col("last")) if text("last") else F.when(F.col("last") >= 0, number(F.least("last", F.lit(top))))
+    starts = ranges.select(first.alias("key"), F.lit(None).cast("string").alias("_ip"), F.struct(end.alias("last"), F.col("cc").alias("_cc"), F.col("asn").alias("_asn"), F.col("org").alias("_org")).alias("range"))
     asked = rows.select(F.col(ip).alias("_ip")).distinct().select(address_key(F.col("_ip")).alias("key"), "_ip").where("key is not null")
-    both = starts.where("key is not null").unionByName(asked, allowMissingColumns=True)
+    both = starts.where("key is not null and range.last is not null").unionByName(asked, allowMissingColumns=True)
     order = ["key", F.col("_ip").asc_nulls_first()]
     dealt = written(both.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

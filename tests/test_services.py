@@ -30,6 +30,32 @@ def test_located_keeps_rows(spark):
     assert got == {1: ("IT", 7), 2: ("FR", 8), 3: ("ZZ", 0), 4: ("ZZ", 0), 5: ("IT", 7)}
 
 
+def test_located_in_numbers_beyond_ipv4(spark):
+    """A number of more than 32 bits is no address: its range holds none, one that only reaches there ends at the last."""
+    rows = spark.createDataFrame([(1, "16.0.0.5"), (2, "255.255.255.255"), (3, "0.0.0.1"), (4, "0.0.0.9")], "id int, ip string")
+    ranges = spark.createDataFrame([(1 << 32, (1 << 32) + 99, "FAR", 1, ""), ((1 << 32) - 10, (1 << 32) + 20, "END", 2, ""), (-5, 3, "LOW", 3, "")], "first long, last long, cc string, asn long, org string")
+    assert {r["id"]: r["geo_cc"] for r in lookup.located(rows, ranges).collect()} == {1: "ZZ", 2: "END", 3: "LOW", 4: "ZZ"}
+
+
+def test_both_families_with_many_suppliers(spark, tmp_path):
+    """Ranges beyond 32 bits don't come round to the small ones (8,590 suppliers and more, as at 60 times sf0.1)."""
+    import duckdb
+
+    from netgauge import catalog
+
+    sf = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    n = s.count()
+    many = s.crossJoin(spark.range(60_000 // n).withColumnRenamed("id", "k")).withColumn("s_suppkey", F.col("s_suppkey") + F.col("k") * n)
+    many.drop("k").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["j15_both_families"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("events", "supplier"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.oracle_sql()["j15_both_families"]).fetchall())
+
+
 def test_addresses_sort_as_they_are(spark):
     """Keys are Python's addresses, in any form, and null where Python refuses."""
     import ipaddress
