@@ -165,6 +165,32 @@ def test_simhash_of_known_texts(spark):
     assert got == {1: 16825458760271544958, 2: 36330143249342482, 3: 16825458760271544958}
 
 
+def test_simhash_keeps_shingles_in_their_task(spark):
+    """Any characters and lengths, equal keys together; what is shuffled is a row a text, not one a shingle."""
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    texts = ["", "ab", None, "\U0001f600é語x", *("".join(rng.choices("abAé語𐐷 9_-", k=rng.choice((3, 4, 5, 700)))) for _ in range(60))]
+    rows = [(i % 50, t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "id long, text string")
+    joined = {}
+    clean = d.select("id", F.concat_ws("", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))).alias("t")).collect()
+    for key, t in clean:
+        joined.setdefault(key, []).append(t)
+    want = {}
+    for key, ts in joined.items():
+        sums = [0] * 64
+        for t in ts:
+            for k in range(max(1, len(t) - 3)):
+                low = int.from_bytes(hashlib.md5(t[k : k + 4].encode()).digest()[8:], "big")
+                sums = [s + (1 if low >> i & 1 else -1) for i, s in enumerate(sums)]
+        want[key] = sum(1 << i for i, s in enumerate(sums) if s > 0)
+    out = legacy.simhash(d, "id", "text")
+    assert {r["id"]: r["simhash"] % (1 << 64) for r in out.collect()} == want
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_measurement_uid(spark):
     import hashlib
 
