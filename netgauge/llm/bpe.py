@@ -3,9 +3,9 @@
 The words that the corpus repeats most are compiled, with the ids they encode
 to, into a shared-suffix (minimal, acyclic) automaton. Every arc carries the
 number of words that sort before those it leads to, so the sum along a path is
-the word's ordinal, which indexes a pool of ids. The tables are flat arrays
-that each executor memory-maps from one file. Words outside the lexicon are
-merged exactly by rank.
+the word's ordinal, which indexes a pool of ids. The tables are flat arrays,
+read where the broadcast holds them. Words outside the lexicon are merged
+exactly by rank.
 
 Defined cases: null and empty text give no ids; a special token's string in a
 text is that token, as in the tokenizers library; texts of any length are
@@ -18,9 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
-import tempfile
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -274,16 +272,6 @@ class Lexicon:
             at += n
         self.keys, self.targets, self.addends, self.final, self.offsets, self.ids = cut
 
-    @classmethod
-    def mapped(cls, data: bytes) -> Lexicon:
-        """Memory-maps the tables: one file an executor, named by its content, that its workers share."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(data)
-            os.replace(f.name, path)
-        return cls(np.memmap(path, np.int32, "r"))
-
     def ordinals(self, words: list[bytes]) -> np.ndarray:
         """The ordinal of each word, -1 for those the lexicon lacks."""
         n = len(words)
@@ -402,7 +390,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, tok = shared.value
-        enc = Encoder(Lexicon.mapped(lexicon), tok)
+        enc = Encoder(Lexicon(np.frombuffer(lexicon, np.int32)), tok)
         for part, texts in text_batches(batches):
             ids, counts = enc.encode(texts)
             decoded = enc.decode(ids, counts)

@@ -35,6 +35,15 @@ def rows(docs):
     return sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
 
 
+def test_bpe_leaves_no_file_outside_the_shared_folder(spark, tmp_path, monkeypatch):
+    import tempfile
+
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    lexicon = bpe.Lexicon(np.frombuffer(bpe.compile_lexicon({b"ab": [1, 2], b"abc": [3]}), np.int32))
+    assert lexicon.ordinals([b"abc", b"ab", b"a"]).tolist() == [1, 0, -1]
+    assert not hasattr(bpe.Lexicon, "mapped") and not list(tmp_path.iterdir())
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_bpe(request, which):
     from public_tokenizers import path
