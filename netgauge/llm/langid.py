@@ -190,22 +190,37 @@ def sample(docs: DataFrame) -> DataFrame:
     return few.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))).where(f"rn <= {SAMPLE_ROWS}").drop("rn")
 
 
-def train(docs: DataFrame) -> Model:
-    """Fits on the sample. Grams are counted in the tasks; only the sample's distinct grams reach the driver."""
+def added(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    seen = np.zeros(len(keys), np.int64)
+    np.add.at(seen, at, np.concatenate([x[1], y[1]]))
+    return keys, seen
+
+
+def sampled_grams(docs: DataFrame) -> DataFrame:
+    """lang, n, gram, seen of the sample, a row a gram: a language's texts, SAMPLE_ROWS at most, meet in one task, so their rows don't grow with the number of tasks."""
     o = F.crc32(F.concat(F.lit("t"), F.col("doc_id").cast("string")))
     texts = docs.where(~held_out() & F.col("lang").isNotNull()).select("lang", o.alias("o"), F.xxhash64("text").alias("h"), "text")
-    texts = texts.join(F.broadcast(sample(docs)), ["lang", "o", "h"], "left_semi").dropDuplicates(["lang", "o", "h"]).select("lang", "text")
+    texts = texts.join(F.broadcast(sample(docs)), ["lang", "o", "h"], "left_semi").dropDuplicates(["lang", "o", "h"]).select("lang", "text").repartition("lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counts = {}
         for part, ts in text_batches(batches):
             langs = part.column(part.schema.get_field_index("lang")).to_pylist()
             for lang in sorted(set(langs)):
-                for n, (keys, seen) in enumerate(counted([t for t, x in zip(ts, langs, strict=True) if x == lang])):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([n] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(seen, pa.int64())], ["lang", "n", "gram", "seen"])
+                new = counted([t for t, x in zip(ts, langs, strict=True) if x == lang])
+                held[lang] = [added(x, y) for x, y in zip(held[lang], new, strict=True)] if lang in held else new
+        for lang, levels in held.items():
+            for n, (keys, seen) in enumerate(levels):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([n] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(seen, pa.int64())], ["lang", "n", "gram", "seen"])
 
-    grams_ = texts.mapInArrow(count, "lang string, n int, gram long, seen long").groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
+    return texts.mapInArrow(count, "lang string, n int, gram long, seen long")
+
+
+def train(docs: DataFrame) -> Model:
+    """Fits on the sample. Grams are counted in the tasks; only the sample's distinct grams reach the driver."""
     by_lang: Counts = {}
-    for (lang, n), g in grams_.toPandas().sort_values("gram").groupby(["lang", "n"]):
+    for (lang, n), g in sampled_grams(docs).toPandas().sort_values("gram").groupby(["lang", "n"]):
         by_lang.setdefault(lang, [(np.zeros(0, np.uint32), np.zeros(0, np.int64))] * (ORDER + 1))[n] = (g["gram"].to_numpy(np.uint32), g["seen"].to_numpy(np.int64))
     return Model(by_lang)
 

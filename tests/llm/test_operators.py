@@ -35,6 +35,13 @@ def rows(docs):
     return sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
 
 
+def test_language_grams_dont_grow_with_partitions(docs):
+    """A gram of a language is one row before any aggregation, with the same counts, however the documents are dealt."""
+    one, many = ({tuple(r) for r in langid.sampled_grams(d).collect()} for d in (docs.coalesce(1), docs.repartition(13)))
+    assert one == many and one
+    assert langid.sampled_grams(docs.repartition(13)).count() == len({r[:3] for r in one})
+
+
 def test_bpe_leaves_no_file_outside_the_shared_folder(spark, tmp_path, monkeypatch):
     import tempfile
 
