@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ PARTS = ["day", "hour", "cc", "test"]
 BLOCK = 8
 #: An offset that no bundle begins at.
 NOWHERE = -1
+#: Rows of blocks that a task gives on at once.
+OUT_ROWS = 20_000
 #: Characters of bodies that a fetch gives on at once.
 OUT_CHARS = 2_000_000
 
@@ -47,6 +50,20 @@ def lines(measurements: DataFrame) -> DataFrame:
     return written(d.withColumns({"size": F.octet_length("value") + 1, "hash": F.xxhash64("value"), "row": F.monotonically_increasing_id()}))
 
 
+def changes(rows: pa.RecordBatch | pa.Table, n: int) -> np.ndarray:
+    """The rows at which one of the first n columns (without nulls) isn't that of the row before, and the first row."""
+    differ = np.ones(rows.num_rows, bool)
+    differ[1:] = False
+    for k in range(n):
+        c = rows.column(k)
+        differ[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
+    return np.flatnonzero(differ)
+
+
+def key_at(rows: pa.RecordBatch | pa.Table, i: int, n: int) -> tuple:
+    return tuple(rows.column(k)[i].as_py() for k in range(n))
+
+
 def offsets(rows: DataFrame) -> DataFrame:
     """rows(day, hour, cc, test, measurement_uid, size, hash, row), narrow -> one row of each uid (that of the smallest hash), with the bytes and rows of its group before it (before, idx)."""
     spark = rows.sparkSession
@@ -58,16 +75,15 @@ def offsets(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
             size = np.asarray(b.column(b.schema.get_field_index("size"))).astype(np.int64)
-            first = np.flatnonzero([True, *(x != y for x, y in zip(keys[1:], keys[:-1], strict=True))])
+            first = changes(b, 4)
             sums = np.concatenate([[0], np.cumsum(size)])
-            run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-            before, idx = sums[:-1] - sums[first][run_of], np.arange(len(keys)) - first[run_of]
-            if keys[0] == last:  # the group goes on from the batch before
+            run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(size))))
+            before, idx = sums[:-1] - sums[first][run_of], np.arange(len(size)) - first[run_of]
+            if key_at(b, 0, 4) == last:  # the group goes on from the batch before
                 before, idx = before + np.where(run_of == 0, bytes_, 0), idx + np.where(run_of == 0, n, 0)
-            last, bytes_, n = keys[-1], int(before[-1] + size[-1]), int(idx[-1] + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(keys), part, np.int32)), pa.array(before), pa.array(idx)], [*b.schema.names, "part", "before", "idx"])
+            last, bytes_, n = key_at(b, len(size) - 1, 4), int(before[-1] + size[-1]), int(idx[-1] + 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(before), pa.array(idx)], [*b.schema.names, "part", "before", "idx"])
 
     columns = once.select(*PARTS, "measurement_uid", "row", F.col("size").cast("long").alias("size"))
     schema = "day string, hour string, cc string, test string, measurement_uid string, row long, size long, part int, before long, idx long"
@@ -85,24 +101,41 @@ def next_starts(before: np.ndarray, end: np.ndarray, budget: int) -> np.ndarray:
     return np.searchsorted(end, before + budget, side="right")
 
 
-def blockwise(rows: DataFrame, solve: object, schema: str) -> DataFrame:
-    """rows(day, hour, cc, test, block, before, ...) through solve(keys, block, columns) one block of a group at a time, in order of before."""
+def blockwise(rows: DataFrame, solve: Callable[[tuple, dict], dict | None], schema: str) -> DataFrame:
+    """rows(day, hour, cc, test, block, before, ...) through solve(keys, columns) one block of a group at a time, in order of before. What solve gives goes on in batches of many blocks."""
     names = rows.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solved(held: pa.Table, cuts: list[int]) -> Iterator[tuple[tuple, dict]]:
+        at = {c: held.column(c) for c in names[5:]}
+        at = {c: v.combine_chunks() if pa.types.is_string(v.type) else v.to_numpy() for c, v in at.items()}
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            keys = key_at(held, a, 5)
+            if out := solve(keys, {c: v[a:z] for c, v in at.items()}):
+                yield keys, out
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict]]:
         held: pa.Table | None = None
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            keys = list(zip(*(held.column(k).to_pylist() for k in range(5)), strict=True))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from solve(keys[a], held.slice(a, z - a))
+            held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            cuts = changes(held, 5).tolist()
+            yield from solved(held, cuts)
             held = held.slice(cuts[-1])
         if held is not None and held.num_rows:
-            yield from solve(tuple(held.column(k)[0].as_py() for k in range(5)), held)
+            yield from solved(held, [0, held.num_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for block in blocks(batches):
+            some.append(block)
+            n += len(next(iter(block[1].values())))
+            if n > OUT_ROWS:
+                yield keyed(some)
+                some, n = [], 0
+        if some:
+            yield keyed(some)
 
     order = [*PARTS, "block"]
     return rows.repartition(*order).sortWithinPartitions(*order, "before").select(*names).mapInArrow(run, schema)
@@ -111,14 +144,13 @@ def blockwise(rows: DataFrame, solve: object, schema: str) -> DataFrame:
 KEYS = "day string, hour string, cc string, test string, block long"
 
 
-def keyed(keys: tuple, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    heads = [pa.array([k] * n, pa.int64() if i == 4 else pa.string()) for i, k in enumerate(keys)]
-    return pa.RecordBatch.from_arrays([*heads, *map(pa.array, columns.values())], [*PARTS, "block", *columns])
-
-
-def numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
-    return [t.column(c).to_numpy() for c in names]
+def keyed(some: list[tuple[tuple, dict]]) -> pa.RecordBatch:
+    """The columns of many blocks, below their keys."""
+    names = list(some[0][1])
+    of = pa.array(np.repeat(np.arange(len(some)), [len(x[names[0]]) for _, x in some]))
+    heads = [pa.array([keys[k] for keys, _ in some], pa.int64() if k == 4 else pa.string()).take(of) for k in range(5)]
+    parts = [[x[c] for _, x in some] for c in names]
+    return pa.RecordBatch.from_arrays([*heads, *(pa.concat_arrays(p) if isinstance(p[0], pa.Array) else pa.array(np.concatenate(p)) for p in parts)], [*PARTS, "block", *names])
 
 
 def entries(rows: DataFrame, budget: int) -> DataFrame:
@@ -128,13 +160,13 @@ def entries(rows: DataFrame, budget: int) -> DataFrame:
     some = rows.join(large, PARTS)
     near = F.when((F.col("block") > 0) & (F.col("before") - F.col("block") * width <= budget), F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block"))
 
-    def solve(keys: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def solve(keys: tuple, t: dict) -> dict | None:
         """Where the chain from each offset at which the block can be entered leaves it."""
-        before, size, idx = numbers(t, "before", "size", "idx")
+        before, size, idx = t["before"], t["size"], t["idx"]
         low, high = keys[4] * width, (keys[4] + 1) * width
         end, own = before + size, int(np.searchsorted(before, high))
         if not own or before[own - 1] < low:
-            return
+            return None
         close = next_starts(before[:own], end, budget)
         target = np.where(close < len(end), end[np.minimum(close, len(end) - 1)], NOWHERE)
         leaves, last = np.full(own, NOWHERE, np.int64), np.arange(own)
@@ -146,7 +178,7 @@ def entries(rows: DataFrame, budget: int) -> DataFrame:
                 leaves[i], last[i] = leaves[k], last[k]
         first = int(np.searchsorted(before, low))
         can = np.arange(first, own) if keys[4] == 0 else np.arange(first, min(own, int(np.searchsorted(before, low + budget, side="right")) + 1))
-        yield keyed(keys, {"entry": before[can], "leaves": leaves[can], "last": before[last[can]], "last_idx": idx[last[can]]})
+        return {"entry": before[can], "leaves": leaves[can], "last": before[last[can]], "last_idx": idx[last[can]]}
 
     dealt = some.select(*PARTS, F.explode(near).alias("block"), "before", "size", "idx")
     steps = written(blockwise(dealt, solve, f"{KEYS}, entry long, leaves long, last long, last_idx long"))
@@ -170,10 +202,10 @@ def placed(rows: DataFrame, budget: int = BUNDLE_BYTES) -> DataFrame:
     joined = rows.join(own, [*PARTS, "block"], "left").join(carried, [*PARTS, "block"], "left")
     # A group of one block is entered at 0; a block without an entry has no cut.
     joined = joined.withColumn("entry", F.coalesce("entry", F.when(F.col("block") == 0, 0).otherwise(F.lit(None)), F.lit(1 << 62)).cast("long"))
-    joined = joined.select(*PARTS, "block", "before", "size", "idx", "row", "entry", F.coalesce("carry", F.lit(NOWHERE)).alias("carry"), F.coalesce("carry_idx", F.lit(NOWHERE)).alias("carry_idx"))
+    joined = joined.select(*PARTS, "block", "before", "size", "idx", "row", "measurement_uid", "entry", F.coalesce("carry", F.lit(NOWHERE)).alias("carry"), F.coalesce("carry_idx", F.lit(NOWHERE)).alias("carry_idx"))
 
-    def solve(keys: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        before, size, idx, row, entry, carry, carry_idx = numbers(t, "before", "size", "idx", "row", "entry", "carry", "carry_idx")
+    def solve(keys: tuple, t: dict) -> dict:
+        before, size, idx, entry, carry, carry_idx = (t[c] for c in ("before", "size", "idx", "entry", "carry", "carry_idx"))
         close = next_starts(before, before + size, budget)
         at, starts = int(np.searchsorted(before, entry[0])), []
         while at < len(before):
@@ -183,12 +215,12 @@ def placed(rows: DataFrame, budget: int = BUNDLE_BYTES) -> DataFrame:
         of = np.searchsorted(starts, np.arange(len(before)), side="right") - 1
         begins = np.where(of >= 0, before[starts[np.maximum(of, 0)]] if len(starts) else 0, carry)
         line = idx - np.where(of >= 0, idx[starts[np.maximum(of, 0)]] if len(starts) else 0, carry_idx)
-        yield keyed(keys, {"row": row, "begins": begins, "linenum": line})
+        return {"row": t["row"], "measurement_uid": t["measurement_uid"], "begins": begins, "linenum": line}
 
-    cut = written(blockwise(joined, solve, f"{KEYS}, row long, begins long, linenum long"))
+    cut = written(blockwise(joined, solve, f"{KEYS}, row long, measurement_uid string, begins long, linenum long"))
     # A row a bundle.
     number = cut.where("linenum = 0").select(*PARTS, "begins", (F.row_number().over(Window.partitionBy(*PARTS).orderBy("begins")) - 1).alias("bundle"))
-    return cut.join(number, [*PARTS, "begins"]).select(*PARTS, "row", F.col("bundle").cast("long").alias("bundle"), F.col("linenum").cast("int").alias("linenum")).join(rows.select("row", "measurement_uid"), "row")
+    return cut.join(number, [*PARTS, "begins"]).select("row", *PARTS, F.col("bundle").cast("long").alias("bundle"), F.col("linenum").cast("int").alias("linenum"), "measurement_uid")
 
 
 def bundled(measurements: DataFrame, budget: int = BUNDLE_BYTES) -> tuple[DataFrame, DataFrame]:

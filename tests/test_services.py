@@ -191,6 +191,20 @@ def test_simhash_keeps_shingles_in_their_task(spark):
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_of_bundles_go_on_together():
+    """Small blocks leave a task in one batch, in order; a change in any key begins a block."""
+    import numpy as np
+    import pyarrow as pa
+
+    from netgauge.sources import bundles
+
+    keys = [("d", "h", "c", "t", k) for k in range(50)]
+    out = bundles.keyed([(k, {"row": np.arange(k[4] % 3), "measurement_uid": pa.array([str(k[4])] * (k[4] % 3), pa.string())}) for k in keys])
+    assert out.num_rows == sum(k % 3 for k in range(50))
+    assert [(r["block"], r["row"], r["measurement_uid"]) for r in out.to_pylist()] == [(k, i, str(k)) for k in range(50) for i in range(k % 3)]
+    assert np.diff(np.append(bundles.changes(out, 5), out.num_rows)).tolist() == [k % 3 for k in range(50) if k % 3]
+
+
 def test_measurement_uid(spark):
     import hashlib
 
