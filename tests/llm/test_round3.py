@@ -444,3 +444,64 @@ def test_pipeline_loses_no_line_of_rows_of_one_id(spark):
     docs = [(9, own[0] + "\n" + shared), (9, own[1] + "\n" + shared), (None, own[2] + "\n" + shared), (None, own[3]), (3, own[4]), (3, own[4])]
     kept = Counter(line for r in line_dedup.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect() for line in r["text"].split("\n"))
     assert kept == Counter([*own, shared])
+
+
+def spread(rng, line, n):
+    """n replacements at even distances, which leave no long run of characters."""
+    chars = list(line)
+    for k in range(n):
+        chars[(2 * k + 1) * len(chars) // (2 * n)] = rng.choice("ABCDEFGH")
+    return "".join(chars)
+
+
+def test_evenly_spaced_edits_meet(spark):
+    """As many edits as the threshold allows, at even distances: every near copy goes."""
+    rng = random.Random(11)
+    docs, n = [], 150
+    for k in range(n):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60 + 3 * k))
+        docs += [(2 * k, line), (2 * k + 1, spread(rng, line, len(line) // 20))]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string"), True).collect()}
+    assert [got[k] for k in range(2 * n)] == [0, 1] * n
+
+
+def test_chunks_of_near_lines_meet():
+    """Every pair within the threshold has a chunk in common near the same place, and none of it is filtered out."""
+    rng = random.Random(12)
+    lines, pairs = [], []
+    for k in range(600):
+        size = rng.choice([60, 61, 79, 80, 99, 100, 119, 200, 399, 1000])
+        line = "".join(rng.choice(["abcd", "abcdefghijklmnopqrstuvwxyz"][k % 2]) for _ in range(rng.choice([7, 40, size]))) * size
+        line = line[:size]
+        copy = (spread if k % 3 else edited)(rng, line, size // 20)
+        if copy != line and min(len(line), len(copy)) >= line_dedup.LONG_CHARS and line_dedup.distance_within(line, copy, int(line_dedup.limits(np.asarray([min(len(line), len(copy))]))[0])):
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [line, copy]
+    length = np.asarray([len(x) for x in lines])
+    row, key, at = line_dedup.chunks(line_dedup.Substrings("".join(lines)), np.cumsum(length) - length, length)
+    found = {}
+    for r, k, i in zip(row.tolist(), key.tolist(), at.tolist(), strict=True):
+        found.setdefault(r, {}).setdefault(k, []).append(i)
+    rows = [(k % 2**64, r, length[r], min(x), max(x)) for r, chunks in found.items() for k, x in chunks.items()]
+    left = {(int(x["key"]), int(x["h1"])) for x in line_dedup.met(np.array(rows, line_dedup.CHUNK_ROW))}
+    assert len(pairs) > 400
+    for a, b in pairs:
+        t = min(length[a], length[b]) // line_dedup.PER_EDIT
+        assert any((k % 2**64, a) in left and (k % 2**64, b) in left and abs(i - j) <= t for k in found[a].keys() & found[b].keys() for i in found[a][k] for j in found[b][k])
+
+
+@pytest.mark.parametrize("ahead", [1, 64])
+def test_rows_that_meet_stay(monkeypatch, ahead):
+    """The filter of chunk rows leaves out no row that has a fitting one, in keys of many rows too."""
+    monkeypatch.setattr(line_dedup, "AHEAD", ahead)
+    rng = np.random.default_rng(3)
+    rows = np.zeros(3000, line_dedup.CHUNK_ROW)
+    rows["key"], rows["h1"] = rng.integers(0, 12, 3000), np.arange(3000)
+    rows["n"], rows["low"] = rng.integers(60, 2000, 3000), rng.integers(0, 4000, 3000)
+    rows["high"] = rows["low"] + rng.integers(0, 2, 3000) * rng.integers(0, 50, 3000)
+    key, n, low, high = (rows[c].astype(np.int64) for c in ("key", "n", "low", "high"))
+    t = np.minimum(n[:, None], n) // line_dedup.PER_EDIT
+    fits = (key[:, None] == key) & (abs(n[:, None] - n) <= t) & (low[:, None] - high <= t) & (low - high[:, None] <= t)
+    np.fill_diagonal(fits, False)
+    want, got = set(np.flatnonzero(fits.any(1)).tolist()), set(line_dedup.met(np.concatenate([rows, rows[::7]]))["h1"].tolist())
+    assert want <= got and (ahead == 1 or got == want)
