@@ -505,3 +505,15 @@ def test_rows_that_meet_stay(monkeypatch, ahead):
     np.fill_diagonal(fits, False)
     want, got = set(np.flatnonzero(fits.any(1)).tolist()), set(line_dedup.met(np.concatenate([rows, rows[::7]]))["h1"].tolist())
     assert want <= got and (ahead == 1 or got == want)
+
+
+def test_groups_as_written():
+    """Eight bytes a piece at most, and the plain text of the groups of each document, also of those without any."""
+    digits = alignment.Digits(100_001)
+    assert digits.pieces.itemsize == 8 and len(digits.pieces) == 3 * digits.size
+    rng = np.random.default_rng(8)
+    sides = [[rng.integers(0, 100_001, rng.integers(1, 4)).tolist() for _ in range(200)] for _ in "ab"]
+    flat = lambda side: (np.array(sum(side, [])), np.repeat(np.arange(200), list(map(len, side))))
+    ends = np.array([0, 3, 3, 150, 200])
+    text = lambda i, j: ";".join("|".join(",".join(map(str, side[g])) for side in sides) for g in range(i, j)).encode()
+    assert digits.groups(*flat(sides[0]), *flat(sides[1]), 200, ends) == [text(i, j) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
