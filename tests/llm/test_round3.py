@@ -343,6 +343,28 @@ def test_gram_parities_bound_the_edits():
         assert flips <= 2 * line_dedup.GRAM * n - abs(len(a) - len(b))
 
 
+def test_ring_counts_bound_the_edits():
+    """No more bits flip than the filter allows, in lines with counts beyond the ring too."""
+    rng = random.Random(10)
+    for k in range(200):
+        a = "".join(rng.choice("abcdef \u0436\U0001f600") for _ in range(rng.randint(60, 2000 if k % 4 == 0 else 200)))
+        n = rng.randint(0, 12)
+        b = edited(rng, a, n)
+        sides = [line_dedup.ring_counts(line_dedup.Substrings(x), np.array([0]), np.array([len(x)])) for x in (a, b)]
+        flips = sum(bin((int(x[0]) ^ int(y[0])) & (1 << 64) - 1).count("1") for x, y in zip(*sides, strict=True))
+        assert flips <= 2 * n - abs(len(a) - len(b))
+
+
+def test_lines_with_one_phrase_in_common_do_not_meet(spark):
+    """Of the pairs of long lines that are alike in a phrase only, most don't leave the join."""
+    rng = random.Random(11)
+    letters = "eeeeetttaaoinshrdlu   "
+    lines = ["".join(rng.choice(letters) for _ in range(270)) + "a phrase of sixty characters that all of these lines do have" + "".join(rng.choice(letters) for _ in range(270)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = line_dedup.chunked(df).drop("lines").join(line_dedup.signed(df), "h1").selectExpr("*", "h1 as c")
+    assert line_dedup.far_candidates(rows).count() < 60 * 59 / 2 / 3
+
+
 # ---- suffix dedup
 
 
