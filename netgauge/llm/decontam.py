@@ -45,6 +45,8 @@ UNITS = "km cm mm m kg g mg lb lbs oz l ml s ms min h hr hours minutes seconds d
 
 NAME_PATTERN = r"\p{Lu}\p{Ll}+(?:[ \t-\r]+\p{Lu}\p{Ll}+)*"
 NUMBER_PATTERN = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+#: The same runs for Java: a possessive group is matched in a loop, a greedy one by recursion, of which a run of some hundred words overflows the stack and ends the executor.
+NAME_RUN, NUMBER_RUN = NAME_PATTERN + "+", NUMBER_PATTERN + "+"
 UNIT_WORDS = "((?i:" + "|".join(u.replace("$", r"\$") for u in sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r"))([^\p{L}\p{N}]|$)"
 #: What stands between words.
 GAP = f"[^\\p{{L}}\\p{{N}}{NUMBER}-{UNIT}]+"
@@ -56,8 +58,8 @@ def plain(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    t = F.regexp_replace(plain(text), NAME_PATTERN, f" {NAME} ")
-    t = F.regexp_replace(t, NUMBER_PATTERN, f" {NUMBER} ")
+    t = F.regexp_replace(plain(text), NAME_RUN, f" {NAME} ")
+    t = F.regexp_replace(t, NUMBER_RUN, f" {NUMBER} ")
     t = F.regexp_replace(t, f"{NUMBER} {{1,2}}{UNIT_WORDS}", f"{NUMBER} {UNIT} $2")
     return F.lower(t)
 
@@ -68,8 +70,8 @@ def words(text: Column) -> Column:
 
 def slots(text: Column) -> Column:
     """The values behind the placeholders, in order: each stands after its placeholder for a moment."""
-    t = F.regexp_replace(plain(text), NAME_PATTERN, f" {NAME}$0{END} ")
-    t = F.regexp_replace(t, NUMBER_PATTERN, f" {NUMBER}$0{END} ")
+    t = F.regexp_replace(plain(text), NAME_RUN, f" {NAME}$0{END} ")
+    t = F.regexp_replace(t, NUMBER_RUN, f" {NUMBER}$0{END} ")
     t = F.regexp_replace(t, f"({NUMBER}[^{END}]*{END}) {{1,2}}{UNIT_WORDS}", f"$1 {UNIT}$2{END} $3")
     return F.transform(F.regexp_extract_all(t, F.lit(f"[{NUMBER}-{UNIT}]([^{END}]*){END}"), F.lit(1)), lambda s: F.lower(F.regexp_replace(s, r"[ \t-\r]+", " ")))
 
